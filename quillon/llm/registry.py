@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality, tokencount
+from . import binary, bpe, media, quality, tokencount
 
 QUERIES = {
+    "op2_binary_records": binary.op2_binary_records,
+    "op3_media_columns": media.op3_media_columns,
+    "op4_byte_bpe": bpe.op4_byte_bpe,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_token_counts": tokencount.op10_token_counts,
 }
