@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import binary, bpe, media, quality, tokencount
+from . import binary, bpe, media, quality, simhash, tokencount
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op2_binary_records": binary.op2_binary_records,
     "op3_media_columns": media.op3_media_columns,
     "op4_byte_bpe": bpe.op4_byte_bpe,
