@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import binary, bpe, media, quality, simhash, tokencount
+from . import binary, bpe, media, quality, simhash, tokencount, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_binary_records": binary.op2_binary_records,
     "op3_media_columns": media.op3_media_columns,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_warc": warc.op5_warc,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_token_counts": tokencount.op10_token_counts,
 }
