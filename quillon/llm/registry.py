@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary, bpe, media, quality, simhash, tokencount, warc
+from . import binary, bpe, media, quality, simhash, suffix, tokencount, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_media_columns": media.op3_media_columns,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_warc": warc.op5_warc,
+    "op7_suffix_dedup": suffix.op7_suffix_dedup,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_token_counts": tokencount.op10_token_counts,
 }

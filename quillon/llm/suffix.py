@@ -297,7 +297,7 @@ def block_fragments(file: str, shared: np.ndarray, span: int, shift: int) -> Ite
     """
     known: dict[bytes, int] = {}
     least: list[int] = []
-    ranges: list[int] = []
+    keys: list[int] = []
     docs, offsets, kinds, n = [], [], [], 0
     for batch in read_block(file, ["__id", "__text"]):
         ids = _ids(batch)
@@ -309,14 +309,14 @@ def block_fragments(file: str, shared: np.ndarray, span: int, shift: int) -> Ite
             raw, seg = buf.tobytes(), np.searchsorted(starts, lo[at], "right") - 1
             mine = np.empty(len(at), np.int64)
             owner = ids[doc[seg]].tolist()
-            to = (h[at] >> np.uint64(shift)).tolist() if shift < 64 else [0] * len(at)
+            key = h[at].tolist()
             for k, (a, b, d) in enumerate(zip(lo[at].tolist(), (hi[at] + span).tolist(), owner)):
                 text = raw[a:b]
                 j = known.get(text)
                 if j is None:
                     j = known[text] = len(least)
                     least.append(d)
-                    ranges.append(to[k])
+                    keys.append(key[k])
                 elif d < least[j]:
                     least[j] = d
                 mine[k] = j
@@ -327,39 +327,68 @@ def block_fragments(file: str, shared: np.ndarray, span: int, shift: int) -> Ite
     if not known:
         return
     yield -1, pack(np.concatenate(docs).astype(np.uint32), np.concatenate(offsets), np.concatenate(kinds).astype(np.uint32))
-    texts, to, low = list(known), np.array(ranges, np.int64), np.array(least, np.int64)
-    by = np.argsort(to, kind="stable")
-    edges = np.flatnonzero(np.diff(to[by])) + 1
-    for part in np.split(by, edges):
+    texts, hashed, low = list(known), np.array(keys, np.uint64), np.array(least, np.int64)
+    by = np.argsort(hashed, kind="stable")
+    to = (hashed[by] >> np.uint64(shift)).astype(np.int64)
+    for part, at in zip(np.split(by, np.flatnonzero(np.diff(to)) + 1), np.split(to, np.flatnonzero(np.diff(to)) + 1)):
         some = [texts[i] for i in part.tolist()]
-        yield int(to[part[0]]), pack(part.astype(np.uint32), low[part], np.array([len(t) for t in some], np.uint32), np.frombuffer(b"".join(some), np.uint8))
+        yield int(at[0]), pack(part.astype(np.uint32), low[part], np.array([len(t) for t in some], np.uint32), hashed[part], np.frombuffer(b"".join(some), np.uint8))
 
 
 def shard_windows(rows: list[tuple[int, bytes]], span: int, part_bytes: int = PART) -> Iterator[tuple[int, bytes]]:
-    """(block, fragments and the least document of each of their windows) from the rows (block, fragments) of one range."""
+    """(block, fragments and the least document of each of their windows) from the rows (block, fragments) of one range.
+
+    Equal fragments of several blocks are one. A fragment that is alone under its minimiser has no window in common with
+    another, since equal windows have one minimiser; the others go to suffix arrays.
+    """
     got = [(block, *unpack(data)) for block, data in rows]
-    parts, here, size = [], [], 0
-    for k, (_, _, low, sizes, text) in enumerate(got):
-        if here and size + len(text) > part_bytes:
-            parts.append(here)
-            here, size = [], 0
-        here.append(k)
-        size += len(text)
-    parts.append(here)
+    known: dict[bytes, int] = {}
+    least: list[int] = []
+    keys: list[int] = []
+    mine = []
+    for _, _, low, sizes, hashed, text in got:
+        raw, at, which = text.tobytes(), 0, []
+        for n, d, key in zip(sizes.tolist(), low.tolist(), hashed.tolist()):
+            fragment = raw[at : at + n]
+            at += n
+            j = known.setdefault(fragment, len(least))
+            if j == len(least):
+                least.append(d)
+                keys.append(key)
+            elif d < least[j]:
+                least[j] = d
+            which.append(j)
+        mine.append(np.array(which, np.int64))
+    texts, low = list(known), np.array(least, np.int64)
+    size = np.array([len(t) for t in texts], np.int64)
+    count = size - span + 1
+    begin = np.cumsum(count) - count
+    answer = np.repeat(low, count)
+    _, inverse, times = np.unique(np.array(keys, np.uint64), return_inverse=True, return_counts=True)
+    several = np.flatnonzero(times[inverse] > 1)
+    several = several[np.argsort(inverse[several], kind="stable")]
+    parts, here, total = [], [], 0
+    for j in several.tolist():
+        if here and total + size[j] > part_bytes:
+            parts.append(np.array(here))
+            here, total = [], 0
+        here.append(j)
+        total += size[j]
+    if here:
+        parts.append(np.array(here))
     made = []
     for here in parts:
-        sizes = np.concatenate([got[k][3] for k in here]).astype(np.int64)
-        low = np.concatenate([got[k][2] for k in here])
-        begin = np.cumsum(sizes) - sizes
-        count = sizes - span + 1
-        starts = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        made.append((np.concatenate([got[k][4] for k in here]), starts, np.repeat(low, count)))
-    for here, low in zip(parts, least_ids(made, span)):
-        at = 0
-        for k in here:
-            n = int((got[k][3].astype(np.int64) - span + 1).sum())
-            yield got[k][0], pack(got[k][1], got[k][3], low[at : at + n])
-            at += n
+        first = np.cumsum(size[here]) - size[here]
+        made.append((np.frombuffer(b"".join([texts[j] for j in here.tolist()]), np.uint8), _ranges(first, count[here]), np.repeat(low[here], count[here])))
+    for here, got_low in zip(parts, least_ids(made, span)):
+        answer[_ranges(begin[here], count[here])] = got_low
+    for (block, ids, _, sizes, *_), which in zip(got, mine):
+        yield block, pack(ids, sizes, answer[_ranges(begin[which], count[which])])
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (count[0] values), first[1], ..."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
 def block_kept(file: str, occurrences: list[np.ndarray] | None, answers: list[list[np.ndarray]], span: int) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[np.ndarray], list[bytes]]]:
