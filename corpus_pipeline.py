@@ -2,15 +2,56 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from quillon.llm import bpe, leaks, quality, simhash, suffix
+from quillon.llm.base import held_fold, shared_dir, stored, table
 
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier accepts. It learns from the labels of these documents."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_fold("doc_id", 4, 2))
+    return quality.accepted(docs, model)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates."""
+    return simhash.distinct_documents(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that a document with a smaller id has; n_chars is that of what is left."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    return suffix.deduplicated(docs, keep=rest).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that have no benchmark item in them."""
+    return leaks.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, digests of the ids and of what they decode to, and the ids."""
+    return bpe.bpe_roundtrip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=True, keep=("lang", "source"))
+
+
+STAGES = [
+    ("quality classifier", good_documents),
+    ("simhash near-dedup", one_of_each),
+    ("suffix-array dedup", without_repeats),
+    ("benchmark decontamination", without_leaks),
+    ("byte-level bpe", token_ids),
+]
+
+#: SQL can express neither the classifier nor the suffix arrays over whole tables; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages applied to ``documents``; each one's rows are written as Parquet and read again for the next."""
+    docs, where = table(spark, sf_dir, "documents"), shared_dir(spark)
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = stored(stage(spark, docs, sf_dir), f"{where}/stage-{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import held_fold, map_texts, table
+from .base import append_texts, held_fold, map_texts, table
 
 #: Labelled rows drawn per class at most, and the longest text (bytes) that is drawn. Scoring has no such bounds.
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 65_536
@@ -140,6 +140,11 @@ class Scorer:
         return {"score": s, "predicted": (s >= self.threshold).astype(np.int32)}
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that the model rejects; all its columns, unchanged."""
+    return append_texts(docs, Scorer(model, threshold), "score double, predicted int", text_col).filter("predicted = 1").drop("score", "predicted")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"), ~held_fold("doc_id", 4, 2))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary, bpe, media, quality, simhash, suffix, tokencount, warc
+from . import binary, bpe, ctw, leaks, media, quality, simhash, suffix, tokencount, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_media_columns": media.op3_media_columns,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_warc": warc.op5_warc,
+    "op6_context_tree": ctw.op6_context_tree,
     "op7_suffix_dedup": suffix.op7_suffix_dedup,
+    "op8_decontamination": leaks.op8_decontamination,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_token_counts": tokencount.op10_token_counts,
 }

@@ -196,5 +196,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bucket: int = BUCKET, i
     )
 
 
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose component has a smaller id; all its columns, unchanged. Null ids stay."""
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col).filter(F.col(id_col) > F.col("component_id")).select(id_col).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -437,7 +437,8 @@ def block_kept(file: str, occurrences: list[np.ndarray] | None, answers: list[li
 
 
 def deduplicated(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", keep: tuple = (), spans: bool = False) -> DataFrame:
-    """One row per row of ``docs``: id, ``keep``, kept (binary), n_bytes, n_removed, n_spans, kept_sha256 and, if asked for,
+    """One row per row of ``docs``: id, ``keep``, kept (binary), text (kept without characters that
+    a cut has split), n_bytes, n_removed, n_spans, kept_sha256 and, if asked for,
     the removed spans. Windows never cross documents, null texts count as empty, rows with equal ids do not cut each other.
     Rows with a null id are cut by all others and cut none. Ids are integers below 2**63 - 1. An empty table gives no rows.
     """
@@ -478,7 +479,7 @@ def deduplicated(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text
     answers = found.filter("target >= 0").groupBy("target").applyInArrow(shard, "block int, payload binary, answer boolean")
     rows = answers.unionByName(found.filter("target < 0").select("block", "payload", F.lit(False).alias("answer")))
     rows = rows.withColumn("file", F.lit(None).cast("string")).unionByName(blocks.files.select("block", F.lit(None).cast("binary").alias("payload"), F.lit(None).cast("boolean").alias("answer"), "file"))
-    schema = T.StructType([T.StructField(id_col, T.LongType()), *[docs.schema[c] for c in keep], *T._parse_datatype_string("kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>").fields])
+    schema = T.StructType([T.StructField(id_col, T.LongType()), *[docs.schema[c] for c in keep], *T._parse_datatype_string("kept binary, text string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>").fields])
 
     def cut(table_: pa.Table) -> pa.Table:
         file = next(x for x in table_.column("file").to_pylist() if x)
@@ -499,7 +500,7 @@ def _pairs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 def _cut(batch: pa.RecordBatch, texts: list, gone: list, kept: list, id_col: str, keep: tuple) -> pa.RecordBatch:
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     cols = {
-        id_col: batch.column("__id"), **{c: batch.column(c) for c in keep}, "kept": pa.array(kept, pa.binary()), "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
+        id_col: batch.column("__id"), **{c: batch.column(c) for c in keep}, "kept": pa.array(kept, pa.binary()), "text": pa.array([t.decode("utf-8", "ignore") for t in kept]), "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
         "n_removed": pa.array([int((s[:, 1] - s[:, 0]).sum()) for s in gone], pa.int64()), "n_spans": pa.array([len(s) for s in gone], pa.int64()),
         "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in kept]), "spans": pa.array([[{"start": a, "end": b} for a, b in s.tolist()] for s in gone], span_type),
     }
@@ -507,4 +508,4 @@ def _cut(batch: pa.RecordBatch, texts: list, gone: list, kept: list, id_col: str
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+    return deduplicated(table(spark, sf_dir, "documents")).drop("kept", "text")
