@@ -35,7 +35,7 @@ def plain(text: bytes) -> bytes:
 
 def seed_length(n: int) -> int:
     """Bytes of a seed for an item of n bytes: long enough to be rare, short enough to survive edits."""
-    return 16 if n >= 64 else 8 if n >= 24 else max(1, n // 2)
+    return 12 if n >= 64 else 8 if n >= 24 else max(1, n // 2)
 
 
 def rolling(buf: np.ndarray, q: int) -> np.ndarray:
