@@ -1,8 +1,259 @@
-"""Registered queries of the engine's own operators and their SQL."""
+"""Registered queries of the engine's own operators, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import excerpt as X
+from .functions import text as T
+from .operators import files as O
+from .operators.literals import literal_matches
+from .plans import index as I
+from .plans import scan as S
+from .plans.corpus import EPOCH, documents, table
+from .plans.regex import regex_scan
+from .sources.readers import extracted, html_title
+from .streaming import changes as C
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+_TOKENS = r"list_filter(regexp_extract_all({}, '[\p{{L}}\p{{N}}]+'), lambda w: length(w) <= 64)"
+FOLDED = _TOKENS.format("lower(strip_accents(replace(text, 'ß', 'ss')))")
+AS_IS = _TOKENS.format("text")
+DOCS = f"""d AS (SELECT doc_id, text, lang, source, '/corpus/' || source || '/' || lang || '/' || doc_id || '.txt' AS path, '/corpus/' || source || '/' || lang AS parent,
+ doc_id || '.txt' AS name, strlen(text) AS size, {EPOCH} + doc_id * 3600 AS mtime, {FOLDED} AS toks, ' ' || array_to_string({FOLDED}, ' ') || ' ' AS c, ' ' || doc_id || ' txt ' AS n FROM documents)"""
+
+
+def _has(pattern: str) -> str:
+    return f"(contains(c, '{pattern}') OR contains(n, '{pattern}'))"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _smart(name: str, text: str, where: str, **options) -> None:
+    """A query of the search language, by a scan and by the index, against one condition in SQL."""
+    sql = f"WITH {DOCS} SELECT doc_id FROM d WHERE {where}"
+    query(f"smart_{name}", sql)(lambda spark, d: S.smart(documents(spark, d), text, **options).select("doc_id"))
+    if not options.get("case_sensitive") and "filters" not in options:
+        query(f"index_{name}", sql)(lambda spark, d: _index(spark, d).matches(text, whole_word=options.get("whole_word", False), now=options.get("now")))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> I.Index:
+    docs = documents(spark, sf_dir)
+    return I.Index(docs, I.postings(docs))
+
+
+_smart("term", "then", _has(" then"))
+_smart("whole_word", "then", _has(" then "), whole_word=True)
+_smart("prefix", "enth*", _has(" enth"), whole_word=True)
+_smart("short_prefix", "e*", _has(" e "))
+_smart("phrase", '"of the"', _has(" of the "))
+_smart("phrase_prefix", "of-the", _has(" of the"))
+_smart("and", "with AND for", f"{_has(' with')} AND {_has(' for')}")
+_smart("or", "with OR das", f"{_has(' with')} OR {_has(' das')}")
+_smart("not", "with -for", f"{_has(' with')} AND NOT {_has(' for')}")
+_smart("grouped", "(with OR das) AND NOT (for OR und)", f"({_has(' with')} OR {_has(' das')}) AND NOT ({_has(' for')} OR {_has(' und')})")
+_smart("pure_not", "NOT for", f"NOT {_has(' for')}")
+_smart("folded", "éléments OR fur OR Strasse OR que", " OR ".join(_has(f" {w}") for w in ("elements", "fur", "strasse", "que")))
+_smart("filter_ext_kind", "ext:txt type:text with", _has(" with"))
+_smart("filter_path", "path:src3 with", f"contains(' ' || array_to_string(regexp_extract_all(lower(parent), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ', ' src3 ') AND {_has(' with')}")
+_smart("filter_in", "in:/corpus/src1/en", "starts_with(parent || '/', '/corpus/src1/en/')")
+_smart("filter_name_glob", "filename:1?5*", "regexp_matches(name, '^1.5.*$')")
+_smart("filter_name_contains", "filename:99", "contains(name, '99')")
+_smart("filter_modified", "modified:2024-01-05..2024-01-20", f"mtime >= epoch(DATE '2024-01-05') AND mtime < epoch(DATE '2024-01-21')")
+_smart("filter_modified_after", "modified:>2024-01 with", f"mtime >= epoch(DATE '2024-02-01') AND {_has(' with')}")
+_smart("filter_size", "size:<=2kb", "size < 2049")
+_smart("filter_size_range", "size:1kb..1.5kb with", f"size >= 1024 AND size < 1537 AND {_has(' with')}")
+_smart("case_sensitive", "The", f"contains(' ' || array_to_string({AS_IS}, ' ') || ' ', ' The')", case_sensitive=True)
+_smart("ui_filters", "with", f"size >= 1000 AND size <= 3000 AND mtime < {EPOCH + 900 * 3600} AND starts_with(parent || '/', '/corpus/src2/') AND {_has(' with')}", filters=S.ui_filters(("txt",), ("text",), ("/corpus/src2",), None, EPOCH + 900 * 3600, 1000, 3000))
+
+
+@query("exact_literal", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)of\s+the') OR regexp_matches(doc_id || '.txt', '(?i)of\s+the')")
+def exact_literal(spark, d):
+    return S.exact(documents(spark, d), "of the").select("doc_id")
+
+
+@query("exact_batch", r"SELECT item_id, doc_id FROM benchmark b JOIN documents t ON contains(regexp_replace(t.text, '\s+', ' ', 'g'), regexp_replace(b.text, '\s+', ' ', 'g'))")
+def exact_batch(spark, d):
+    return literal_matches(documents(spark, d), table(spark, d, "benchmark"))
+
+
+_PATTERN = "then[a-z]+ing"
+_REGEX_SQL = f"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i){_PATTERN}')"
+query("regex_scan", _REGEX_SQL)(lambda spark, d: regex_scan(documents(spark, d), _PATTERN, prefilter=False).select("doc_id"))
+query("regex_prefiltered", _REGEX_SQL)(lambda spark, d: regex_scan(documents(spark, d), _PATTERN).select("doc_id"))
+query("filename_mode", "SELECT doc_id FROM documents WHERE contains(doc_id || '.txt', '1') AND regexp_matches(doc_id || '.txt', '^.*5\\.txt$')")(lambda spark, d: S.filename(documents(spark, d), "1 *5.txt").select("doc_id"))
+
+query("term_stats", f"WITH t AS (SELECT doc_id, unnest({FOLDED}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term")(
+    lambda spark, d: I.term_stats(I.postings(documents(spark, d), ("content",))).select("term", "df", "cf")
+)
+query(
+    "postings",
+    f"WITH t AS (SELECT doc_id, unnest({FOLDED}) AS term, generate_subscripts({FOLDED}, 1) - 1 AS pos FROM documents) SELECT term, doc_id, count(*)::INT AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM t GROUP BY ALL",
+)(lambda spark, d: I.postings(documents(spark, d), ("content",)).select("term", "doc_id", "tf", F.array_join("positions", ",").alias("positions")))
+query("doc_len", f"SELECT doc_id, len({FOLDED})::BIGINT AS n FROM documents WHERE len({FOLDED}) > 0")(lambda spark, d: I.lengths(I.postings(documents(spark, d), ("content",))).select("doc_id", "n"))
+
+
+def _bm25(words: list[str], boosts: dict, match: str, limit: str) -> str:
+    parts, stats = [], []
+    for f, boost in boosts.items():
+        toks = "toks" if f == "content" else "[doc_id::VARCHAR, 'txt']"
+        stats.append(f"s_{f} AS (SELECT count(*) AS docs, avg(len({toks})) AS a FROM d WHERE len({toks}) > 0)")
+        for i, w in enumerate(words):
+            tf = f"len(list_filter({toks}, lambda t: t = '{w}'))"
+            stats.append(f"f_{f}_{i} AS (SELECT count(*) AS df FROM d WHERE {tf} > 0)")
+            parts.append(f"CASE WHEN {tf} > 0 THEN {boost} * ln(1 + (s_{f}.docs - f_{f}_{i}.df + 0.5) / (f_{f}_{i}.df + 0.5)) * {tf} * 2.2 / ({tf} + 1.2 * (0.25 + 0.75 * len({toks}) / s_{f}.a)) ELSE 0 END")
+    names = [s.split(" ")[0] for s in stats]
+    return f"WITH {DOCS}, {', '.join(stats)} SELECT doc_id, round({' + '.join(parts)}, 6) AS score FROM d, {', '.join(names)} WHERE {match} ORDER BY score DESC, doc_id {limit}"
+
+
+query("search_ranked", _bm25(["with", "for"], {"content": 1.0, "name": 3.0}, f"{_has(' with ')} OR {_has(' for ')}", "LIMIT 10"))(lambda spark, d: I.ranked(_index(spark, d), "with OR for"))
+query("bm25_page", _bm25(["with"], {"content": 1.0, "name": 3.0}, _has(" with "), "LIMIT 10 OFFSET 10"))(lambda spark, d: I.ranked(_index(spark, d), "with", 10, 10))
+query("bm25_boosted", _bm25(["with", "das"], {"content": 2.5}, f"{_has(' with ')} OR {_has(' das ')}", "LIMIT 25"))(lambda spark, d: I.ranked(_index(spark, d), "with OR das", 25, 0, {"content": 2.5, "name": 0.0}))
+query("sort_modified", f"WITH {DOCS} SELECT doc_id, mtime FROM d WHERE {_has(' with')} ORDER BY mtime DESC, doc_id LIMIT 20")(
+    lambda spark, d: S.smart(documents(spark, d), "with").orderBy(F.desc("mtime"), "doc_id").limit(20).select("doc_id", "mtime")
+)
+query("sort_size", f"WITH {DOCS} SELECT doc_id, size FROM d WHERE {_has(' with')} ORDER BY size DESC, doc_id LIMIT 20")(
+    lambda spark, d: S.smart(documents(spark, d), "with").orderBy(F.desc("size"), "doc_id").limit(20).select("doc_id", "size")
+)
+query("sort_name", f"WITH {DOCS} SELECT doc_id, name FROM d WHERE {_has(' with')} ORDER BY name, doc_id LIMIT 20 OFFSET 20")(
+    lambda spark, d: S.smart(documents(spark, d), "with").orderBy("name_lc", "doc_id").offset(20).limit(20).select("doc_id", "name")
+)
+query("hit_count", f"WITH {DOCS} SELECT count(*) AS total FROM d WHERE {_has(' with')}")(lambda spark, d: S.smart(documents(spark, d), "with").agg(F.count("*").alias("total")))
+query("match_counts", f"SELECT doc_id, least(len(list_filter({FOLDED}, lambda t: t = 'the')), 999)::INT AS matches, len(list_filter({FOLDED}, lambda t: t = 'the')) > 999 AS capped FROM documents")(
+    lambda spark, d: documents(spark, d).withColumn("n", F.size(F.filter(T.tokens(F.col("content")), lambda t: t == "the"))).select("doc_id", F.least("n", F.lit(999)).alias("matches"), (F.col("n") > 999).alias("capped"))
+)
+query("head_excerpt", "SELECT doc_id, translate(substring(text, 1, 90), chr(10) || chr(13) || chr(9), '   ') || CASE WHEN length(text) > 90 THEN '…' ELSE '' END AS head FROM documents")(
+    lambda spark, d: documents(spark, d).select("doc_id", F.concat(F.translate(F.substring("content", 1, 90), "\n\r\t", "   "), F.when(F.length("content") > 90, "…").otherwise("")).alias("head"))
+)
+
+
+@query("snippets")
+def snippets(spark, d):
+    hits = S.smart(documents(spark, d), "with OR das")
+    return hits.select("doc_id", X.snippets_udf("with OR das")("content").alias("s")).select("doc_id", "s.count", "s.capped", F.to_json("s.snippets").alias("snippets"))
+
+
+@query("html_text")
+def html_text(spark, d):
+    pages = table(spark, d, "pages").select("page_id", F.lit("page.html").alias("name"), F.col("html").alias("content"))
+    return extracted(pages).select("page_id", "title", "content", "status")
+
+
+query("html_title", r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages")(
+    lambda spark, d: table(spark, d, "pages").select("page_id", html_title(F.col("html")).alias("title"))
+)
+query(
+    "result_items",
+    f"WITH {DOCS} SELECT doc_id, path, name, parent AS dir, size, mtime, 'text' AS kind FROM d WHERE {_has(' with')}",
+)(lambda spark, d: S.smart(documents(spark, d), "with").select("doc_id", "path", "name", F.col("parent").alias("dir"), "size", "mtime", "kind"))
+query(
+    "member_items",
+    "SELECT conv_id, turn, '/mail/' || conv_id || '.pst' || ' › ' || role AS dir, 'eml' AS ext, strlen(text) AS size FROM conversations WHERE contains(lower(text), 'the')",
+)(lambda spark, d: table(spark, d, "conversations").filter(F.contains(F.lower("text"), F.lit("the"))).select("conv_id", "turn", F.concat_ws(" › ", F.concat(F.lit("/mail/"), F.col("conv_id").cast("string"), F.lit(".pst")), "role").alias("dir"), F.lit("eml").alias("ext"), F.octet_length("text").cast("long").alias("size")))
+query("container_summary", "SELECT conv_id, count(*) AS messages, count_if(text IS NULL OR text = '')::BIGINT AS skipped FROM conversations GROUP BY conv_id")(
+    lambda spark, d: table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("messages"), F.count_if(F.col("text").isNull() | (F.col("text") == "")).alias("skipped"))
+)
+
+
+def _files(spark, d) -> DataFrame:
+    status = F.when(F.col("quality").isNull(), 1).when(F.col("quality") == 0, 2).when(F.col("toxic") == 1, 3).otherwise(0)
+    known = table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    root = F.col("doc_id") % 7
+    return documents(spark, d).join(known, "doc_id", "left").select("doc_id", "path", "dir", "size", "mtime", status.alias("status"), root.alias("root"), F.when(status == 2, F.lit(32)).when(status == 3, F.lit(17)).when(status == 1, F.lit(8)).otherwise(F.lit(0)).cast("long").alias("flags"))
+
+
+FILES = f"""{DOCS}, k AS (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+ f AS (SELECT d.doc_id, path, parent || '/' AS dir, size, mtime, doc_id % 7 AS root, CASE WHEN quality IS NULL THEN 1 WHEN quality = 0 THEN 2 WHEN toxic = 1 THEN 3 ELSE 0 END AS status FROM d LEFT JOIN k USING (doc_id))"""
+query("status_counts", f"WITH {FILES} SELECT status, count(*) AS n FROM f GROUP BY status")(lambda spark, d: O.status_counts(_files(spark, d)))
+query("root_counts", f"WITH {FILES} SELECT root, count(*) AS n FROM f WHERE status <> 6 GROUP BY root")(lambda spark, d: O.root_counts(_files(spark, d)))
+query("file_totals", f"WITH {FILES} SELECT count(*) AS files, 0::BIGINT AS pending_ocr, sum(size)::BIGINT AS bytes FROM f")(lambda spark, d: O.totals(_files(spark, d)))
+query("problems_page", f"WITH {FILES} SELECT path, status FROM f WHERE status IN (2, 3, 4, 5) AND contains(lower(path), 'src1') ORDER BY path LIMIT 50 OFFSET 10")(
+    lambda spark, d: O.problems(_files(spark, d), None, "%SRC1_", 50, 10).select("path", "status")
+)
+query("flag_notes", f"WITH {FILES} SELECT doc_id, CASE status WHEN 2 THEN 'failed' WHEN 3 THEN 'truncated,encrypted' WHEN 1 THEN 'name_only' ELSE '' END AS notes FROM f")(
+    lambda spark, d: _files(spark, d).select("doc_id", F.array_join(O.flag_names(F.col("flags")), ",").alias("notes"))
+)
+
+
+def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
+    """A snapshot and a later listing: of ten documents one is gone, one is new, one has grown and one has moved."""
+    docs, k = documents(spark, d).select("doc_id", "path", (F.col("size") + 65_536).alias("size"), "mtime"), F.col("doc_id") % 10
+    moved = F.concat(F.lit("/moved"), F.col("path"))
+    listing = docs.filter(k != 0).select(F.when(k == 3, moved).otherwise(F.col("path")).alias("path"), (F.col("size") + F.when(k == 2, 1).otherwise(0)).alias("size"), "mtime")
+    return listing, docs.filter(k != 1).select("path", "size", "mtime")
+
+
+SIDES = f"""{DOCS}, l AS (SELECT CASE WHEN doc_id % 10 = 3 THEN '/moved' || path ELSE path END AS path, size + 65536 + CASE WHEN doc_id % 10 = 2 THEN 1 ELSE 0 END AS size, mtime FROM d WHERE doc_id % 10 <> 0),
+ s AS (SELECT path, size + 65536 AS size, mtime FROM d WHERE doc_id % 10 <> 1),
+ x AS (SELECT coalesce(l.path, s.path) AS path, CASE WHEN s.path IS NULL THEN 'new' WHEN l.path IS NULL THEN 'deleted' WHEN l.size = s.size AND l.mtime = s.mtime THEN 'same' ELSE 'changed' END AS action, l.size, s.size AS old_size, l.mtime, s.mtime AS old_mtime FROM l FULL JOIN s ON l.path = s.path)"""
+query("diff_actions", f"WITH {SIDES} SELECT path, action FROM x")(lambda spark, d: O.diff(*_sides(spark, d)).select("path", "action"))
+query(
+    "rename_pairs",
+    f"""WITH {SIDES}, a AS (SELECT path, old_size AS size, old_mtime AS mtime, row_number() OVER (PARTITION BY old_size, old_mtime ORDER BY path) AS r FROM x WHERE action = 'deleted' AND old_size >= 65536),
+ b AS (SELECT path, size, mtime, row_number() OVER (PARTITION BY size, mtime ORDER BY path) AS r FROM x WHERE action = 'new' AND size >= 65536)
+ SELECT a.path AS from_path, b.path AS to_path FROM a JOIN b USING (size, mtime, r)""",
+)(lambda spark, d: O.rename_pairs(O.diff(*_sides(spark, d))).select("from_path", "to_path"))
+
+
+@query("deleted_guarded", f"WITH {SIDES} SELECT path FROM x WHERE action = 'deleted' AND NOT starts_with(path, '/corpus/src1/') AND NOT starts_with(path, '/corpus/src2/en/')")
+def deleted_guarded(spark, d):
+    failed = spark.createDataFrame([("/corpus/src1",), ("/corpus/src2/en/",)], "dir string")
+    return O.guarded_deletes(O.diff(*_sides(spark, d)), failed)
+
+
+query("upsert_snapshot", f"WITH {SIDES} SELECT path, size FROM l UNION ALL SELECT path, size FROM s WHERE path NOT IN (SELECT path FROM l)")(lambda spark, d: (lambda a, b: O.upsert(b, a).select("path", "size"))(*_sides(spark, d)))
+query("remove_under", f"WITH {DOCS} SELECT doc_id FROM d WHERE NOT starts_with(path, '/corpus/src3/')")(lambda spark, d: O.remove(documents(spark, d), folder="/corpus/src3").select("doc_id"))
+query("touch", f"WITH {SIDES} SELECT s.path, coalesce(l.size, s.size) AS size FROM s LEFT JOIN l ON s.path = l.path")(lambda spark, d: (lambda a, b: O.touch(b, a).select("path", "size"))(*_sides(spark, d)))
+
+
+def _opens(spark, d) -> DataFrame:
+    return table(spark, d, "events").select(F.concat(F.lit("/u/"), (F.col("user_id") % 300).cast("string")).alias("dir"), "ts", "event_type")
+
+
+query("dir_hits_top", "SELECT '/u/' || (user_id % 300) AS dir, count(*) AS hits, max(ts) AS last_at FROM events GROUP BY 1 ORDER BY hits DESC, last_at DESC, dir LIMIT 200")(lambda spark, d: O.hot_dirs(_opens(spark, d)))
+query(
+    "debounce_sessions",
+    "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n FROM s GROUP BY user_id, k",
+)(lambda spark, d: C.sessions(table(spark, d, "events"), "user_id", 3 * 3600))
+query("storm_roots", "SELECT user_id % 20 AS root, date_trunc('day', ts) AS start, count(DISTINCT user_id) AS paths FROM events GROUP BY 1, 2 HAVING count(DISTINCT user_id) > 3")(
+    lambda spark, d: C.storms(table(spark, d, "events").select((F.col("user_id") % 20).alias("root"), F.col("user_id").cast("string").alias("path"), "ts"), "1 day", 3).select("root", F.col("start").cast("timestamp_ntz").alias("start"), "paths")
+)
+query("json_props", "SELECT event_type, count(*) AS n, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS k FROM events GROUP BY event_type")(
+    lambda spark, d: table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"))
+)
+query("range_filters", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01' AND o_totalprice >= 100000 AND o_totalprice < 200000")(
+    lambda spark, d: table(spark, d, "orders").filter((F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")) & S.in_range("o_totalprice", (100_000, 200_000))).select("o_orderkey")
+)
+query("set_union", f"WITH {DOCS} SELECT doc_id FROM d WHERE {_has(' with ')} UNION SELECT doc_id FROM d WHERE {_has(' das ')}")(
+    lambda spark, d: reduce(lambda a, b: a.union(b).distinct(), [S.smart(documents(spark, d), w, whole_word=True).select("doc_id") for w in ("with", "das")])
+)
+query("set_intersect", f"WITH {DOCS} SELECT doc_id FROM d WHERE {_has(' with ')} INTERSECT SELECT doc_id FROM d WHERE {_has(' for ')}")(
+    lambda spark, d: reduce(DataFrame.intersect, [S.smart(documents(spark, d), w, whole_word=True).select("doc_id") for w in ("with", "for")])
+)
+query("set_except", f"WITH {DOCS} SELECT doc_id FROM d WHERE {_has(' with ')} EXCEPT SELECT doc_id FROM d WHERE {_has(' for ')}")(
+    lambda spark, d: reduce(DataFrame.subtract, [S.smart(documents(spark, d), w, whole_word=True).select("doc_id") for w in ("with", "for")])
+)
+query("scan_requests", "SELECT DISTINCT source AS root, lang AS dir FROM documents WHERE NOT (lang <> 'en' AND source IN (SELECT source FROM documents WHERE lang = 'en'))")(lambda spark, d: _scan_requests(spark, d))
+
+
+def _scan_requests(spark, d) -> DataFrame:
+    """Queued scans without those that another one of the root covers ('en' stands for a parent folder)."""
+    asked = table(spark, d, "documents").select(F.col("source").alias("root"), F.col("lang").alias("dir")).distinct()
+    cover = asked.filter("dir = 'en'").select("root").distinct()
+    return asked.filter("dir = 'en'").unionByName(asked.filter("dir <> 'en'").join(cover, "root", "left_anti"))
+
+
