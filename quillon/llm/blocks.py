@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .files import place
 
 #: Rows of a block at most.
-ROWS = 8192
+ROWS = 4096
 
 
 class Blocks:

@@ -27,7 +27,7 @@ from .wordtable import hashes, spans
 
 DEPTH, END = 5, 255
 #: Bytes of text whose grams are sorted at once.
-SUB = 2 << 20
+SUB = 1 << 20
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _HALF = np.log(0.5)
 
@@ -102,7 +102,7 @@ class Tally:
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.parts.append((keys, counts))
         self.size += len(keys)
-        if self.size > 2 * self.last + 4_000_000:
+        if self.size > 2 * self.last + 1_500_000:
             self.parts = [self.result()]
             self.size = self.last = len(self.parts[0][0])
 

@@ -32,7 +32,7 @@ from .blocks import Blocks, read_block
 
 SPAN, GRAM = 50, 24
 #: Bytes that are hashed at once, and bytes of one suffix array.
-SUB, PART = 1 << 20, 8 << 20
+SUB, PART = 1 << 19, 2 << 20
 _LOW = (1 << 23) - 1
 LAST = (1 << 63) - 1
 
