@@ -46,7 +46,7 @@ def query(name: str, sql: str | None = None):
 def _smart(name: str, text: str, where: str, **options) -> None:
     """A query of the search language, by a scan and by the index, against one condition in SQL."""
     sql = f"WITH {DOCS} SELECT doc_id FROM d WHERE {where}"
-    query(f"smart_{name}", sql)(lambda spark, d: S.smart(documents(spark, d), text, **options).select("doc_id"))
+    query(f"smart_{name}", sql)(lambda spark, d: S.smart(documents(spark, d), text, **{k: v() if k == "filters" else v for k, v in options.items()}).select("doc_id"))
     if not options.get("case_sensitive") and "filters" not in options:
         query(f"index_{name}", sql)(lambda spark, d: _index(spark, d).matches(text, whole_word=options.get("whole_word", False), now=options.get("now")))
 
@@ -78,7 +78,7 @@ _smart("filter_modified_after", "modified:>2024-01 with", f"mtime >= epoch(DATE
 _smart("filter_size", "size:<=2kb", "size < 2049")
 _smart("filter_size_range", "size:1kb..1.5kb with", f"size >= 1024 AND size < 1537 AND {_has(' with')}")
 _smart("case_sensitive", "The", f"contains(' ' || array_to_string({AS_IS}, ' ') || ' ', ' The')", case_sensitive=True)
-_smart("ui_filters", "with", f"size >= 1000 AND size <= 3000 AND mtime < {EPOCH + 900 * 3600} AND starts_with(parent || '/', '/corpus/src2/') AND {_has(' with')}", filters=S.ui_filters(("txt",), ("text",), ("/corpus/src2",), None, EPOCH + 900 * 3600, 1000, 3000))
+_smart("ui_filters", "with", f"size >= 1000 AND size <= 3000 AND mtime < {EPOCH + 900 * 3600} AND starts_with(parent || '/', '/corpus/src2/') AND {_has(' with')}", filters=lambda: S.ui_filters(("txt",), ("text",), ("/corpus/src2",), None, EPOCH + 900 * 3600, 1000, 3000))
 
 
 @query("exact_literal", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)of\s+the') OR regexp_matches(doc_id || '.txt', '(?i)of\s+the')")

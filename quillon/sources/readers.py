@@ -38,7 +38,7 @@ def decoded(data: bytes) -> str:
     try:
         return data.decode("utf-8")
     except UnicodeDecodeError as e:
-        return data[: e.start].decode("utf-8") if e.start >= len(data) - 3 else data.decode("cp1252", "replace")
+        return data[: e.start].decode("utf-8") if e.reason == "unexpected end of data" and e.start else data.decode("cp1252", "replace")
 
 
 def plain(data: bytes, sink: Sink, depth: int = 0) -> None:

@@ -46,7 +46,7 @@ class Filter:
         if not self.hidden:
             out = out & ~F.exists(parts, lambda p: F.startswith(p, F.lit(".")))
         if self.globs:
-            out = out & ~reduce(or_, [F.lower("name").rlike(T.glob_regex(g.lower())) | F.exists(parts, lambda p, g=g: p.rlike(T.glob_regex(g.lower()))) for g in self.globs])
+            out = out & ~reduce(or_, [F.exists(parts, matching(T.glob_regex(g.lower()))) for g in self.globs])
         for p in (*self.paths, *self.skip):
             out = out & ~F.startswith("path", F.lit(p.rstrip("/") + "/"))
         if self.only_exts:
@@ -64,6 +64,10 @@ def scan(spark: SparkSession, root: str, keep: Filter | None = None) -> DataFram
     return df.filter((keep or Filter()).column())
 
 
+def matching(pattern: str):
+    return lambda part: part.rlike(pattern)
+
+
 def kind(ext: Column) -> Column:
     """The kind of an extension; csv is a spreadsheet."""
     pairs = {e: k for k, es in KINDS.items() for e in es.split()}

@@ -81,6 +81,7 @@ def apply_changes(files: DataFrame, changes: DataFrame) -> DataFrame:
     """A snapshot of files after changes (path, op, from_path, size, mtime): upsert, remove and rename. A rename keeps what
     was known of the file. Replaying the same changes gives the same snapshot."""
     moved = changes.filter("op = 'rename'").select(F.col("from_path").alias("path"), F.col("path").alias("__to")).dropDuplicates(["path"])
+    moved = moved.join(files.select("path"), "path", "left_semi")  # a rename that was applied already moves nothing
     taken = moved.select(F.col("__to").alias("path")).unionByName(changes.filter("op = 'remove'").select("path")).distinct()
     stay = files.join(moved, "path", "left")
     renamed = stay.filter("__to IS NOT NULL").withColumn("path", F.col("__to")).select(*files.columns)
