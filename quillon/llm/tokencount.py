@@ -24,18 +24,17 @@ def chunk_starts(text: bytes, chunk: int, overlap: int) -> list[tuple[int, int]]
         out.append((at, to))
         if to == len(text):
             return out
-        wide = overlap
-        while True:
-            lo = max(at, to - wide)
-            if stable(text, lo, to) is not None:
-                at = max(lo, at + 1)
-                break
-            if lo == at:  # no boundary in the whole chunk: the chunk itself must grow
-                to = min(len(text), to + chunk)
-                out[-1] = (at, to)
-                if to == len(text):
-                    return out
-            wide *= 2
+        wide = min(overlap, chunk // 2)
+        while to - wide <= at or stable(text, to - wide, to) is None:
+            if to - wide > at:
+                wide *= 2
+                continue
+            to = min(len(text), 2 * to - at)  # no boundary in the whole chunk: the chunk itself must grow
+            out[-1] = (at, to)
+            if to == len(text):
+                return out
+            wide = min(overlap, chunk // 2)
+        at = to - wide
 
 
 def stable(text: bytes, lo: int, hi: int) -> int | None:
