@@ -26,6 +26,8 @@ WALKS, SAMPLED, AGREE = 4, 3, 0.35
 #: Bytes of benchmark text that one pass over the documents handles.
 ITEM_BYTES = 4_000_000
 WINDOWS = 2048
+#: Pairs whose distances are computed in step.
+PAIRS = 1024
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -70,7 +72,7 @@ class Walk:
         n, steps = len(rows), len(self.bits)
         out = np.full((n, steps), 256, np.int16)
         at, every = np.zeros(n, np.int64), np.arange(n)
-        for j in range(min(steps, 3 * int(sizes.max(initial=0)))):
+        for j in range(min(steps, 2 * int(sizes.max(initial=0)))):
             inside = at < sizes
             c = rows[every, np.minimum(at, rows.shape[1] - 1)]
             out[:, j] = np.where(inside, c, 256)
@@ -78,32 +80,63 @@ class Walk:
         return out
 
 
-def distance(item: bytes, text: bytes, most: int) -> tuple[int, int] | None:
-    """(edits, end) of the part of ``text`` nearest to ``item``, the first such end; None if over ``most`` edits.
+def distances(items: list[bytes], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each item and its text: the edits to the nearest part of the text, and the first end of such a part.
 
-    Myers' bit-parallel recurrence on integers as long as the item.
+    Myers' bit-parallel columns in words of 64 rows, for all pairs in step: a word hands the change along its last row to
+    the next word. A part may begin anywhere, at no cost.
     """
-    m = len(item)
-    masks: dict[int, int] = {}
-    for i, c in enumerate(item):
-        masks[c] = masks.get(c, 0) | 1 << i
-    full, top = (1 << m) - 1, 1 << m - 1
-    pv, mv, score, best, end = full, 0, m, m, 0
-    for j, c in enumerate(text):
-        eq = masks.get(c, 0)
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph = mv | ~(xh | pv) & full
-        mh = pv & xh
-        if ph & top:
-            score += 1
-        elif mh & top:
-            score -= 1
-        ph, mh = ph << 1 & full, mh << 1 & full  # a part may begin anywhere, at no cost
-        pv, mv = mh | ~(xv | ph) & full, ph & xv
-        if score < best:
-            best, end = score, j + 1
-    return (best, end) if best <= most else None
+    n, one = len(items), np.uint64(1)
+    m = np.array([len(x) for x in items])
+    words = -(-int(m.max(initial=1)) // 64)
+    kinds, which = {}, []
+    for x in items:
+        which.append(kinds.setdefault(x, len(kinds)))
+    masks = np.zeros((len(kinds), 256, words), np.uint64)
+    for x, k in kinds.items():
+        i = np.arange(len(x))
+        np.bitwise_or.at(masks, (k, np.frombuffer(x, np.uint8), i >> 6), one << (i & 63).astype(np.uint64))
+    which, last, bit = np.array(which), (m - 1) >> 6, ((m - 1) & 63).astype(np.uint64)
+    size = np.array([len(t) for t in texts])
+    by = np.argsort(-size, kind="stable")  # texts that end go from the back
+    rows = np.zeros((n, int(size.max(initial=0))), np.uint8)
+    for r, k in enumerate(by.tolist()):
+        rows[r, : size[k]] = np.frombuffer(texts[k], np.uint8)
+    which, last, bit, size = which[by], last[by], bit[by], size[by]
+    pv, mv = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
+    score = m[by].copy()
+    best, end = score.copy(), np.zeros(n, np.int64)
+    for j in range(rows.shape[1]):
+        live = int(np.searchsorted(-size, -j))  # sizes above j
+        eqs = masks[which[:live], rows[:live, j]]
+        up = down = np.zeros(live, np.uint64)  # what the word above hands on
+        for w in range(words):
+            eq, p, v = eqs[:, w], pv[w, :live], mv[w, :live]
+            xv = eq | v
+            eq = eq | down
+            xh = (((eq & p) + p) ^ p) | eq
+            ph, mh = v | ~(xh | p), p & xh
+            here = last[:live] == w
+            score[:live] += np.where(here, (ph >> bit[:live] & one).astype(np.int64) - (mh >> bit[:live] & one).astype(np.int64), 0)
+            next_up, next_down = ph >> np.uint64(63), mh >> np.uint64(63)
+            ph, mh = ph << one | up, mh << one | down
+            pv[w, :live], mv[w, :live] = mh | ~(xv | ph), ph & xv
+            up, down = next_up, next_down
+        better = score[:live] < best[:live]
+        best[:live] = np.where(better, score[:live], best[:live])
+        end[:live] = np.where(better, j + 1, end[:live])
+    out = np.empty(n, np.int64), np.empty(n, np.int64)
+    out[0][by], out[1][by] = best, end
+    return out
+
+
+def keep(found: list[dict], item_id: int, edits: int, end: int) -> None:
+    """Adds an item to a text's list, or improves its entry."""
+    old = next((x for x in found if x["item_id"] == item_id), None)
+    if old is None:
+        found.append({"item_id": item_id, "edits": edits, "end": end})
+    elif (edits, end) < (old["edits"], old["end"]):
+        old.update(edits=edits, end=end)
 
 
 class Matcher:
@@ -119,7 +152,7 @@ class Matcher:
         self.size = np.array([len(t) for _, t in self.items], np.int64)
         self.slack = (self.size * self.share).astype(np.int64)
         longest = int(self.size.max(initial=1))
-        self.walks = [Walk(3 * longest, SEED + w) for w in range(WALKS)]
+        self.walks = [Walk(2 * longest, SEED + w) for w in range(WALKS)]
         rng = np.random.default_rng(SEED)
         n = tables(self.recall)
         # positions lie where the walk still reads the string: it moves on at every other step
@@ -201,20 +234,25 @@ class Matcher:
         apart = np.concatenate(([True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > self.slack[item[1:]])))
         first = np.flatnonzero(apart)
         last = np.append(first[1:], len(text)) - 1
-        for a, b in zip(first[np.logical_or.reduceat(hit, first)].tolist(), last[np.logical_or.reduceat(hit, first)].tolist()):
+        some = np.logical_or.reduceat(hit, first)
+        pairs = []
+        for a, b in zip(first[some].tolist(), last[some].tolist()):
             d, k = int(text[a]), int(item[a])
             slack, needle = int(self.slack[k]), self.items[k][1]
             lo = max(0, int(start[a]) - slack)
             part = texts[d][lo : int(start[b]) + len(needle) + slack]
             at = part.find(needle)
-            got = (0, at + len(needle)) if at >= 0 else distance(needle, part, slack)
-            if got:
-                old = next((x for x in out[d] if x["item_id"] == self.items[k][0]), None)
-                new = {"item_id": self.items[k][0], "edits": got[0], "end": lo + got[1]}
-                if old is None:
-                    out[d].append(new)
-                elif (new["edits"], new["end"]) < (old["edits"], old["end"]):
-                    old.update(new)
+            if at >= 0:
+                keep(out[d], self.items[k][0], 0, lo + at + len(needle))
+            else:
+                pairs.append((d, k, lo, part))
+        pairs.sort(key=lambda x: len(self.items[x[1]][1]))
+        for lo in range(0, len(pairs), PAIRS):
+            group = pairs[lo : lo + PAIRS]
+            edits, ends = distances([self.items[k][1] for _, k, *_ in group], [part for *_, part in group])
+            for (d, k, at, _), e, end in zip(group, edits.tolist(), ends.tolist()):
+                if e <= self.slack[k]:
+                    keep(out[d], self.items[k][0], e, at + end)
         return out
 
     def __call__(self, raw: list) -> dict:
