@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -37,14 +39,33 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quillon-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, where: str | None = None) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, where: str | None = None, row_group: int | None = None) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: cuts lineage and survives lost executors.
+
+    ``row_group``: bytes of a row group, for tables of large values, of which Spark reads up to 4,096 rows of a row group at once.
+    """
     spark = df.sparkSession
     where = where or shared_dir(spark)
-    df.write.mode("overwrite").parquet(where)
+    out = df.write.mode("overwrite")
+    (out.option("parquet.block.size", row_group) if row_group else out).parquet(where)
     return spark.read.schema(df.schema).parquet(where)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose tables nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def trim() -> None:
+    """Gives freed memory of a Python worker back, which lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def held_fold(id_col: str, folds: int, fold: int):
     """True where crc32(id as text) mod ``folds`` is ``fold``; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))

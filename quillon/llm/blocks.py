@@ -20,7 +20,7 @@ class Blocks:
 
     def __init__(self, df: DataFrame, where: str, rows: int = ROWS):
         spark = df.sparkSession
-        df.write.option("maxRecordsPerFile", rows).option("parquet.block.size", 8 << 20).parquet(where)
+        df.write.option("maxRecordsPerFile", rows).option("parquet.block.size", 8 << 20).option("compression", "zstd").parquet(where)
         self.names = sorted(spark.read.schema(df.schema).parquet(where).inputFiles())
         self.spark, self.schema = spark, df.schema
         self.files = spark.createDataFrame(list(enumerate(self.names)), "block int, file string")

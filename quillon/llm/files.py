@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import uuid
 
 from pyarrow import fs
 
@@ -21,7 +22,7 @@ class NewFile:
     def __init__(self, uri: str):
         self.fs, self.path = place(uri)
         self.fs.create_dir(posixpath.dirname(self.path), recursive=True)
-        self.part = f"{posixpath.dirname(self.path)}/.{posixpath.basename(self.path)}.part"
+        self.part = f"{posixpath.dirname(self.path)}/.{posixpath.basename(self.path)}.{uuid.uuid4().hex}.part"
         self.out = self.fs.open_output_stream(self.part, compression=None, buffer_size=1 << 20)
         self.at = 0
 
@@ -35,7 +36,11 @@ class NewFile:
     def __exit__(self, kind, *_):
         self.out.close()
         if kind is None:
-            self.fs.move(self.part, self.path)
+            try:
+                self.fs.move(self.part, self.path)
+            except OSError:  # a file system that does not replace: an earlier run of the task left the same file
+                self.fs.delete_file(self.path)
+                self.fs.move(self.part, self.path)
         else:
             self.fs.delete_file(self.part)
 

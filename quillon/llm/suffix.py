@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import shared_dir, stored, table
+from .base import release, shared_dir, stored, table, trim
 from .blocks import Blocks, read_block
+from .files import NewFile, open_file
 
 SPAN, GRAM = 50, 24
 #: Bytes that are hashed at once, and bytes of one suffix array.
@@ -436,10 +437,9 @@ def block_kept(file: str, occurrences: list[np.ndarray] | None, answers: list[li
         yield batch, texts, removed, kept
 
 
-def deduplicated(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", keep: tuple = (), spans: bool = False) -> DataFrame:
-    """One row per row of ``docs``: id, ``keep``, kept (binary), text (kept without characters that
-    a cut has split), n_bytes, n_removed, n_spans, kept_sha256 and, if asked for,
-    the removed spans. Windows never cross documents, null texts count as empty, rows with equal ids do not cut each other.
+def deduplicated(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", keep: tuple = (), texts: bool = True, spans: bool = False) -> DataFrame:
+    """One row per row of ``docs``: id, ``keep``, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes) and, if
+    asked for, text (what remains, without characters that a cut has split) and the removed spans. Windows never cross documents, null texts count as empty, rows with equal ids do not cut each other.
     Rows with a null id are cut by all others and cut none. Ids are integers below 2**63 - 1. An empty table gives no rows.
     """
     spark, where = docs.sparkSession, shared_dir(docs.sparkSession)
@@ -461,35 +461,47 @@ def deduplicated(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text
         got = list(shared_hashes(list(zip(rows.column("block").to_pylist(), rows.column("payload").to_pylist()))))
         return pa.table({"block": pa.array([b for b, _ in got], pa.int32()), "payload": pa.array([d for _, d in got], pa.binary())})
 
-    shared = stored(sent.groupBy("target").applyInArrow(meet, "block int, payload binary"), f"{where}/shared")
+    shared = stored(sent.groupBy("target").applyInArrow(meet, "block int, payload binary"), f"{where}/shared", 4 << 20)
+    del sent
+    release(spark)
 
     def fragments(rows: pa.Table) -> pa.Table:
         file = next(x for x in rows.column("file").to_pylist() if x)
         data = [unplanes(unpack(x)[0]) for x in rows.column("payload").to_pylist() if x]
         block = rows.column("block")[0].as_py()
-        out = [(to, block, x) for to, x in block_fragments(file, np.sort(np.concatenate(data)), span, shift)] if data else []
-        return pa.Table.from_batches([_pairs(out)])
-
-    found = stored(blocks.with_rows(shared).groupBy("block").applyInArrow(fragments, pairs), f"{where}/fragments")
+        out = []
+        for to, x in block_fragments(file, np.sort(np.concatenate(data)), span, shift) if data else ():
+            if to < 0:
+                with NewFile(f"{where}/occurrences/{block}") as side:
+                    side.write(x)
+            else:
+                out.append((to, block, x))
+        made = pa.Table.from_batches([_pairs(out)])
+        trim()
+        return made
+
+    found = blocks.with_rows(shared).groupBy("block").applyInArrow(fragments, pairs)
 
     def shard(rows: pa.Table) -> pa.Table:
         got = list(shard_windows(list(zip(rows.column("block").to_pylist(), rows.column("payload").to_pylist())), span))
-        return pa.table({"block": pa.array([b for b, _ in got], pa.int32()), "payload": pa.array([d for _, d in got], pa.binary()), "answer": pa.array([True] * len(got))})
+        trim()
+        return pa.table({"block": pa.array([b for b, _ in got], pa.int32()), "payload": pa.array([d for _, d in got], pa.binary())})
 
-    answers = found.filter("target >= 0").groupBy("target").applyInArrow(shard, "block int, payload binary, answer boolean")
-    rows = answers.unionByName(found.filter("target < 0").select("block", "payload", F.lit(False).alias("answer")))
-    rows = rows.withColumn("file", F.lit(None).cast("string")).unionByName(blocks.files.select("block", F.lit(None).cast("binary").alias("payload"), F.lit(None).cast("boolean").alias("answer"), "file"))
-    schema = T.StructType([T.StructField(id_col, T.LongType()), *[docs.schema[c] for c in keep], *T._parse_datatype_string("kept binary, text string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>").fields])
+    rows = blocks.with_rows(found.groupBy("target").applyInArrow(shard, "block int, payload binary"))
+    schema = T.StructType([T.StructField(id_col, T.LongType()), *[docs.schema[c] for c in keep], *T._parse_datatype_string("n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", text string" * texts + ", spans array<struct<start:bigint,end:bigint>>" * spans).fields])
 
     def cut(table_: pa.Table) -> pa.Table:
         file = next(x for x in table_.column("file").to_pylist() if x)
-        flags, data = table_.column("answer").to_pylist(), table_.column("payload").to_pylist()
-        where_ = next((unpack(d) for f, d in zip(flags, data) if f is False), None)
-        got = [unpack(d) for f, d in zip(flags, data) if f]
-        return pa.Table.from_batches([_cut(batch, texts, gone, kept, id_col, keep) for batch, texts, gone, kept in block_kept(file, where_, got, span)])
+        got = [unpack(d) for d in table_.column("payload").to_pylist() if d]
+        where_ = None
+        if got:  # a block whose fragments were answered has written where they are
+            with open_file(f"{where}/occurrences/{table_.column('block')[0].as_py()}") as side:
+                where_ = unpack(side.read())
+        out = pa.Table.from_batches([_cut(batch, whole, gone, kept, id_col, keep, texts, spans) for batch, whole, gone, kept in block_kept(file, where_, got, span)])
+        trim()
+        return out
 
-    out = rows.groupBy("block").applyInArrow(cut, schema)
-    return out if spans else out.drop("spans")
+    return rows.groupBy("block").applyInArrow(cut, schema)
 
 
 def _pairs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -497,15 +509,19 @@ def _pairs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(block, pa.int32()), pa.array(data, pa.binary())], names=["target", "block", "payload"])
 
 
-def _cut(batch: pa.RecordBatch, texts: list, gone: list, kept: list, id_col: str, keep: tuple) -> pa.RecordBatch:
+def _cut(batch: pa.RecordBatch, whole: list, gone: list, kept: list, id_col: str, keep: tuple, texts: bool, spans: bool) -> pa.RecordBatch:
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     cols = {
-        id_col: batch.column("__id"), **{c: batch.column(c) for c in keep}, "kept": pa.array(kept, pa.binary()), "text": pa.array([t.decode("utf-8", "ignore") for t in kept]), "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
+        id_col: batch.column("__id"), **{c: batch.column(c) for c in keep}, "n_bytes": pa.array([len(t) for t in whole], pa.int64()),
         "n_removed": pa.array([int((s[:, 1] - s[:, 0]).sum()) for s in gone], pa.int64()), "n_spans": pa.array([len(s) for s in gone], pa.int64()),
-        "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in kept]), "spans": pa.array([[{"start": a, "end": b} for a, b in s.tolist()] for s in gone], span_type),
+        "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in kept]),
     }
+    if texts:
+        cols["text"] = pa.array([t.decode("utf-8", "ignore") for t in kept])
+    if spans:
+        cols["spans"] = pa.array([[{"start": a, "end": b} for a, b in s.tolist()] for s in gone], span_type)
     return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(table(spark, sf_dir, "documents")).drop("kept", "text")
+    return deduplicated(table(spark, sf_dir, "documents"), texts=False)
