@@ -93,14 +93,17 @@ def map_texts(df: DataFrame, fn: Callable[[list], dict], schema: str, id_col: st
 
 
 def append_texts(df: DataFrame, fn: Callable[[list], dict], schema: str, text_col: str = "text") -> DataFrame:
-    """All columns of ``df`` with what ``fn`` makes of batches of whole texts, as in map_texts, behind them."""
+    """All columns of ``df`` with what ``fn`` makes of batches of whole texts, as in map_texts, behind them.
+
+    Before the names that ``fn`` gives stand two underscores, in ``schema`` as well, so that they clash with none of df's.
+    """
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text_col):
                 out = fn([(x or "").encode() for x in batch.column(text_col).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*batch.columns, *map(as_array, out.values())], names=[*names, *out])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *map(as_array, out.values())], names=[*names, *(f"__{k}" for k in out)])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(run, f"{fields}, {schema}")

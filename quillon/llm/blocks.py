@@ -40,4 +40,7 @@ class Blocks:
 def read_block(file: str, columns: list[str] | None = None, rows: int = 2048) -> Iterator[pa.RecordBatch]:
     system, path = place(file.replace("%25", "%") if file.startswith("file:") else file)
     with system.open_input_file(path) as f:
-        yield from pq.ParquetFile(f).iter_batches(batch_size=rows, columns=columns)
+        table = pq.ParquetFile(f)
+        if not table.metadata.num_rows:  # what an empty table leaves
+            yield from table.read(columns).to_batches() or [pa.RecordBatch.from_pylist([], table.schema_arrow if columns is None else pa.schema([table.schema_arrow.field(c) for c in columns]))]
+        yield from table.iter_batches(batch_size=rows, columns=columns)

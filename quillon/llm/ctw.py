@@ -354,6 +354,9 @@ def language_scores(docs: DataFrame, held_out=None, depth: int = DEPTH, id_col:
             got["train_tokens"] = np.full(len(got["score"]), totals[0], np.int64)
             held_out_ = pa.array(~batch.column("__train").to_numpy(zero_copy_only=False))
             out.append(pa.RecordBatch.from_arrays([batch.column("__id"), held_out_, *[pa.array(got[k]) for k in names]], names=[id_col, "held_out", *names]))
+        if not out:
+            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            return pa.table([next(read_block(file)).column("__id"), *[pa.array([], k) for k in kinds]], names=[id_col, "held_out", *names])
         return pa.Table.from_batches(out)
 
     return rows.groupBy("block").applyInArrow(score, f"`{id_col}` {id_type.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

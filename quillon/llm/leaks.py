@@ -292,7 +292,7 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, recall: float
 def clean(docs: DataFrame, items: DataFrame, share: float = SHARE, recall: float = RECALL, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that leak an item; all its columns, unchanged."""
     for block in item_blocks(items):
-        docs = append_texts(docs, Matcher(block, share, recall), SCHEMA, text_col).filter(F.size("leaks") == 0).drop("leaks")
+        docs = append_texts(docs, Matcher(block, share, recall), f"__{SCHEMA}", text_col).filter(F.size("__leaks") == 0).drop("__leaks")
     return docs
 
 

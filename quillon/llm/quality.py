@@ -142,7 +142,7 @@ class Scorer:
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that the model rejects; all its columns, unchanged."""
-    return append_texts(docs, Scorer(model, threshold), "score double, predicted int", text_col).filter("predicted = 1").drop("score", "predicted")
+    return append_texts(docs, Scorer(model, threshold), "__score double, __predicted int", text_col).filter("__predicted = 1").drop("__score", "__predicted")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

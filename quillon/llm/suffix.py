@@ -514,10 +514,10 @@ def _cut(batch: pa.RecordBatch, whole: list, gone: list, kept: list, id_col: str
     cols = {
         id_col: batch.column("__id"), **{c: batch.column(c) for c in keep}, "n_bytes": pa.array([len(t) for t in whole], pa.int64()),
         "n_removed": pa.array([int((s[:, 1] - s[:, 0]).sum()) for s in gone], pa.int64()), "n_spans": pa.array([len(s) for s in gone], pa.int64()),
-        "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in kept]),
+        "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string()),
     }
     if texts:
-        cols["text"] = pa.array([t.decode("utf-8", "ignore") for t in kept])
+        cols["text"] = pa.array([t.decode("utf-8", "ignore") for t in kept], pa.string())
     if spans:
         cols["spans"] = pa.array([[{"start": a, "end": b} for a, b in s.tolist()] for s in gone], span_type)
     return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
