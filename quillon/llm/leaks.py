@@ -1,16 +1,15 @@
 """Benchmark decontamination under edit distance.
 
-A document leaks an item if part of it is within ``share`` of the item's length in edits. Windows of the item's size are
-laid where document and item have a seed (a short run of bytes) in common. The CGK random walk embeds window and item so
-that few edits become few Hamming differences: at each step it writes the current byte and moves on or stays by a random
-bit for that step and byte. Repeated bit sampling compares embeddings in as many tables as the target recall needs; what
-collides is verified exactly by bit-parallel edit distance. Both sides are compared in lower case (A-Z), with runs of
+A document leaks an item if part of it is within ``share`` of the item's length in edits. An item is cut into more pieces
+than it may have edits, so one piece at least is in the document as it is. The same holds for groups of pieces: one of w
+pieces has at most w - 1 edits in it, and within it one of its pairs has one edit at most. So pieces are looked up at each
+byte of the document, then the other piece of the pair and a node of up to 64 bytes must be near; what is left is verified
+exactly by bit-parallel edit distance. No step loses a leak. Both sides are compared in lower case (A-Z), with runs of
 ASCII white space as one space, as UTF-8 bytes.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +19,15 @@ from pyspark.sql import functions as F
 
 from .base import append_texts, map_texts, table
 
-SHARE, RECALL, SEED = 0.2, 0.99, 42
-#: Walks; positions sampled for a table; the share of positions that agree in embeddings at the threshold, for the number of tables.
-WALKS, SAMPLED, AGREE = 4, 3, 0.35
+SHARE, RECALL = 0.2, 0.99
 #: Bytes of benchmark text that one pass over the documents handles.
 ITEM_BYTES = 4_000_000
-WINDOWS = 2048
+#: Bytes of a node at most; bytes of text, hits of seeds and nodes that are handled at once.
+NODE, BYTES, HITS, PROBES, WINDOWS = 64, 1 << 16, 1 << 17, 1 << 16, 4096
 #: Pairs whose distances are computed in step.
 PAIRS = 1024
+#: Masks of the lowest bytes of eight, by their number.
+LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -35,49 +35,26 @@ def plain(text: bytes) -> bytes:
     return b" ".join(text.translate(_LOWER).split())
 
 
-def seed_length(n: int) -> int:
-    """Bytes of a seed for an item of n bytes: long enough to be rare, short enough to survive edits."""
-    return 12 if n >= 64 else 8 if n >= 24 else max(1, n // 2)
-
-
-def rolling(buf: np.ndarray, q: int) -> np.ndarray:
-    """A hash of each q-gram."""
-    base, h, size, have, out = 0x9E3779B97F4A7C15, buf.astype(np.uint64) + np.uint64(1), 1, 0, None
-    rest = q
-    while rest:
-        if rest & 1:
-            m = len(buf) - have - size + 1
-            out = h if out is None else out[:m] * np.uint64(pow(base, size, 1 << 64)) + h[have : have + m]
-            have += size
-        rest >>= 1
-        if rest:
-            h = h[:-size] * np.uint64(pow(base, size, 1 << 64)) + h[size:]
-            size *= 2
-    x = (out ^ (out >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
-
-
-def tables(recall: float) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - AGREE**SAMPLED))
-
-
-class Walk:
-    """CGK embeddings for one seed: the random bit of each step and byte."""
-
-    def __init__(self, steps: int, seed: int):
-        self.bits = np.random.default_rng(seed).integers(0, 256, (steps, 32), np.uint8)
-
-    def __call__(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """rows: padded byte strings, sizes: their lengths. One embedded symbol for each step; 256 beyond the end."""
-        n, steps = len(rows), len(self.bits)
-        out = np.full((n, steps), 256, np.int16)
-        at, every = np.zeros(n, np.int64), np.arange(n)
-        for j in range(min(steps, 2 * int(sizes.max(initial=0)))):
-            inside = at < sizes
-            c = rows[every, np.minimum(at, rows.shape[1] - 1)]
-            out[:, j] = np.where(inside, c, 256)
-            at += inside & np.unpackbits(self.bits[j])[c].astype(bool)
-        return out
+def cuts(n: int, slack: int) -> list[int]:
+    """Where an item of n bytes is cut: more pieces than edits, in pairs; one piece where no edit is allowed."""
+    k = slack + 1 + (slack + 1) % 2 if slack else 1
+    return [n * j // k for j in range(k + 1)]
+
+
+def eights(buf: np.ndarray) -> np.ndarray:
+    """At each position the eight bytes from there on, the first one lowest."""
+    return np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,)).copy()
+
+
+def within_one(text: np.ndarray, item: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the first n (7 at most) of eight bytes of an item become a start of the text's eight by one edit or none."""
+    diff = text ^ item
+    same = np.minimum(np.bitwise_count((diff & (~diff + np.uint64(1))) - np.uint64(1)) >> 3, n)  # bytes before the first difference
+    left, at = n - same, same.astype(np.uint64) << np.uint64(3)
+    more = np.minimum(at + np.uint64(8), np.uint64(56))
+    rest, fewer = LOW[left], LOW[np.maximum(left, 1) - 1]
+    further, item_further = text >> more, item >> more
+    return ((further ^ item_further) & fewer == 0) | ((further ^ (item >> at)) & rest == 0) | (((text >> at) ^ item_further) & fewer == 0)
 
 
 def distances(items: list[bytes], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -140,9 +117,14 @@ def keep(found: list[dict], item_id: int, edits: int, end: int) -> None:
 
 
 class Matcher:
-    """Finds items in batches of texts. Only the items are sent to the executors; tables are built there."""
+    """Finds items in batches of texts. Only the items are sent to the executors; tables are built there.
+
+    The search is complete whatever ``recall`` asks for; the least recall is a caller's demand, not a permission to lose.
+    """
 
     def __init__(self, items: list[tuple[int, bytes]], share: float, recall: float):
+        if not 0 <= share < 0.5:
+            raise ValueError("share must be at least 0 and below 0.5")
         self.items, self.share, self.recall, self.made = items, share, recall, False
 
     def __getstate__(self):
@@ -151,73 +133,115 @@ class Matcher:
     def build(self) -> None:
         self.size = np.array([len(t) for _, t in self.items], np.int64)
         self.slack = (self.size * self.share).astype(np.int64)
-        longest = int(self.size.max(initial=1))
-        self.walks = [Walk(2 * longest, SEED + w) for w in range(WALKS)]
-        rng = np.random.default_rng(SEED)
-        n = tables(self.recall)
-        # positions lie where the walk still reads the string: it moves on at every other step
-        self.picks = [(t % WALKS, (rng.random((1, SAMPLED)) * 2 * self.size[:, None]).astype(np.int64)) for t in range(n)]
-        rows = np.zeros((len(self.items), longest), np.uint8)
+        leaves: dict = {}  # (bytes of the seed, whether the twin lies behind it): seed, item, offset, twin, its bytes, node
+        nodes = []  # item, start, bytes, edits
         for i, (_, t) in enumerate(self.items):
-            rows[i, : len(t)] = np.frombuffer(t, np.uint8)
-        every = np.arange(len(rows))[:, None]
-        self.signs = [np.zeros((len(rows), SAMPLED), np.int16) for _ in self.picks]
-        for lo in range(0, len(rows), WINDOWS):
-            part = slice(lo, lo + WINDOWS)
-            made = [w(rows[part], self.size[part]) for w in self.walks]
-            for sign, (w, at) in zip(self.signs, self.picks):
-                sign[part] = made[w][every[: len(made[w])], at[part]]
-        self.seeds = {}
-        lengths = np.array([seed_length(int(s)) for s in self.size])
-        for q in sorted(set(lengths.tolist())):
-            h, item, off = [], [], []
-            for i in np.flatnonzero(lengths == q).tolist():
-                got = rolling(np.frombuffer(self.items[i][1], np.uint8), q)
-                h.append(got)
-                item.append(np.full(len(got), i))
-                off.append(np.arange(len(got)))
-            h, item, off = map(np.concatenate, (h, item, off))
-            by = np.argsort(h, kind="stable")
-            seen = np.zeros(1 << 20, bool)
-            seen[(h >> np.uint64(44)).astype(np.int64)] = True
-            self.seeds[q] = (h[by], item[by], off[by], seen)
+            at = cuts(len(t), int(self.slack[i]))
+            if len(at) == 2:
+                nodes.append((i, 0, min(len(t), NODE), 0))
+                leaves.setdefault((min(len(t), 8), True), []).append((t[:8], i, 0, b"", 0, len(nodes) - 1))
+                continue
+            j = 0
+            while j < len(at) - 1:
+                end = j + 2
+                while end < len(at) - 1 and at[end + 2] - at[j] <= NODE:
+                    end += 2
+                a, b, edits = at[j], at[end], end - j - 1
+                if b - a > NODE:  # one pair of long pieces: what lies around its middle
+                    a, b = max(a, at[j + 1] - NODE // 2), min(b, at[j + 1] + NODE // 2)
+                nodes.append((i, a, b - a, edits))
+                for x in range(j, end, 2):
+                    lo, mid, hi = at[x : x + 3]
+                    seed, twin = t[max(lo, mid - 8) : mid], t[mid : min(hi, mid + 7)]
+                    leaves.setdefault((len(seed), True), []).append((seed, i, mid - len(seed), twin, len(twin), len(nodes) - 1))
+                    seed, twin = t[mid : min(hi, mid + 8)], t[max(lo, mid - 7) : mid][::-1]
+                    leaves.setdefault((len(seed), False), []).append((seed, i, mid, twin, len(twin), len(nodes) - 1))
+                j = end
+        self.nodes = np.array(nodes, np.int64).reshape(-1, 4).T
+        self.masks = np.zeros((len(nodes), 256), np.uint64)
+        for k, (i, a, n, _) in enumerate(nodes):  # the last row is the highest bit; rows below the first match always
+            row = np.arange(64 - n, 64, dtype=np.uint64)
+            self.masks[k] = np.uint64((1 << 64 - n) - 1)
+            np.bitwise_or.at(self.masks[k], np.frombuffer(self.items[i][1], np.uint8)[a : a + n], np.uint64(1) << row)
+        self.leaves = {}
+        for (q, behind), rows in leaves.items():
+            seed, item, off, twin, n, node = zip(*rows)
+            seed, twin = (np.array([int.from_bytes(x, "little") for x in xs], np.uint64) for xs in (seed, twin))
+            bits = max(16, len(rows).bit_length() + 4)
+            slot = self.slots(seed, bits)
+            by = np.argsort(slot, kind="stable")
+            count = np.bincount(slot, minlength=1 << bits).astype(np.int32)
+            first = (np.cumsum(count) - count).astype(np.int32)
+            self.leaves[q, behind] = (bits, count, first, seed[by], twin[by], np.array(n, np.uint8)[by], *(np.array(x, np.int64)[by] for x in (item, off, node)))
         self.made = True
 
+    @staticmethod
+    def slots(seeds: np.ndarray, bits: int) -> np.ndarray:
+        return ((seeds * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
     def proposals(self, buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, item, start in the text) of the windows that seeds propose, distinct and in order."""
-        found = []
-        for q, (h, item, off, seen) in self.seeds.items():
-            if len(buf) < q:
-                continue
-            x = rolling(buf, q)
-            at = np.flatnonzero(seen[(x >> np.uint64(44)).astype(np.int64)])
-            x = x[at]
-            lo = np.searchsorted(h, x)
-            hi = np.searchsorted(h, x, "right")
-            n = hi - lo
-            which = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            at = np.repeat(at, n)
-            text = np.searchsorted(starts, at, "right") - 1
-            inside = at + q < starts[text + 1]  # texts end with a byte that is no part of them
-            found.append(np.stack([text, item[which], at - off[which] - starts[text]], 1)[inside])
-        rows = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+        pad = np.zeros(4 * NODE, np.uint8)
+        buf = np.concatenate((pad, buf, pad))
+        word, found, waiting, size = eights(buf), [], [], 0
+        for lo in range(len(pad), len(buf) - len(pad), BYTES):
+            part = word[lo : min(lo + BYTES, len(buf) - len(pad))]
+            for (q, behind), (bits, count, first, seed, twin, n, item, off, node) in self.leaves.items():
+                x = part & LOW[q]
+                slot = self.slots(x, bits)
+                times = count[slot]
+                at = np.flatnonzero(times)
+                # seeds that many items share are handled in parts
+                upto = np.cumsum(times[at], dtype=np.int64)
+                ends = np.unique(np.append(np.searchsorted(upto, np.arange(HITS, int(upto[-1]) if len(upto) else 0, HITS)), len(at)))
+                for a, b in zip([0, *ends.tolist()], ends.tolist()):
+                    where = at[a:b]
+                    m = times[where]
+                    leaf = np.repeat(first[slot[where]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+                    where = np.repeat(where, m)
+                    hit = seed[leaf] == x[where]
+                    near = word[where + (lo + q)] if behind else word[where + (lo - 8)].byteswap()
+                    hit &= within_one(near, twin[leaf], n[leaf])
+                    leaf, where = leaf[hit], where[hit] + lo
+                    waiting.append(np.stack((where, item[leaf], off[leaf], node[leaf])))
+                    size += len(leaf)
+            if size >= PROBES:
+                found.append(self.near(buf, np.concatenate(waiting, 1)))
+                waiting, size = [], 0
+        if waiting:
+            found.append(self.near(buf, np.concatenate(waiting, 1)))
+        at, item, off = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
+        at = at - len(pad)
+        text = np.searchsorted(starts, at, "right") - 1
+        rows = np.unique(np.stack((text, item, at - off - starts[text]), 1), axis=0)
+        rows = rows[rows[:, 0] < len(starts) - 1]
         return rows[:, 0], rows[:, 1], rows[:, 2]
 
-    def collides(self, texts: list[bytes], text: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Whether each window and its item agree in all sampled positions of one table at least."""
-        out = np.zeros(len(text), bool)
-        for lo in range(0, len(text), WINDOWS):
-            k, s, d = item[lo : lo + WINDOWS], np.maximum(start[lo : lo + WINDOWS], 0), text[lo : lo + WINDOWS]
-            cut = [texts[i][a : a + n] for i, a, n in zip(d.tolist(), s.tolist(), self.size[k].tolist())]
-            sizes = np.array([len(x) for x in cut])
-            rows = np.zeros((len(cut), max(1, int(sizes.max(initial=1)))), np.uint8)
-            for r, x in zip(rows, cut):
-                r[: len(x)] = np.frombuffer(x, np.uint8)
-            made = [w(rows, sizes) for w in self.walks]
-            every = np.arange(len(cut))[:, None]
-            for sign, (w, at) in zip(self.signs, self.picks):
-                out[lo : lo + WINDOWS] |= (made[w][every, at[k]] == sign[k]).all(1)
-        return out
+    def near(self, buf: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """(position, item, offset) of the rows (and their node) whose node is in the text around them within its edits."""
+        _, a, n, edits = self.nodes[:, rows[3]]
+        start = rows[0] - rows[2] + a - edits
+        by = np.lexsort((start, n + 2 * edits))
+        rows, start, n, edits = rows[:, by], start[by], n[by], edits[by]
+        flat, good = self.masks.ravel(), np.zeros(len(start), bool)
+        for lo in range(0, len(start), WINDOWS):
+            part = slice(lo, lo + WINDOWS)
+            base, at, size = rows[3, part] * 256, start[part], n[part]
+            pv, mv = ~np.uint64(0) << (64 - size).astype(np.uint64), np.zeros(len(at), np.uint64)
+            score = size.copy()
+            best = score.copy()
+            for j in range(int((size + 2 * edits[part]).max())):
+                eq = flat[base + buf[at + j]]
+                xv = eq | mv
+                xh = (((eq & pv) + pv) ^ pv) | eq
+                ph, mh = mv | ~(xh | pv), pv & xh
+                score += (ph >> np.uint64(63)).view(np.int64)
+                score -= (mh >> np.uint64(63)).view(np.int64)
+                np.minimum(best, score, out=best)
+                ph, mh = ph << np.uint64(1), mh << np.uint64(1)
+                pv, mv = mh | ~(xv | ph), ph & xv
+            good[part] = best <= edits[part]
+        return rows[:3, good]
 
     def find(self, raw: list[bytes]) -> list[list[dict]]:
         """For each text the items it leaks: item_id, edits, and the end of the nearest part in the normalised text."""
@@ -229,14 +253,12 @@ class Matcher:
         out: list[list[dict]] = [[] for _ in raw]
         if not len(text):
             return out
-        hit = self.collides(texts, text, item, start)
         # windows of one item that are within the slack of each other are verified together
         apart = np.concatenate(([True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > self.slack[item[1:]])))
         first = np.flatnonzero(apart)
         last = np.append(first[1:], len(text)) - 1
-        some = np.logical_or.reduceat(hit, first)
         pairs = []
-        for a, b in zip(first[some].tolist(), last[some].tolist()):
+        for a, b in zip(first.tolist(), last.tolist()):
             d, k = int(text[a]), int(item[a])
             slack, needle = int(self.slack[k]), self.items[k][1]
             lo = max(0, int(start[a]) - slack)

@@ -230,6 +230,50 @@ def test_leaks_recall_and_silence(spark):
     assert found >= 0.97 * total
 
 
+def spread_edits(rng, t, rate, how):
+    """t with at most ``rate`` of its bytes edited: at even distances, one in each word, or anywhere."""
+    most, b = int(len(t) * rate), bytearray(t)
+    if how == "even":
+        at = [int((k + 0.5) * len(t) / most) for k in range(most)]
+    elif how == "words":
+        ends = [m.end() for m in re.finditer(rb"\S+", t)]
+        at = sorted(rng.randrange(t.rfind(b" ", 0, e - 1) + 1, e) for e in rng.sample(ends, min(most, len(ends))))
+    else:
+        at = sorted(rng.sample(range(len(t)), most))
+    for k in reversed(at):
+        b[k : k + 1] = rng.choice([b"", b"#", b[k : k + 1] + b"#"]) if how != "even" else b"#"
+    return bytes(b)
+
+
+@pytest.mark.parametrize("how", ["even", "words", "anywhere"])
+@pytest.mark.parametrize("rate", [1 / 12, 1 / 8, 1 / 6, leaks.SHARE])
+def test_leaks_are_brute_force_up_to_the_share(spark, how, rate):
+    rng = random.Random(11)
+    items = [(r.item_id, leaks.plain(r.text.encode())) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").limit(12).collect()]
+    items += [(900 + k, leaks.plain(t)) for k, t in enumerate([b"ab", b"a b c", b"nine byte", b"twelve bytes", b"thirty bytes of text, or nearly"])]
+    host = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("length(text) > 400").first().text.encode()[:150]
+    texts = [host + b" " + spread_edits(rng, t, rate, how) + b" " + host[:80] for _, t in items] + [host, b"", b"\0\0"]
+    m = leaks.Matcher(items, leaks.SHARE, leaks.RECALL)
+    own = 0
+    for k, (text, got) in enumerate(zip(texts, m.find(texts))):
+        edits, ends = leaks.distances([t for _, t in items], [leaks.plain(text)] * len(items))
+        want = [(i, e, end) for (i, t), e, end in zip(items, edits.tolist(), ends.tolist()) if e <= int(len(t) * leaks.SHARE)]
+        assert sorted((g["item_id"], g["edits"], g["end"]) for g in got) == sorted(want)
+        own += k < len(items) and any(g["item_id"] == items[k][0] for g in got)
+    assert own >= 0.9 * len(items)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.02, 0.2, 0.35])
+def test_leaks_in_texts_of_few_letters(share):
+    rng = random.Random(3)
+    items = [(i, leaks.plain(bytes(rng.choice(b"abcdefgh ") for _ in range(rng.choice([1, 2, 5, 11, 40, 90, 300]))).strip() or b"a")) for i in range(25)]
+    texts = [b"".join(rng.choice([t, spread_edits(rng, t, share, "anywhere"), b" abc "]) for _, t in rng.sample(items, 4)) for _ in range(12)]
+    for text, got in zip(texts, leaks.Matcher(items, share, leaks.RECALL).find(texts)):
+        edits, ends = leaks.distances([t for _, t in items], [leaks.plain(text)] * len(items))
+        want = {i: x for (i, _), x in zip(items, zip(edits.tolist(), ends.tolist()))}
+        assert {g["item_id"]: (g["edits"], g["end"]) for g in got} == {i: x for i, x in want.items() if x[0] <= int(len(dict(items)[i]) * share)}
+
+
 def test_leaks_tables(spark, odd, nothing):
     items = spark.createDataFrame([(1, "same text here and there same text"), (2, "same text here and there same text"), (3, None), (4, " "), (None, "word")], "item_id long, text string")
     got = sorted((r.doc_id, r.item_id, r.edits) for r in leaks.leaks(odd, items).collect())
