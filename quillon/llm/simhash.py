@@ -21,6 +21,8 @@ from .base import map_texts, shared_dir, stored, table
 from .components import components
 
 BITS, BLOCKS, WORDS, DISTANCE, SEED = 64, 6, 4, 4, 42
+#: The pipeline's stage: words of a shingle and least Jaccard similarity; bands of MinHashes and their number in a band.
+STAGE_WORDS, SIMILAR, BANDS, BAND = 5, 0.8, 24, 5
 #: Distinct fingerprints that one task compares at most; larger buckets are dealt anew.
 BUCKET = 8192
 #: Shingles hashed at once, so that memory does not follow a text's length.
@@ -196,9 +198,85 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bucket: int = BUCKET, i
     )
 
 
-def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id; all its columns, unchanged. Null ids stay."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col).filter(F.col(id_col) > F.col("component_id")).select(id_col).distinct()
+def shingles(text: bytes, words: int = STAGE_WORDS) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; a text of fewer words is one shingle, none without words."""
+    tokens = text.translate(_LOWER).split()
+    h = [xxhash.xxh64_intdigest(b" ".join(tokens[i : i + words]), SEED) for i in range(max(1, len(tokens) - words + 1))] if tokens else []
+    return np.unique(np.array(h, np.uint64))
+
+
+class Sets:
+    """For each text its set of shingles, a hash of the set, and a hash of each band of its MinHash signature."""
+
+    def __init__(self, words: int):
+        rng = np.random.default_rng(SEED)
+        self.words = words
+        self.odd, self.plus = (rng.integers(0, 1 << 63, BANDS * BAND, np.uint64) for _ in range(2))
+        self.odd = self.odd << np.uint64(1) | np.uint64(1)
+
+    def __call__(self, texts: list) -> dict:
+        keys, bands, sets = [], [], []
+        for t in texts:
+            h = shingles(t, self.words)
+            sets.append(h.tobytes())
+            keys.append(xxhash.xxh64_intdigest(sets[-1], SEED))
+            low = np.full(BANDS * BAND, ~np.uint64(0))
+            for lo in range(0, len(h), 2048):
+                x = h[lo : lo + 2048, None] * self.odd + self.plus
+                x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+                low = np.minimum(low, x.min(0))
+            bands.append([xxhash.xxh64_intdigest(low[k : k + BAND].tobytes(), k) for k in range(0, len(low), BAND)])
+        flat = np.array(bands, np.uint64).reshape(-1).view(np.int64)
+        return {"key": np.array(keys, np.uint64).view(np.int64), "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(flat)), "shingles": pa.array(sets, pa.binary())}
+
+
+def similar(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """The pairs (a, b) of keys whose sets have a Jaccard similarity of ``share`` at least."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= share * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    rows = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+    return rows.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
+
+
+def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, share: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) for each row with an id: the least id that is reachable by pairs with a Jaccard similarity of
+    their sets of shingles of ``share`` at least.
+
+    Candidates agree in a band of MinHashes; a pair at 0.8 has one with a probability of 0.9999. Equal sets are one class.
+    In a bucket all are compared with its first, then those that are still in different components with each other.
+    """
+    where = shared_dir(docs.sparkSession)
+    made = stored(map_texts(docs.filter(F.col(id_col).isNotNull()), Sets(words), "key bigint, bands array<bigint>, shingles binary", id_col, text_col), f"{where}/sets")
+    classes = made.groupBy("key").agg(F.min(id_col).alias("rep"))
+    least = stored(classes, f"{where}/classes")
+    sets = made.join(least.select("key", F.col("rep").alias(id_col)), ["key", id_col], "left_semi").dropDuplicates(["key"])
+    rows = stored(made.select("key", "bands").dropDuplicates(["key"]).select("key", F.posexplode("bands").alias("band", "value")), f"{where}/bands")
+    shared = rows.groupBy("band", "value").agg(F.min("key").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    rows = stored(rows.join(shared, ["band", "value"]), f"{where}/buckets")
+    stars = rows.filter("key <> a").select("a", F.col("key").alias("b")).distinct()
+    edges = stored(similar(stars, sets, share), f"{where}/stars")
+    labels = components(edges).withColumnRenamed("node", "key")
+    named = stored(rows.join(labels, "key", "left").select("band", "value", "key", F.coalesce("label", "key").alias("label")), f"{where}/labelled")
+    more = named.alias("x").join(named.alias("y"), ["band", "value"]).filter("x.key < y.key AND x.label <> y.label").select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    edges = edges.unionByName(stored(similar(more, sets, share), f"{where}/others"))
+    found = components(edges).withColumnRenamed("node", "key")
+    group = stored(least.join(found, "key", "left").withColumn("label", F.coalesce("label", "key")), f"{where}/groups")
+    first = group.groupBy("label").agg(F.min("rep").alias("component_id"))
+    return made.select(id_col, "key").join(group.select("key", "label"), "key").join(first, "label").select(id_col, "component_id")
+
+
+def distinct_documents(docs: DataFrame, words: int = STAGE_WORDS, share: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose component (of similar_documents) has a smaller id; all its columns, unchanged. Null
+    ids stay."""
+    gone = similar_documents(docs, words, share, id_col, text_col).filter(F.col(id_col) > F.col("component_id")).select(id_col).distinct()
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 

@@ -93,6 +93,32 @@ def test_simhash_odd_rows(odd, nothing):
     assert left.columns == odd.columns and {1, 2, 10}.isdisjoint({r.doc_id for r in left.collect()}) and left.filter("doc_id is null").count() == 1
 
 
+def test_stage_keeps_one_of_each_similar_group(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(120))) for i in range(12)]
+    for i in range(12, 60):  # copies with a few words changed, at similarities about 0.8
+        words = rows[rng.randrange(i)][1].split()
+        for at in rng.sample(range(len(words)), rng.randint(1, 4)):
+            words[at] = f"n{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(70, None), (71, " "), (72, "one two"), (73, "One  two"), (74, "two one")]
+    sets = []
+    for _, t in rows:
+        w = lower(t or "").split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(rows)))
+    middle = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            middle += 0.8 * either <= both < 0.9 * either
+            if both >= 0.8 * either:
+                label = [label[b] if x == label[a] else x for x in label]
+    want = {x: i for i, x in reversed(list(zip([i for i, _ in rows], label)))}
+    left = simhash.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert middle >= 10 and {r.doc_id for r in left} == set(want.values())
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     n = 60
     edges = [(i, i + 1) for i in range(n)] + [(1000, i) for i in range(1001, 1040)] + [(7, 7), (3, 2), (2000, 1999)]
