@@ -141,3 +141,54 @@ def test_pipeline_runs_its_stages(spark):
     assert all(n == names[0] for n in names) and names[0] == ["doc_id", "text", "lang", "source", "n_chars"]
     out = corpus_pipeline.run(spark, d).collect()
     assert 0 < len(out) < 200 and all(r.n_tokens == len(r.ids) for r in out)
+
+
+def similar_groups(rows):
+    """The rows whose component, by five-word shingles at a similarity of 0.8 or more, has no smaller id."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").encode().translate(LOWER).decode()) for _, t in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = label[a], label[b]
+                label = [min(x, y) if z in (x, y) else z for z in label]
+    return [r for i, r in enumerate(rows) if label[i] == i]
+
+
+def without_known_windows(rows, span=50):
+    first: dict = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for s in range(len(b) - span + 1):
+            first.setdefault(b[s : s + span], i)
+    out = []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - span + 1):
+            if first[b[s : s + span]] < i:
+                gone[s : s + span] = True
+        out.append((i, bytes(np.frombuffer(b, np.uint8)[~gone]).decode("utf-8", "ignore")))
+    return out
+
+
+def test_pipeline_is_a_brute_force_chain(spark):
+    import public_tokenizers
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    import corpus_pipeline
+    from quillon.llm import leaks
+
+    d = "/root/testdata/sf0.001"
+    docs = corpus_pipeline.good_documents(spark, spark.read.parquet(f"{d}/documents.parquet"), d)
+    rows = without_known_windows(similar_groups(sorted((r.doc_id, r.text) for r in docs.collect())))
+    items = [leaks.plain(r.text.encode()) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    pairs = [(i, x, leaks.plain(t.encode())) for i, t in rows for x in items]
+    edits, _ = leaks.distances([x for _, x, _ in pairs], [t for _, _, t in pairs])
+    leaking = {i for (i, x, _), e in zip(pairs, edits.tolist()) if e <= int(len(x) * leaks.SHARE)}
+    bpe = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    want = {i: bpe.encode_ordinary(t) for i, t in rows if i not in leaking}
+    assert leaking and len(rows) < docs.count()
+    assert {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, d).collect()} == want
