@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship
 
@@ -71,42 +72,52 @@ def held_fold(id_col: str, folds: int, fold: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
 
 
+def unused(name: str, taken) -> str:
+    """``name``, with underscores before it until no column in ``taken`` has it (whatever its case)."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def map_texts(df: DataFrame, fn: Callable[[list], dict], schema: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
     """``fn`` applied to batches of whole texts (UTF-8 bytes, null as empty).
 
     fn: takes a list of bytes and returns {column: values}; ``schema`` names them. Only the id, the text and the columns
-    in ``keep`` are read; the result has the id, ``keep`` and what ``fn`` returns. Batches are cut at about 8 MB.
+    in ``keep`` are read; the result has the id, ``keep`` and what ``fn`` returns. Batches are cut at about 8 MB. Two result
+    columns of one name are an error here, before anything runs.
     """
-    cols = [id_col, *keep]
-    src = df.select(*[F.col(c) for c in cols], F.col(text_col).cast("binary").alias("__text"))
+    names, text = [id_col, *keep], unused("__text", [id_col, *keep])
+    made = [f.name for f in T._parse_datatype_string(schema).fields]
+    if len({c.lower() for c in (*names, *made)}) < len(names) + len(made):
+        raise ValueError(f"columns of one name in {[*names, *made]}")
+    src = df.select(*[F.col(c) for c in names], F.col(text_col).cast("binary").alias(text))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    names = list(cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "__text"):
-                texts = [x or b"" for x in batch.column("__text").to_pylist()]
+            for batch in slices(whole, text):
+                texts = [x or b"" for x in batch.column(text).to_pylist()]
                 out = fn(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + list(map(as_array, out.values())), names=names + list(out))
 
     return src.mapInArrow(run, f"{fields}, {schema}")
 
 
-def append_texts(df: DataFrame, fn: Callable[[list], dict], schema: str, text_col: str = "text") -> DataFrame:
-    """All columns of ``df`` with what ``fn`` makes of batches of whole texts, as in map_texts, behind them.
-
-    Before the names that ``fn`` gives stand two underscores, in ``schema`` as well, so that they clash with none of df's.
-    """
+def append_texts(df: DataFrame, fn: Callable[[list], dict], kinds: dict[str, str], text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
+    """All columns of ``df`` with what ``fn`` makes of batches of whole texts, as in map_texts, behind them; and the names
+    of the new columns, of which none is one of df's. ``kinds``: what fn gives, and its types."""
     names = df.columns
+    new = {k: unused(f"__{k}", names) for k in kinds}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text_col):
                 out = fn([(x or "").encode() for x in batch.column(text_col).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*batch.columns, *map(as_array, out.values())], names=[*names, *(f"__{k}" for k in out)])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *map(as_array, out.values())], names=[*names, *(new[k] for k in out)])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{fields}, {schema}")
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *(f"`{new[k]}` {v}" for k, v in kinds.items())])
+    return df.mapInArrow(run, fields), new
 
 
 def as_array(x) -> pa.Array:

@@ -297,7 +297,7 @@ def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text
         yield block
 
 
-SCHEMA = "leaks array<struct<item_id:bigint,edits:bigint,end:bigint>>"
+KIND = "array<struct<item_id:bigint,edits:bigint,end:bigint>>"
 
 
 def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -306,15 +306,17 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, recall: float
     results; empty tables give no rows. The documents are read once for each block of items."""
     out = None
     for block in item_blocks(items, item_id, item_text):
-        part = map_texts(docs, Matcher(block, share, recall), SCHEMA, id_col, text_col).select(id_col, F.inline("leaks"))
+        part = map_texts(docs, Matcher(block, share, recall), f"leaks {KIND}", id_col, text_col).select(id_col, F.inline("leaks"))
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.select(id_col).limit(0).select(id_col, *[F.lit(None).cast("bigint").alias(c) for c in ("item_id", "edits", "end")])
 
 
 def clean(docs: DataFrame, items: DataFrame, share: float = SHARE, recall: float = RECALL, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that leak an item; all its columns, unchanged."""
+    """``docs`` without the rows that leak an item; all its columns, unchanged, whatever their names."""
+    names = docs.columns
     for block in item_blocks(items):
-        docs = append_texts(docs, Matcher(block, share, recall), f"__{SCHEMA}", text_col).filter(F.size("__leaks") == 0).drop("__leaks")
+        found, name = append_texts(docs, Matcher(block, share, recall), {"leaks": KIND}, text_col)
+        docs = found.filter(F.size(F.col(name["leaks"])) == 0).select(*[F.col(f"`{c}`") for c in names])
     return docs
 
 

@@ -141,8 +141,9 @@ class Scorer:
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that the model rejects; all its columns, unchanged."""
-    return append_texts(docs, Scorer(model, threshold), "__score double, __predicted int", text_col).filter("__predicted = 1").drop("__score", "__predicted")
+    """``docs`` without the rows that the model rejects; all its columns, unchanged, whatever their names."""
+    scored, name = append_texts(docs, Scorer(model, threshold), {"score": "double", "predicted": "int"}, text_col)
+    return scored.filter(F.col(name["predicted"]) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
