@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .base import shared_dir, slices, stored, table
 from .files import NewFile, open_file
-from .wordtable import word_table
+from .wordtable import word_ids
 
 #: Fixed values of the format: the reflected Castagnoli polynomial and the mask's constant.
 POLYNOMIAL, MASK_DELTA = 0x82F63B78, 0xA282EAD8
@@ -164,7 +164,7 @@ def write_records(docs: DataFrame, path: str, vocabulary: int, end_id: int, wher
     schema = "shard int, file string, position bigint, offset bigint, length bigint, doc_id bigint, n_tokens bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ctx, words = TaskContext.get(), word_table(path)
+        ctx, words = TaskContext.get(), word_ids(path, width)
         shard, name = ctx.partitionId(), f"{where}/shards/shard-{ctx.partitionId():06d}-{ctx.taskAttemptId()}.rec"
         batches = (b for whole in batches for b in slices(whole, "text", BLOCK))
         head = next(batches, None)
@@ -194,14 +194,9 @@ def write_records(docs: DataFrame, path: str, vocabulary: int, end_id: int, wher
 
 
 def _payloads(words, ids: list, texts: list, end_id: int, width: int) -> Iterator[bytes]:
-    begins = np.cumsum([0] + [len(t) + 1 for t in texts])
-    starts, _, entries = words.lookup(np.frombuffer(b" ".join(texts), np.uint8))
-    flat = words.ids(entries).astype("<u2" if width == 2 else "<u4").tobytes()
-    total = np.concatenate(([0], np.cumsum(words.counts(entries))))
-    edge = (total[np.searchsorted(starts, begins)] * width).tolist()
     end = end_id.to_bytes(width, "little")
-    for i, d in enumerate(ids):
-        yield struct.pack(HEAD, d or 0, d is None, width) + flat[edge[i] : edge[i + 1]] + end
+    for d, packed in zip(ids, words.packed(texts)):
+        yield struct.pack(HEAD, d or 0, d is None, width) + packed + end
 
 
 def read_records(index: DataFrame) -> DataFrame:

@@ -2,17 +2,21 @@
 
 Each byte is eight binary decisions. For each decision there is a tree of contexts, the preceding bytes, up to DEPTH of
 them. A node's Krichevsky-Trofimov estimate is mixed with its children's weighted estimate, half and half over the block
-probabilities of the training data, so that a prediction is an average over all depths. Contexts that training has not
-seen pass the prediction to the deepest that it has. A text ends with the byte 255, which UTF-8 never uses, and begins in
-a context of such bytes; its score is the log10 probability of its lower-cased bytes and that end.
+probabilities of the training data, so that a prediction is an average over all depths. A context that training has not
+seen predicts one half, its estimate without data, and enters the mixture with that. A text ends with the byte 255, which
+UTF-8 never uses, and begins in a context of such bytes; its score is the log10 probability of its lower-cased bytes and
+that end, and its code length is the same in bits for each of these bytes.
 
 Training counts all (DEPTH + 1)-grams of all training texts. Blocks of documents send their distinct grams to shards by
 the two latest context bytes; a shard holds the whole subtrees below these. What is above is at most 256 * 255 nodes.
-Blocks hear the probability of each of their grams and sum over their documents. No task sees the whole model.
+Blocks hear the probability of each of their grams and sum over their documents. No task sees the whole model. Words are
+counted in the same way, under their own bytes.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter as WordCounter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +27,6 @@ from pyspark.sql import functions as F
 from .base import held_fold, shared_dir, stored, table
 from .blocks import Blocks, read_block
 from .suffix import pack, planes, unpack, unplanes
-from .wordtable import hashes, spans
 
 DEPTH, END = 5, 255
 #: Bytes of text whose grams are sorted at once.
@@ -112,14 +115,9 @@ class Tally:
         return summed(np.concatenate([k for k, _ in self.parts]), np.concatenate([c for _, c in self.parts]))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every lower-cased word, and each text's first word (with the total at the end)."""
-    low = [t.translate(_LOWER) for t in texts]
-    buf = np.frombuffer(b" ".join(low), np.uint8)
-    starts, ends = spans(buf)
-    begins = np.cumsum([0] + [len(t) + 1 for t in low])
-    h = hashes(buf, starts, ends)[0] if len(starts) else np.zeros(0, np.uint64)
-    return h, np.searchsorted(starts, begins)
+def words_of(text: bytes) -> list[bytes]:
+    """The lower-cased words between ASCII white space."""
+    return text.translate(_LOWER).split()
 
 
 def shard_of(keys: np.ndarray, depth: int, shards: int) -> np.ndarray:
@@ -129,22 +127,41 @@ def shard_of(keys: np.ndarray, depth: int, shards: int) -> np.ndarray:
 
 def block_counts(file: str, depth: int, shards: int) -> Iterator[tuple[int, bytes]]:
     """(shard, distinct grams and training counts) and, with shards from ``shards`` on, (.., words and training counts)."""
-    g, w = Tally(), Tally()
+    g, w = Tally(), WordCounter()
     for batch, texts in batches(file):
         train = batch.column("__train").to_numpy(zero_copy_only=False)
-        for tally, (keys, first) in ((g, grams(texts, depth)), (w, word_hashes(texts))):
-            sent = np.repeat(train, np.diff(first))
-            some = np.sort(keys[sent])
-            at = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1]))) if len(some) else np.zeros(0, np.int64)
-            tally.add(some[at], np.diff(np.append(at, len(some))))
-            held = np.unique(keys[~sent])
-            tally.add(held, np.zeros(len(held), np.int64))
-    for offset, (keys, counts) in ((0, g.result()), (shards, w.result())):
-        to = shard_of(keys, depth, shards) if not offset else (keys >> np.uint64(32)).astype(np.int64) % shards
-        by = np.argsort(to, kind="stable")
-        for part in np.split(by, np.flatnonzero(np.diff(to[by])) + 1):
-            if len(part):
-                yield offset + int(to[part[0]]), pack(planes(keys[part]), counts[part])
+        keys, first = grams(texts, depth)
+        sent = np.repeat(train, np.diff(first))
+        some = np.sort(keys[sent])
+        at = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1]))) if len(some) else np.zeros(0, np.int64)
+        g.add(some[at], np.diff(np.append(at, len(some))))
+        held = np.unique(keys[~sent])
+        g.add(held, np.zeros(len(held), np.int64))
+        for t, learn in zip(texts, train.tolist()):
+            if learn:
+                w.update(words_of(t))
+            else:
+                w.update(dict.fromkeys(words_of(t), 0))
+    keys, counts = g.result()
+    to = shard_of(keys, depth, shards)
+    by = np.argsort(to, kind="stable")
+    for part in np.split(by, np.flatnonzero(np.diff(to[by])) + 1):
+        if len(part):
+            yield int(to[part[0]]), pack(planes(keys[part]), counts[part])
+    dealt: dict = {}
+    for word in w:
+        dealt.setdefault(zlib.crc32(word) % shards, []).append(word)
+    for k, words in dealt.items():
+        yield shards + k, pack_words(words, np.array([w[x] for x in words], np.int64))
+
+
+def pack_words(words: list[bytes], values: np.ndarray) -> bytes:
+    return pack(np.frombuffer(b" ".join(words), np.uint8), values)
+
+
+def unpack_words(data: bytes) -> tuple[list[bytes], np.ndarray]:
+    text, values = unpack(data)
+    return text.tobytes().split(b" "), values
 
 
 def merged(rows: list[tuple[int, bytes]]) -> tuple[list, np.ndarray, np.ndarray]:
@@ -213,15 +230,13 @@ class Tree:
         out = np.zeros(len(keys))
         for bit in range(8):
             one = byte >> (7 - bit) & 1 == 1
-            p = seen = None
+            p = None
             for d in range(self.depth, self.least - 1, -1):
                 index, _, a, b, _, w = self.node[d, bit]
                 at = index[row[d]]
-                n = (a + b)[at]
-                here = (np.where(one, b[at], a[at]) + 0.5) / (n + 1)
-                p = here if p is None else np.where(seen, w[at] * here + (1 - w[at]) * p, here)
-                seen = n > 0
-            out += np.log10(root.finish(latest, 1 << bit | byte >> (8 - bit), one, p, seen))
+                here = (np.where(one, b[at], a[at]) + 0.5) / ((a + b)[at] + 1)
+                p = here if p is None else w[at] * here + (1 - w[at]) * p
+            out += np.log10(root.finish(latest, 1 << bit | byte >> (8 - bit), one, p))
         return out
 
 
@@ -239,13 +254,11 @@ class Root:
         kt0 = log_kt(self.a0, self.b0)
         self.w0 = np.exp(_HALF + kt0 - np.logaddexp(_HALF + kt0, _HALF + weighted.sum(0)))
 
-    def finish(self, latest, node, one, p, seen):
+    def finish(self, latest, node, one, p):
         a, b, w = self.a[latest, node], self.b[latest, node], self.w[latest, node]
-        here = (np.where(one, b, a) + 0.5) / (a + b + 1)
-        p = np.where(seen, w * here + (1 - w) * p, here)
+        p = w * (np.where(one, b, a) + 0.5) / (a + b + 1) + (1 - w) * p
         a0, b0, w0 = self.a0[node], self.b0[node], self.w0[node]
-        here = (np.where(one, b0, a0) + 0.5) / (a0 + b0 + 1)
-        return np.where(a + b > 0, w0 * here + (1 - w0) * p, here)
+        return w0 * (np.where(one, b0, a0) + 0.5) / (a0 + b0 + 1) + (1 - w0) * p
 
 
 class Lookup:
@@ -272,40 +285,40 @@ class Lookup:
 def block_scores(file: str, depth: int, gram_rows: list[bytes], word_rows: list[bytes], totals: tuple[int, int, int]) -> Iterator[tuple[pa.RecordBatch, dict]]:
     """(batch, n_tokens, n_known, base_score, score) of a block's rows. totals: N, V and the training texts."""
     tokens, distinct, docs = totals
-    empty = (np.zeros(0, np.uint8), np.zeros(0))
-
-    def look(rows: list[bytes]) -> Lookup:
-        got = [unpack(x) for x in rows] or [empty]
-        return Lookup(np.concatenate([unplanes(p) for p, _ in got]), np.concatenate([v.astype(np.float64) for _, v in got]))
-
-    of_gram, of_word = look(gram_rows), look(word_rows)
-    scale = np.log10(tokens + 0.5 * (distinct + 1))
+    got = [unpack(x) for x in gram_rows] or [(np.zeros(0, np.uint8), np.zeros(0))]
+    of_gram = Lookup(np.concatenate([unplanes(p) for p, _ in got]), np.concatenate([v.astype(np.float64) for _, v in got]))
+    of_word: dict = {}
+    for x in word_rows:
+        words, counts = unpack_words(x)
+        of_word.update(zip(words, counts.tolist()))
+    count, scale = of_word.__getitem__, np.log10(tokens + 0.5 * (distinct + 1))
     for batch, texts in batches(file):
         keys, first = grams(texts, depth)
         score = np.add.reduceat(of_gram(keys), first[:-1])
-        h, at = word_hashes(texts)
-        c = of_word(h) if len(h) else np.zeros(0)
-        known, base = (np.concatenate(([0.0], np.cumsum(x))) for x in ((c > 0).astype(np.float64), np.log10(c + 0.5)))
-        n = np.diff(at) + 1
+        size, n, known, base = (np.zeros(len(texts), k) for k in (np.int64, np.int64, np.int64, np.float64))
+        for i, t in enumerate(texts):
+            c = np.array(list(map(count, words_of(t))), np.int64)
+            size[i], n[i], known[i], base[i] = len(t), len(c) + 1, np.count_nonzero(c), np.log10(c + 0.5).sum()
         yield batch, {
-            "n_tokens": n, "n_known": (known[at[1:]] - known[at[:-1]]).astype(np.int64) + int(docs > 0),
-            "base_score": base[at[1:]] - base[at[:-1]] + np.log10(docs + 0.5) - n * scale, "score": score,
+            "n_tokens": n, "n_known": known + int(docs > 0), "base_score": base + np.log10(docs + 0.5) - n * scale, "score": score,
+            "bits_per_byte": -score * np.log2(10) / (size + 1),
         }
 
 
 def language_scores(docs: DataFrame, held_out=None, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Rows for which ``held_out`` (a condition) is not true are learned from; all rows are scored. Null texts count as empty,
     an empty text is its end alone. Without training rows every bit has probability one half. Rows with equal ids are
-    scored each; other columns are not read. An empty table gives no rows. Words are told apart by 64-bit hashes.
+    scored each; very long texts are scored whole; other columns are not read, so their names may clash. An empty table
+    gives no rows.
     """
     where = shared_dir(docs.sparkSession)
     held = F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(False)
     src = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("__text"), (~held).alias("__train"))
     id_type = src.schema["__id"].dataType
     blocks = Blocks(src, f"{where}/blocks")
-    shards = max(8, 2 * len(blocks))
+    shards = max(8, len(blocks))
     pairs = "target int, block int, payload binary"
 
     def count(rows):
@@ -333,9 +346,12 @@ def language_scores(docs: DataFrame, held_out=None, depth: int = DEPTH, id_col:
         return _answers([(b, True, pack(planes(k), p[np.searchsorted(keys, k)])) for b, k in own])
 
     def tell(t: pa.Table) -> pa.Table:
-        own, keys, counts = merged(_rows(t))
-        seen = counts > 0
-        return _answers([(b, False, pack(planes(k), counts[np.searchsorted(keys, k)])) for b, k in own], int(counts.sum()), int(seen.sum()))
+        got = [(b, *unpack_words(d)) for b, d in _rows(t)]
+        total = WordCounter()
+        for _, words, counts in got:
+            for w, c in zip(words, counts.tolist()):
+                total[w] += c
+        return _answers([(b, False, pack_words(words, np.array([total[w] for w in words], np.int64))) for b, words, _ in got], sum(total.values()), sum(c > 0 for c in total.values()))
 
     answer = "block int, is_gram boolean, payload binary, tokens bigint, words bigint"
     told = stored(of_words.groupBy("target").applyInArrow(tell, answer), f"{where}/words")
@@ -344,7 +360,7 @@ def language_scores(docs: DataFrame, held_out=None, depth: int = DEPTH, id_col:
     totals = ((n or 0) + trained, (v or 0) + int(trained > 0), trained)
     rows = of_grams.groupBy("target").applyInArrow(price, answer).unionByName(told).select("block", "is_gram", "payload", F.lit(None).cast("string").alias("file"))
     rows = rows.unionByName(blocks.files.select("block", F.lit(None).cast("boolean").alias("is_gram"), F.lit(None).cast("binary").alias("payload"), "file"))
-    names = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    names = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
     def score(t: pa.Table) -> pa.Table:
         file = next(x for x in t.column("file").to_pylist() if x)
@@ -355,11 +371,11 @@ def language_scores(docs: DataFrame, held_out=None, depth: int = DEPTH, id_col:
             held_out_ = pa.array(~batch.column("__train").to_numpy(zero_copy_only=False))
             out.append(pa.RecordBatch.from_arrays([batch.column("__id"), held_out_, *[pa.array(got[k]) for k in names]], names=[id_col, "held_out", *names]))
         if not out:
-            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
             return pa.table([next(read_block(file)).column("__id"), *[pa.array([], k) for k in kinds]], names=[id_col, "held_out", *names])
         return pa.Table.from_batches(out)
 
-    return rows.groupBy("block").applyInArrow(score, f"`{id_col}` {id_type.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return rows.groupBy("block").applyInArrow(score, f"`{id_col}` {id_type.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double")
 
 
 def _rows(t: pa.Table) -> list[tuple[int, bytes]]:

@@ -1,189 +1,135 @@
-"""Encoding by a table of white-space-separated words, in numpy.
+"""Values of words that are computed once and found again by the words themselves.
 
 Tokenizers whose pre-tokenizer never lets a token span ASCII white space give a text the tokens of its words one after
-the other. Each distinct word is encoded once by the library itself and kept in an open-addressing table under a 128-bit
-hash; words of later texts are then found by array operations.
+the other. Each distinct word is encoded by the library itself; words of later texts are found in a dictionary under
+their own bytes, so that no two words are ever taken for one.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Hashable, Iterable
+from itertools import chain
 
 import numpy as np
 
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
-_B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_M = (1 << 64) - 1
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.cumprod(out, dtype=np.uint64)
-
-
-class _Powers:
-    """base**i and base**-i modulo 2**64, grown on demand."""
-
-    def __init__(self):
-        self.n = 0
-
-    def upto(self, n: int):
-        if n > self.n:
-            self.n = max(n, 2 * self.n, 1 << 16)
-            self.up = [_powers(b, self.n) for b in (_B1, _B2)]
-            self.down = [_powers(pow(b, -1, 1 << 64), self.n) for b in (_B1, _B2)]
-        return self
-
-
-POWERS = _Powers()
-SEGMENT = 1 << 20
-
-
-def spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs without ASCII white space."""
-    if not len(buf):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    word = ~SPACE[buf]
-    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
-    if word[0]:
-        edge = np.concatenate(([0], edge))
-    if word[-1]:
-        edge = np.concatenate((edge, [len(buf)]))
-    return edge[::2], edge[1::2]
-
-
-def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two polynomial hashes modulo 2**64 of each span, finished by a mix with the length."""
-    power, n = POWERS.upto(min(len(buf), SEGMENT + int((ends - starts).max(initial=0))) + 1), len(starts)
-    out = [np.empty(n, np.uint64), np.empty(n, np.uint64)]
-    first = 0
-    while first < n:  # segments keep the powers short
-        base = starts[first]
-        last = max(first + 1, int(np.searchsorted(ends, base + SEGMENT, "right")))
-        s, e = starts[first:last] - base, ends[first:last] - base
-        data = buf[base : base + e[-1]].astype(np.uint64) + np.uint64(1)
-        size = (e - s).astype(np.uint64)
-        for k, h in enumerate(out):
-            total = np.empty(len(data) + 1, np.uint64)
-            total[0] = 0
-            np.cumsum(data * power.up[k][: len(data)], out=total[1:])
-            x = (total[e] - total[s]) * power.down[k][s] + size * np.uint64(0xD6E8FEB86659FD93)
-            x ^= x >> np.uint64(32)
-            x *= np.uint64(0xD6E8FEB86659FD93)
-            x ^= x >> np.uint64(29)
-            h[first:last] = x
-        first = last
-    return out[0], out[1]
-
-
-class WordTable:
-    """Ids of words, remembered up to ``most`` distinct words (then the table starts anew, which changes no result)."""
-
-    def __init__(self, encode: Callable[[list], list], most: int = 800_000):
-        self.encode, self.most = encode, most
-        self.bits = max(10, (3 * most).bit_length())
-        self.reset()
-
-    def reset(self) -> None:
-        self.slot1 = np.zeros(1 << self.bits, np.uint64)
-        self.slot2 = np.zeros(1 << self.bits, np.uint64)
-        self.entry = np.full(1 << self.bits, -1, np.int32)
-        self.at = np.zeros(1, np.int64)  # where each entry's ids begin in pool
-        self.used = 0
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.offsets = np.zeros(1 << 16, np.int64)
-
-    def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """The entry of each hash pair, -1 where there is none."""
-        mask, at = np.uint64((1 << self.bits) - 1), (h1 >> np.uint64(64 - self.bits)).astype(np.int64)
-        got = self.entry[at]
-        wrong = np.flatnonzero((got >= 0) & ((self.slot1[at] != h1) | (self.slot2[at] != h2)))
-        while len(wrong):
-            at[wrong] = (at[wrong] + 1) & int(mask)
-            g = self.entry[at[wrong]]
-            got[wrong] = g
-            wrong = wrong[(g >= 0) & ((self.slot1[at[wrong]] != h1[wrong]) | (self.slot2[at[wrong]] != h2[wrong]))]
-        return got
-
-    def add(self, h1: np.ndarray, h2: np.ndarray, ids: list) -> None:
-        n = len(ids)
-        counts = np.fromiter(map(len, ids), np.int64, n)
-        flat = np.fromiter((x for y in ids for x in y), np.uint32, int(counts.sum()))
-        begin = int(self.offsets[self.used])
-        while self.used + n + 1 > len(self.offsets):
-            self.offsets = np.concatenate((self.offsets, np.zeros_like(self.offsets)))
-        while begin + len(flat) > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        self.pool[begin : begin + len(flat)] = flat
-        self.offsets[self.used + 1 : self.used + n + 1] = begin + np.cumsum(counts)
-        entry = np.arange(self.used, self.used + n, dtype=np.int32)
-        self.used += n
-        at, left, mask = (h1 >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(n), (1 << self.bits) - 1
-        while len(left):
-            free = left[self.entry[at[left]] < 0]
-            self.entry[at[free]] = entry[free]  # of several for one slot the last stays
-            won = free[self.entry[at[free]] == entry[free]]
-            self.slot1[at[won]], self.slot2[at[won]] = h1[won], h2[won]
-            left = np.setdiff1d(left, won, assume_unique=True)
-            at[left] = (at[left] + 1) & mask
-
-    def lookup(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and ends of the words of ``buf``, and each word's entry."""
-        starts, ends = spans(buf)
-        if not len(starts):
-            return starts, ends, np.zeros(0, np.int32)
-        h1, h2 = hashes(buf, starts, ends)
-        got = self.find(h1, h2)
-        missing = np.flatnonzero(got < 0)
-        if len(missing):
-            _, one = np.unique(h1[missing], return_index=True)
-            one = missing[one]
-            if self.used and self.used + len(one) > self.most:
-                self.reset()
-                _, one = np.unique(h1, return_index=True)
-            self._learn(buf, starts, ends, h1, h2, one)
-            got = self.find(h1, h2)
-            if len(rest := np.flatnonzero(got < 0)):  # equal first hashes, other words
-                self._learn(buf, starts, ends, h1, h2, rest[np.unique(h2[rest], return_index=True)[1]])
-                got = self.find(h1, h2)
-        return starts, ends, got
-
-    def _learn(self, buf, starts, ends, h1, h2, which) -> None:
-        if self.used + len(which) > 0.7 * (1 << self.bits):
-            self.bits += 2
-            self.reset()
-            which = np.unique(h1, return_index=True)[1]
-        view = buf.tobytes()
-        self.add(h1[which], h2[which], self.encode([view[s:e].decode("utf-8", "replace") for s, e in zip(starts[which].tolist(), ends[which].tolist())]))
-
-    def counts(self, entries: np.ndarray) -> np.ndarray:
-        return self.offsets[entries + 1] - self.offsets[entries]
-
-    def ids(self, entries: np.ndarray) -> np.ndarray:
-        """The ids of the entries, one after the other."""
-        n = self.counts(entries)
-        end = np.cumsum(n)
-        return self.pool[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(self.offsets[entries] - (end - n), n)]
-
-
-def library_encoder(path: str) -> Callable[[list], list]:
-    """The tokenizers library on single words: no special tokens added, special strings inside a text as is its default."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    return lambda words: [x.ids for x in tok.encode_batch_fast(words, add_special_tokens=False)]
-
-
-_TABLES: dict = {}
 
+class Memo:
+    """Values of keys. ``learn`` gives the values (never None) of a list of new keys at once.
+
+    About ``most`` keys are kept, in two generations: when the younger one is full the older one goes, and a key that is
+    asked for again moves to the younger. Keys longer than ``longest`` are never kept. Neither bound changes a result.
+    """
+
+    def __init__(self, learn: Callable[[list], list], most: int = 1_000_000, longest: int = 48):
+        self.learn, self.half, self.longest = learn, max(1, most // 2), longest
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def look(self, rows: Iterable[list[Hashable]]) -> list[list]:
+        """The value of each key of each row. Rows are taken one by one and not kept."""
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        get = self.young.get
+        out, holes = [], []
+        for keys in rows:
+            got = list(map(get, keys))
+            if None in got:
+                at = [i for i, v in enumerate(got) if v is None]
+                unknown = [keys[i] for i in at]
+                other = self.instead(keys, unknown)
+                if other is not keys:
+                    got = list(map(get, other))
+                    at = [i for i, v in enumerate(got) if v is None]
+                    unknown = [other[i] for i in at]
+                holes.append((got, at, unknown))
+            out.append(got)
+        if holes:
+            missing = dict.fromkeys(chain.from_iterable(unknown for *_, unknown in holes))
+            here = {k: v for k in missing if (v := self.old.get(k)) is not None}
+            new = [k for k in missing if k not in here]
+            here.update(zip(new, self.learn(new)))
+            for got, at, unknown in holes:
+                for i, v in zip(at, map(here.__getitem__, unknown)):
+                    got[i] = v
+            self.young.update((k, here[k]) for k in self.kept(here))
+        return out
+
+    def kept(self, keys: Iterable) -> list:
+        return [k for k in keys if len(k) <= self.longest]
+
+    def instead(self, keys: list, unknown: list) -> list:
+        """The keys to look for where ``unknown`` are not in the younger generation."""
+        return keys
+
+
+#: Symbols that may stand between words in one call of the library. One is used only where it is a token of its own and
+#: no word has it; no other character normalises to it.
+BETWEEN = "★●♥♪→"
+#: Words that the library encodes as one text.
+TOGETHER = 256
+
+
+class Library:
+    """The tokenizers library on single words: no special tokens added, special strings inside a text as is its default."""
 
-def word_table(path: str) -> WordTable:
-    """One table for each tokenizer in each Python worker."""
-    if path not in _TABLES:
-        _TABLES[path] = WordTable(library_encoder(path))
-    return _TABLES[path]
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.between, self.mark = None, -1
+        for c in BETWEEN:
+            ids = self.library.encode(f"a {c} b", add_special_tokens=False).ids
+            around = [*self.ids("a"), *self.ids("b")]
+            if len(ids) == len(around) + 1:
+                self.between, self.mark = c, ids[len(self.ids("a"))]
+                break
+
+    def ids(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def starts(self, text: str) -> tuple[list[int], np.ndarray]:
+        """The ids of a text and the character at which each token begins."""
+        got = self.library.encode(text, add_special_tokens=False)
+        return got.ids, np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
+
+    def words(self, words: list[str], kind: str) -> list[bytes]:
+        """The ids of each word, packed as the numpy type ``kind``; words have no ASCII white space."""
+        out: list = []
+        for lo in range(0, len(words), 64 * TOGETHER):
+            groups = [words[at : at + TOGETHER] for at in range(lo, min(len(words), lo + 64 * TOGETHER), TOGETHER)]
+            texts = [f" {self.between} ".join(g) for g in groups]
+            for g, text, got in zip(groups, texts, self.library.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(got.ids, kind)
+                at = np.flatnonzero(ids == self.mark)
+                if not self.between or len(at) != len(g) - 1 or text.count(self.between) != len(at):  # a word has the symbol
+                    out += [np.array(self.ids(w), kind).tobytes() for w in g]
+                    continue
+                packed, at = ids.tobytes(), at * ids.itemsize
+                out += [packed[a:b] for a, b in zip([0, *(at + ids.itemsize).tolist()], [*at.tolist(), len(packed)])]
+        return out
+
+
+class WordIds:
+    """The packed ids (little-endian, ``width`` bytes each) of whole texts in UTF-8."""
+
+    def __init__(self, path: str, width: int = 4, most: int = 1_000_000):
+        self.library, self.width = Library(path), width
+        self.memo = Memo(self._learn, most)
+
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        return self.library.words([w.decode("utf-8", "replace") for w in words], "<u2" if self.width == 2 else "<u4")
+
+    def packed(self, texts: list[bytes]) -> list[bytes]:
+        return list(map(b"".join, self.memo.look(t.split() for t in texts)))
+
+
+_WORDS: dict = {}
+
+
+def word_ids(path: str, width: int = 4) -> WordIds:
+    """One memo for each tokenizer in each Python worker."""
+    if (path, width) not in _WORDS:
+        _WORDS[path, width] = WordIds(path, width)
+    return _WORDS[path, width]

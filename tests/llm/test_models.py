@@ -47,7 +47,7 @@ def slow_scores(rows, depth):
     def p(ctx, node, bit, d=0):
         a, b = count.get((ctx[:d], node), (0, 0))
         here = ((a, b)[bit] + 0.5) / (a + b + 1)
-        if d == depth or (ctx[: d + 1], node) not in count:
+        if d == depth or not a + b:  # no data here nor below: one half at every depth
             return here
         w = math.exp(math.log(0.5) + kt(a, b) - weighted(ctx[:d], node))
         return w * here + (1 - w) * p(ctx, node, bit, d + 1)
@@ -73,6 +73,14 @@ def test_scores_are_brute_force(spark, sample, depth):
         w = want[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4]
         assert r.base_score == pytest.approx(w[4]) and r.score == pytest.approx(w[5], rel=1e-6)
+        assert r.bits_per_byte == pytest.approx(-w[5] * math.log2(10) / (len((dict(rows)[r.doc_id] or "").encode()) + 1), rel=1e-6)
+
+
+def test_words_that_collide_under_polynomial_hashes_are_two(spark):
+    t = "".join("er"[i.bit_count() & 1] for i in range(2048))
+    df = spark.createDataFrame([(1, t), (2, t.translate(str.maketrans("er", "re")))], "doc_id long, text string")
+    got = {r.doc_id: r.n_known for r in ctw.language_scores(df, F.col("doc_id") == 2, 2).collect()}
+    assert got == {1: 2, 2: 1}
 
 
 def test_next_byte_probabilities_sum_to_one():

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from quillon.llm import binary, bpe, tokencount
 from quillon.llm.base import shared_dir
-from quillon.llm.wordtable import WordTable, hashes, spans
+from quillon.llm.wordtable import Library, Memo, WordIds
 
 PATH = P.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -34,24 +34,41 @@ def test_counts_are_the_librarys(sample, odd, nothing):
 def test_spliced_chunks_are_the_whole(chunk, overlap):
     rng = random.Random(chunk)
     c = tokencount.Counter(PATH, 10, chunk, overlap)
-    texts = ["".join(rng.choice("abc,. \n\té!1") for _ in range(rng.randint(0, 5000))) for _ in range(20)] + ["z" * 5000, "q" * 700 + " " + "r" * 900 + " end", " " * 3000 + "a"]
+    texts = ["many words, " * 3000 + "e\u0301 x" * 900] + ["".join(rng.choice("abc,. \n\té!1") for _ in range(rng.randint(0, 5000))) for _ in range(20)] + ["z" * 5000, "q" * 700 + " " + "r" * 900 + " end", " " * 3000 + "a"]
     got = c([t.encode() for t in texts])
     assert got["n_tokens"].tolist() == [len(library_ids(t)) for t in texts]
     assert got["over_limit"].tolist() == [len(library_ids(t)) > 10 for t in texts]
 
 
-def test_word_table_starts_anew_without_a_change():
-    small = WordTable(lambda words: [LIBRARY.encode(w, add_special_tokens=False).ids for w in words], most=16)
-    for text in (b"a b c a", b" ".join(b"w%d" % i for i in range(100)), b"a b", b""):
-        _, _, e = small.lookup(np.frombuffer(text, np.uint8))
-        assert small.ids(e).tolist() == library_ids(text.decode())
+def test_words_are_never_taken_for_one_another(spark):
+    """Thue-Morse words and their complements collide under every polynomial hash modulo a power of two."""
+    for log in (10, 11, 13):
+        t = "".join("er"[i.bit_count() & 1] for i in range(1 << log))
+        other = t.translate(str.maketrans("er", "re"))
+        df = spark.createDataFrame([(1, t), (2, other), (3, f"{other} {t}")], "doc_id long, text string").coalesce(1)
+        assert {r.doc_id: r.n_tokens for r in tokencount.token_counts(df, PATH).collect()} == {1: len(library_ids(t)), 2: len(library_ids(other)), 3: len(library_ids(t)) + len(library_ids(other))}
 
 
-def test_hashes_do_not_depend_on_the_place():
-    buf = np.frombuffer(b"one two  one\ntwo one", np.uint8)
-    s, e = spans(buf)
-    h, g = hashes(buf, s, e)
-    assert h[0] == h[2] == h[4] and h[1] == h[3] and h[0] != h[1] and g[0] == g[2]
+def test_memo_forgets_without_a_change():
+    asked = []
+
+    def learn(keys):
+        asked.extend(keys)
+        return [k * 2 for k in keys]
+
+    m, rng = Memo(learn, most=8, longest=3), random.Random(0)
+    for _ in range(200):
+        rows = [[rng.choice("abcdefghijklmnop") * rng.randint(1, 4) for _ in range(rng.randint(0, 6))] for _ in range(2)]
+        assert m.look(rows) == [[k * 2 for k in r] for r in rows]
+    assert len(m.young) + len(m.old) < 40 and all(len(k) <= 3 for k in m.young)
+
+
+def test_packed_words_are_the_librarys():
+    words, rng = WordIds(PATH, 2, most=64), random.Random(2)
+    texts = ["".join(rng.choice("ab ★<|>end\n\u0301É1's●") for _ in range(rng.randint(0, 60))) for _ in range(800)] + ["<|endoftext|> a<|startoftext|>b ★", "★", "a ★ b"]
+    for got, t in zip(words.packed([t.encode() for t in texts]), texts):
+        assert np.frombuffer(got, "<u2").tolist() == library_ids(t)
+    assert Library(PATH).between
 
 
 def test_bpe_is_tiktokens(sample, odd, nothing):
@@ -86,6 +103,11 @@ def test_merges_take_the_lowest_rank_then_the_leftmost():
         for _ in range(20):
             piece = bytes(rng.choice(b"abc") for _ in range(n))
             assert bpe.merge(piece, ranks) == slow(piece)
+    pairs = bpe.Pairs(ranks)
+    for size in (1, 2, 4, 32):
+        pieces = [bytes(rng.choice(b"abc") for _ in range(rng.randint(max(2, size // 2 + 2), size + 1))) for _ in range(300)]
+        ids, count = bpe.merge_together(pieces, size, pairs)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [slow(p) for p in pieces]
 
 
 def test_crc32c():
@@ -125,3 +147,9 @@ def test_records_round_trip(spark, sample, odd, nothing, vocabulary):
     one = index.filter("doc_id = 6").first()
     assert binary.read_record(one.file, one.offset, one.length)[1].tolist() == [*library_ids(odd.filter("doc_id = 6").first().text), 1]
     assert binary.read_records(binary.write_records(nothing, PATH, vocabulary, 1, shared_dir(spark), 2)).count() == 0
+
+
+def test_kept_columns_that_clash_are_refused_before_running(odd):
+    with pytest.raises(ValueError):
+        tokencount.token_counts(odd, PATH, keep=("n_tokens",))
+    assert tokencount.token_counts(odd, PATH, keep=("score",)).columns == ["doc_id", "score", "n_bytes", "n_tokens", "over_limit"]
