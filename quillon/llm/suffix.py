@@ -6,9 +6,11 @@ A byte goes if a window of ``span`` bytes that covers it also starts in a docume
    minimisers that two documents share can lie in a repeated window. Blocks send their minimisers' hashes to ranges of
    hash values and hear back which are shared.
 2. Decide. Blocks send the text around shared minimisers (each distinct text once) to the range of the minimiser, a shard.
-   A shard builds suffix arrays over at most PART bytes each by Larsson-Sadakane refinement, gets the common prefixes of
-   neighbours in the manner of Kasai (in text order), which group equal windows, and merges its arrays by binary search.
-   Each window learns the least document id that holds it.
+   Windows of a minimiser that is met more than HOT times are sent one by one to the range of a hash of their own bytes, so
+   that no minimiser fills a shard. A shard builds suffix arrays over at most PART bytes each by Larsson-Sadakane refinement,
+   gets the common prefixes of neighbours by Kasai's rule (in text order, each begins where the one before it left off, less
+   one byte), which group equal windows, and merges its arrays by binary search. Each window learns the least document id
+   that holds it.
 3. Remove. Blocks hear those ids and cut what an earlier document has.
 
 Nothing is sampled and no partner is capped: whatever a shard decides, it decides on all windows that have its minimisers.
@@ -33,7 +35,11 @@ from .files import NewFile, open_file
 
 SPAN, GRAM = 50, 24
 #: Bytes that are hashed at once, and bytes of one suffix array.
-SUB, PART = 1 << 19, 2 << 20
+SUB, PART = 1 << 19, 1 << 20
+#: Occurrences of a minimiser from which its windows are dealt by their own bytes; rows of a block.
+HOT, ROWS = 1 << 16, 2048
+#: Lanes in which common prefixes are found in step.
+LANES = 2048
 _LOW = (1 << 23) - 1
 LAST = (1 << 63) - 1
 
@@ -126,10 +132,10 @@ def minimisers(buf: np.ndarray, starts: np.ndarray, span: int = SPAN, gram: int
     return x[at[first]], s[first], s[np.concatenate((change, [len(s)])) - 1]
 
 
-def suffix_array(buf: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes sorted by their first ``depth`` bytes (at least 8), and each suffix's rank, equal for equal prefixes.
+def suffix_array(buf: np.ndarray) -> np.ndarray:
+    """All suffixes in order; a suffix that another begins with comes first.
 
-    Larsson-Sadakane: suffixes are sorted by 8 bytes, then groups that are still equal are sorted by the rank of the
+    Larsson-Sadakane: suffixes are sorted by 7 bytes, then groups that are still equal are sorted by the rank of the
     suffix ``h`` bytes on, which doubles the sorted length; suffixes that are alone in their group are not touched again.
     """
     n = len(buf)
@@ -137,27 +143,27 @@ def suffix_array(buf: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     key = pad[:-1].astype(np.uint64) << np.uint64(8) | pad[1:]
     key = key[:-2] << np.uint64(16) | key[2:]
     key = (key[:-4] << np.uint64(32) | key[4:])[:n]
+    key = (key & np.uint64(~255 & (1 << 64) - 1)) | np.minimum(n - np.arange(n), 7).astype(np.uint64)  # how many bytes are there
     order = np.argsort(key)
     rank = _ranks(order, key[order])
-    h = 8
-    while h < depth:
-        step = min(h, depth - h)  # a shorter last step overlaps what is sorted already
+    del key, pad
+    h = 7
+    while True:
         in_order = rank[order]
         alone = np.ones(n, bool)
         alone[1:] &= in_order[1:] != in_order[:-1]
         alone[:-1] &= in_order[1:] != in_order[:-1]
         where = np.flatnonzero(~alone)
         if not len(where):
-            break
+            return order
         some = order[where]
-        nxt = np.where(some + step < n, rank[np.minimum(some + step, n - 1)] + 1, 0)
+        nxt = np.where(some + h < n, rank[np.minimum(some + h, n - 1)] + 1, 0)
         both = rank[some].astype(np.uint64) * np.uint64(n + 1) + nxt.astype(np.uint64)
         by = np.argsort(both)
         order[where], both = some[by], both[by]
         new = np.concatenate(([True], both[1:] != both[:-1]))
         rank[order[where]] = where[np.maximum.accumulate(np.where(new, np.arange(len(where)), 0))]
-        h += step
-    return order, rank
+        h *= 2
 
 
 def _ranks(order: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -167,70 +173,83 @@ def _ranks(order: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return rank
 
 
+def eights(buf: np.ndarray) -> np.ndarray:
+    """At each position the eight bytes from there on, the first one lowest; zeros follow the end. No copy is made."""
+    pad = np.concatenate((buf, np.zeros(8, np.uint8)))
+    return np.ndarray((len(buf) + 1,), "<u8", pad, strides=(1,))
+
+
 def common_prefixes(buf: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """For each place in the order, the common prefix with the place before, up to ``depth`` bytes.
 
-    Kasai's quantities in text order: every suffix is compared with its predecessor in the array, all of them in step,
-    a byte at a time for those that still agree.
+    Kasai: in text order, a suffix shares with its predecessor in the array at least one byte less than the suffix before
+    it did with its own. The text is cut into lanes that are walked in step; each carries its length along.
     """
     n = len(order)
     size = np.zeros(n, np.int64)
     if n < 2:
         return size
-    live = np.arange(1, n)
-    pad = np.concatenate((buf, np.zeros(8, np.uint8)))
-    word = pad[:-1].astype(np.uint64) << np.uint64(8) | pad[1:]
-    word = word[:-2] << np.uint64(16) | word[2:]
-    word = (word[:-4] << np.uint64(32) | word[4:])[: len(buf)]
-    for at in range(0, depth, 8):
-        i, j = order[live] + at, order[live - 1] + at
-        ok = (i < len(buf)) & (j < len(buf))
-        live, i, j = live[ok], i[ok], j[ok]
-        room = np.minimum(np.minimum(len(buf) - i, len(buf) - j), 8)
-        differ = word[i] ^ word[j]
-        same = np.full(len(live), 8)
-        for k in range(8):  # the first byte that differs, from the left
-            same = np.where((same == 8) & ((differ >> np.uint64(56 - 8 * k)) & np.uint64(255) != 0), k, same)
-        got = np.minimum(same, room)
-        size[live] = np.minimum(at + got, depth)
-        live = live[got == 8]
-    return size
+    word, before = eights(buf), np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    step = -(-n // LANES)
+    first = np.arange(0, n, step)
+    carried = np.zeros(len(first), np.int64)
+    for s in range(step):
+        i = first + s
+        if i[-1] >= n:
+            i = i[:-1]
+        j = before[i]
+        h = np.where(j >= 0, np.maximum(carried[: len(i)] - 1, 0), 0)
+        live = np.flatnonzero(j >= 0)
+        while len(live):
+            a, b, have = i[live], j[live], h[live]
+            room = np.minimum(n - np.maximum(a, b), depth) - have
+            differ = word[np.minimum(a + have, n)] ^ word[np.minimum(b + have, n)]
+            same = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3  # 8 where none differs
+            got = np.minimum(same, np.maximum(room, 0))
+            h[live] = have + got
+            live = live[(got == 8) & (room > 8)]
+        size[i] = carried[: len(i)] = h
+    return size[order]
 
 
 def least_ids(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], span: int) -> list[np.ndarray]:
     """For each part (bytes, window starts, document of each window): the least document that has each window's bytes,
-    in any part. Parts have their own suffix arrays; equal windows of two parts are found by binary search."""
-    sorted_parts = []
+    in any part. Parts have their own suffix arrays, whose distinct windows are merged in pairs by binary search."""
+    groups, texts, lows = [], [], []
     for buf, starts, docs in parts:
-        order, _ = suffix_array(buf, span)
+        order = suffix_array(buf)
         is_start = np.full(len(buf), -1, np.int64)
         is_start[starts] = np.arange(len(starts))
-        # whatever lies between two equal windows in the array has their prefix too, so others can be left out first
+        new = common_prefixes(buf, order, span) < span
         which = is_start[order]
+        # a place that begins no window is left out, and hands a change of group on to the next that does
+        group = np.cumsum(new)[which >= 0]
         order, which = order[which >= 0], which[which >= 0]
-        new = common_prefixes(buf, order, span) < span
-        new[:1] = True
-        group = np.flatnonzero(new)
-        low = np.minimum.reduceat(docs[which], group) if len(group) else np.zeros(0, np.int64)
-        sorted_parts.append((buf, order[group], low, which, np.cumsum(new) - 1))
-    if len(sorted_parts) > 1:
-        texts = [np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(buf, span)[heads]).view(f"S{span}").ravel() for buf, heads, *_ in sorted_parts]
-        merged = [p[2].copy() for p in sorted_parts]
-        for i in range(len(parts)):
-            for j in range(i):
-                if not len(texts[i]) or not len(texts[j]):
-                    continue
-                at = np.minimum(np.searchsorted(texts[j], texts[i]), len(texts[j]) - 1)
-                hit = np.flatnonzero(texts[j][at] == texts[i])
-                np.minimum.at(merged[i], hit, sorted_parts[j][2][at[hit]])
-                np.minimum.at(merged[j], at[hit], sorted_parts[i][2][hit])
-        sorted_parts = [(p[0], p[1], m, p[3], p[4]) for p, m in zip(sorted_parts, merged)]
-    out = []
-    for (_, starts, _), (_, _, low, which, group) in zip(parts, sorted_parts):
-        got = np.empty(len(starts), np.int64)
-        got[which] = low[group]
-        out.append(got)
-    return out
+        at = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else group
+        lows.append(np.minimum.reduceat(docs[which], at) if len(at) else np.zeros(0, np.int64))
+        texts.append(np.lib.stride_tricks.sliding_window_view(buf, span)[order[at]].view(f"S{span}").ravel() if len(at) else np.zeros(0, f"S{span}"))
+        own = np.empty(len(starts), np.int64)
+        own[which] = np.cumsum(np.concatenate(([0], group[1:] != group[:-1]))) if len(group) else group
+        groups.append(own)
+    if len(parts) > 1:
+        every, low = _merged(list(zip(texts, lows)))
+        lows = [low[np.searchsorted(every, t)] for t in texts]
+    return [low[own] for low, own in zip(lows, groups)]
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct windows and their least documents, of sorted parts: neighbours are merged until one is left."""
+    while len(parts) > 1:
+        out = parts[len(parts) & ~1 :]
+        for (a, x), (b, y) in zip(parts[::2], parts[1::2]):
+            at = np.searchsorted(a, b)
+            hit = (a[np.minimum(at, len(a) - 1)] == b) if len(a) else np.zeros(len(b), bool)
+            x = x.copy()
+            x[at[hit]] = np.minimum(x[at[hit]], y[hit])
+            out.append((np.insert(a, at[~hit], b[~hit]), np.insert(x, at[~hit], y[~hit])))
+        parts = out
+    return parts[0]
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -242,47 +261,52 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def block_hashes(file: str, span: int, shift: int) -> Iterator[tuple[int, bytes]]:
-    """(range, its minimisers' hashes in the block, whether two documents of the block have each)."""
-    hashes, docs, n = [], [], 0
+    """(range, its minimisers' hashes in the block, how often each is met, whether two documents of the block have it)."""
+    hashes, docs, times, n = [], [], [], 0
     for batch in read_block(file, ["__text"]):
         for buf, doc, _, starts in segments(_texts(batch), span):
             h, lo, _ = minimisers(buf, starts, span)
             hashes.append(h)
             docs.append(n + doc[np.searchsorted(starts, lo, "right") - 1])
+            times.append(np.ones(len(h), np.int64))
         n += batch.num_rows
         if len(hashes) >= 32:  # keep the distinct pairs only
-            hashes, docs = ([x] for x in _distinct(np.concatenate(hashes), np.concatenate(docs)))
+            hashes, docs, times = ([x] for x in _distinct(np.concatenate(hashes), np.concatenate(docs), np.concatenate(times)))
     if not hashes:
         return
-    h, d = _distinct(np.concatenate(hashes), np.concatenate(docs))
-    new = np.concatenate(([True], h[1:] != h[:-1]))
-    at = np.flatnonzero(new)
-    h, several = h[at], np.diff(np.append(at, len(d))) > 1
+    h, d, c = _distinct(np.concatenate(hashes), np.concatenate(docs), np.concatenate(times))
+    at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    h, several, c = h[at], np.diff(np.append(at, len(d))) > 1, np.add.reduceat(c, at)
     edges = np.flatnonzero(np.diff(h >> np.uint64(shift))) + 1 if shift < 64 else np.zeros(0, np.int64)
     for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(h)]):
-        yield int(h[a] >> np.uint64(shift)) if shift < 64 else 0, pack(planes(h[a:b]), np.packbits(several[a:b]))
+        yield int(h[a] >> np.uint64(shift)) if shift < 64 else 0, pack(planes(h[a:b]), np.packbits(several[a:b]), c[a:b].astype(np.uint32))
 
 
-def _distinct(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(h: np.ndarray, d: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     by = np.lexsort((d, h))
     h, d = h[by], d[by]
-    keep = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))
-    return h[keep], d[keep]
+    at = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]))))
+    return h[at], d[at], np.add.reduceat(c[by], at) if len(at) else c
 
 
-def shared_hashes(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-    """(block, its hashes that another document has too) from the rows (block, hashes) of one range."""
+def shared_hashes(rows: list[tuple[int, bytes]], hot: int) -> Iterator[tuple[int, bytes]]:
+    """(block, its hashes that another document has too, which of them are hot) from the rows (block, hashes) of one range."""
     got = []
     for block, data in rows:
-        p, several = unpack(data)
+        p, several, times = unpack(data)
         h = unplanes(p)
-        got.append((block, h, np.unpackbits(several)[: len(h)].astype(bool)))
-    every = np.sort(np.concatenate([h for _, h, _ in got] + [h[s] for _, h, s in got]))  # twice or more: shared
-    shared = np.unique(every[1:][every[1:] == every[:-1]])
-    for block, h, _ in got:
+        got.append((block, h, np.unpackbits(several)[: len(h)].astype(bool), times))
+    every = np.concatenate([h for _, h, *_ in got])
+    by = np.argsort(every)
+    every = every[by]
+    at = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+    copies = np.diff(np.append(at, len(every))) + np.maximum.reduceat(np.concatenate([s for *_, s, _ in got])[by].astype(np.int64), at)
+    times = np.add.reduceat(np.concatenate([t for *_, t in got])[by].astype(np.int64), at)
+    shared, many = every[at][copies > 1], times[copies > 1] > hot
+    for block, h, *_ in got:
         both = h[_within(shared, h)]
         if len(both):
-            yield block, pack(planes(both))
+            yield block, pack(planes(both), np.packbits(many[np.searchsorted(shared, both)]))
 
 
 def _within(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -291,15 +315,52 @@ def _within(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
 
 
-def block_fragments(file: str, shared: np.ndarray, span: int, shift: int) -> Iterator[tuple[int, bytes]]:
+def mixed(word: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each part of at least 8 bytes, from the eights at its positions."""
+    h = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(0, int(size.max(initial=0)) - 7, 8):
+        far = np.where(size >= k + 8, at + k, at + size - 8)
+        h = (h ^ word[far]) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+    h = (h ^ word[at + size - 8]) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def kinds_of(word: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each part of at least 8 bytes, and a part of each kind. Parts of one kind are equal, which is verified;
+    parts that only share their hash with others are kinds of their own, so equal parts may rarely be of two kinds."""
+    key = mixed(word, at, size)
+    by = np.argsort(key, kind="stable")
+    new = np.concatenate(([True], key[by][1:] != key[by][:-1])) if len(by) else np.zeros(0, bool)
+    group = np.empty(len(by), np.int64)
+    group[by] = np.cumsum(new) - 1
+    some = by[new]
+    like = some[group]
+    same = size == size[like]
+    for k in range(0, int(size.max(initial=0)) - 7, 8):
+        far = np.minimum(k, size - 8)
+        same &= word[at + far] == word[at[like] + np.minimum(far, size[like] - 8)]
+    same &= word[at + size - 8] == word[at[like] + size[like] - 8]
+    if len(odd := np.flatnonzero(~same)):
+        group[odd] = len(some) + np.arange(len(odd))
+        some = np.concatenate((some, odd))
+    return group, some
+
+
+def _least(group: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    out = np.full(n, LAST, np.int64)
+    np.minimum.at(out, group, values)
+    return out
+
+
+def block_fragments(file: str, shared: np.ndarray, many: np.ndarray, span: int, shift: int) -> Iterator[tuple[int, bytes]]:
     """(range, its distinct fragments in the block), and as range -1 where in the block each fragment is.
 
-    A fragment is the text of a run of windows with one minimiser; of equal fragments the least document is sent along.
+    A fragment is the text of a run of windows with one minimiser, or one window where the minimiser is hot; of equal
+    fragments the least document is sent along.
     """
-    known: dict[bytes, int] = {}
-    least: list[int] = []
-    keys: list[int] = []
-    docs, offsets, kinds, n = [], [], [], 0
+    parts, docs, offsets, places, sizes, keys, owners = [], [], [], [], [], [], []
+    n = total = 0
     for batch in read_block(file, ["__id", "__text"]):
         ids = _ids(batch)
         for buf, doc, base, starts in segments(_texts(batch), span):
@@ -307,33 +368,34 @@ def block_fragments(file: str, shared: np.ndarray, span: int, shift: int) -> Ite
             at = np.flatnonzero(_within(shared, h))
             if not len(at):
                 continue
-            raw, seg = buf.tobytes(), np.searchsorted(starts, lo[at], "right") - 1
-            mine = np.empty(len(at), np.int64)
-            owner = ids[doc[seg]].tolist()
-            key = h[at].tolist()
-            for k, (a, b, d) in enumerate(zip(lo[at].tolist(), (hi[at] + span).tolist(), owner)):
-                text = raw[a:b]
-                j = known.get(text)
-                if j is None:
-                    j = known[text] = len(least)
-                    least.append(d)
-                    keys.append(key[k])
-                elif d < least[j]:
-                    least[j] = d
-                mine[k] = j
-            docs.append(n + doc[seg])
-            offsets.append(base[seg] + lo[at] - starts[seg])
-            kinds.append(mine)
+            h, lo, hi = h[at], lo[at], hi[at]
+            hot = many[np.searchsorted(shared, h)]
+            if hot.any():
+                windows = _ranges(lo[hot], hi[hot] - lo[hot] + 1)
+                own = mixed(eights(buf), windows, np.full(len(windows), span))
+                h, lo, hi = np.concatenate((h[~hot], own)), np.concatenate((lo[~hot], windows)), np.concatenate((hi[~hot], windows))
+            seg = np.searchsorted(starts, lo, "right") - 1
+            parts.append(buf)
+            docs.append((n + doc[seg]).astype(np.uint32))
+            offsets.append(base[seg] + lo - starts[seg])
+            places.append(total + lo)
+            sizes.append(hi - lo + span)
+            keys.append(h)
+            owners.append(ids[doc[seg]])
+            total += len(buf)
         n += batch.num_rows
-    if not known:
+    if not parts:
         return
-    yield -1, pack(np.concatenate(docs).astype(np.uint32), np.concatenate(offsets), np.concatenate(kinds).astype(np.uint32))
-    texts, hashed, low = list(known), np.array(keys, np.uint64), np.array(least, np.int64)
-    by = np.argsort(hashed, kind="stable")
-    to = (hashed[by] >> np.uint64(shift)).astype(np.int64)
-    for part, at in zip(np.split(by, np.flatnonzero(np.diff(to)) + 1), np.split(to, np.flatnonzero(np.diff(to)) + 1)):
-        some = [texts[i] for i in part.tolist()]
-        yield int(at[0]), pack(part.astype(np.uint32), low[part], np.array([len(t) for t in some], np.uint32), hashed[part], np.frombuffer(b"".join(some), np.uint8))
+    whole, place, size, key, owner = (np.concatenate(x) for x in (parts, places, sizes, keys, owners))
+    parts, places, sizes, keys, owners = [], [], [], [], []
+    kind, some = kinds_of(eights(whole), place, size)
+    yield -1, pack(np.concatenate(docs), np.concatenate(offsets), kind.astype(np.uint32))
+    low, key, place, size = _least(kind, owner, len(some)), key[some], place[some], size[some]
+    by = np.argsort(key, kind="stable")
+    to = (key[by] >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(by), np.int64)
+    edges = np.flatnonzero(np.diff(to)) + 1
+    for part, a in zip(np.split(by, edges), [0, *edges.tolist()]):
+        yield int(to[a]), pack(part.astype(np.uint32), low[part], size[part].astype(np.uint32), key[part], whole[_ranges(place[part], size[part])])
 
 
 def shard_windows(rows: list[tuple[int, bytes]], span: int, part_bytes: int = PART) -> Iterator[tuple[int, bytes]]:
@@ -343,47 +405,41 @@ def shard_windows(rows: list[tuple[int, bytes]], span: int, part_bytes: int = PA
     another, since equal windows have one minimiser; the others go to suffix arrays.
     """
     got = [(block, *unpack(data)) for block, data in rows]
-    known: dict[bytes, int] = {}
-    least: list[int] = []
-    keys: list[int] = []
-    mine = []
-    for _, _, low, sizes, hashed, text in got:
-        raw, at, which = text.tobytes(), 0, []
-        for n, d, key in zip(sizes.tolist(), low.tolist(), hashed.tolist()):
-            fragment = raw[at : at + n]
-            at += n
-            j = known.setdefault(fragment, len(least))
-            if j == len(least):
-                least.append(d)
-                keys.append(key)
-            elif d < least[j]:
-                least[j] = d
-            which.append(j)
-        mine.append(np.array(which, np.int64))
-    texts, low = list(known), np.array(least, np.int64)
-    size = np.array([len(t) for t in texts], np.int64)
+    size = np.concatenate([x[3] for x in got]).astype(np.int64)
+    whole, key = np.concatenate([x[5] for x in got]), np.concatenate([x[4] for x in got])
+    place = np.cumsum(size) - size
+    mine, some = kinds_of(eights(whole), place, size)
+    low = _least(mine, np.concatenate([x[2] for x in got]), len(some))
+    at = np.cumsum([0] + [len(x[1]) for x in got])
+    got = [(x[0], x[1], x[3]) for x in got]
+    size, place, key = size[some], place[some], key[some]
     count = size - span + 1
     begin = np.cumsum(count) - count
     answer = np.repeat(low, count)
-    _, inverse, times = np.unique(np.array(keys, np.uint64), return_inverse=True, return_counts=True)
+    _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
     several = np.flatnonzero(times[inverse] > 1)
     several = several[np.argsort(inverse[several], kind="stable")]
-    parts, here, total = [], [], 0
-    for j in several.tolist():
-        if here and total + size[j] > part_bytes:
-            parts.append(np.array(here))
-            here, total = [], 0
-        here.append(j)
-        total += size[j]
-    if here:
-        parts.append(np.array(here))
-    made = []
-    for here in parts:
-        first = np.cumsum(size[here]) - size[here]
-        made.append((np.frombuffer(b"".join([texts[j] for j in here.tolist()]), np.uint8), _ranges(first, count[here]), np.repeat(low[here], count[here])))
-    for here, got_low in zip(parts, least_ids(made, span)):
-        answer[_ranges(begin[here], count[here])] = got_low
-    for (block, ids, _, sizes, *_), which in zip(got, mine):
+    # equal windows have one key: whole runs of keys are decided together, as many as fit into one suffix array
+    ends = np.cumsum(size[several])
+    runs, start, here = [], 0, 0
+    for e in np.append(np.flatnonzero(np.diff(inverse[several])) + 1, len(several)).tolist():
+        if here > start and ends[e - 1] - (ends[start - 1] if start else 0) > part_bytes:
+            runs.append((start, here))
+            start = here
+        here = e
+    if here > start:
+        runs.append((start, here))
+    for a, b in runs:
+        together, made = several[a:b], []
+        cuts = np.unique(np.append(np.searchsorted(np.cumsum(size[together]), np.arange(part_bytes, int(size[together].sum()), part_bytes)), [0, len(together)]))
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            part = together[x:y]
+            first = np.cumsum(size[part]) - size[part]
+            made.append((whole[_ranges(place[part], size[part])], _ranges(first, count[part]), np.repeat(low[part], count[part])))
+        for x, y, got_low in zip(cuts[:-1].tolist(), cuts[1:].tolist(), least_ids(made, span)):
+            answer[_ranges(begin[together[x:y]], count[together[x:y]])] = got_low
+    for (block, ids, sizes), a, b in zip(got, at[:-1].tolist(), at[1:].tolist()):
+        which = mine[a:b]
         yield block, pack(ids, sizes, answer[_ranges(begin[which], count[which])])
 
 
@@ -439,13 +495,18 @@ def block_kept(file: str, occurrences: list[np.ndarray] | None, answers: list[li
 
 def deduplicated(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", keep: tuple = (), texts: bool = True, spans: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, ``keep``, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes) and, if
-    asked for, text (what remains, without characters that a cut has split) and the removed spans. Windows never cross documents, null texts count as empty, rows with equal ids do not cut each other.
+    asked for, text (what remains, without characters that a cut has split) and the removed spans. Windows never cross
+    documents, null texts count as empty, very long texts are cut as any other, rows with equal ids do not cut each other.
     Rows with a null id are cut by all others and cut none. Ids are integers below 2**63 - 1. An empty table gives no rows.
+    Columns outside ``keep`` are not read; a name of ``keep`` that the result uses itself is an error before anything runs.
     """
     spark, where = docs.sparkSession, shared_dir(docs.sparkSession)
+    made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * texts, *["spans"] * spans]
+    if len({c.lower() for c in (id_col, *keep, *made, "__id", "__text")}) < len(keep) + len(made) + 3:
+        raise ValueError(f"columns of one name in {[id_col, *keep, *made]}")
     src = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("binary").alias("__text"), *[F.col(c) for c in keep])
-    blocks = Blocks(src, f"{where}/blocks")
-    bits = max(3, (2 * len(blocks) - 1).bit_length())
+    blocks = Blocks(src, f"{where}/blocks", ROWS)
+    bits = max(3, (len(blocks) - 1).bit_length())
     shift = 64 - bits
     pairs = "target int, block int, payload binary"
 
@@ -458,7 +519,8 @@ def deduplicated(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text
     sent = blocks.spread().mapInArrow(hashes, pairs)
 
     def meet(rows: pa.Table) -> pa.Table:
-        got = list(shared_hashes(list(zip(rows.column("block").to_pylist(), rows.column("payload").to_pylist()))))
+        got = list(shared_hashes(list(zip(rows.column("block").to_pylist(), rows.column("payload").to_pylist())), HOT))
+        trim()
         return pa.table({"block": pa.array([b for b, _ in got], pa.int32()), "payload": pa.array([d for _, d in got], pa.binary())})
 
     shared = stored(sent.groupBy("target").applyInArrow(meet, "block int, payload binary"), f"{where}/shared", 4 << 20)
@@ -467,10 +529,17 @@ def deduplicated(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text
 
     def fragments(rows: pa.Table) -> pa.Table:
         file = next(x for x in rows.column("file").to_pylist() if x)
-        data = [unplanes(unpack(x)[0]) for x in rows.column("payload").to_pylist() if x]
+        data = []
+        for x in rows.column("payload").to_pylist():
+            if x:
+                p, many = unpack(x)
+                h = unplanes(p)
+                data.append((h, np.unpackbits(many)[: len(h)].astype(bool)))
         block = rows.column("block")[0].as_py()
         out = []
-        for to, x in block_fragments(file, np.sort(np.concatenate(data)), span, shift) if data else ():
+        shared_, many_ = (np.concatenate(x) for x in zip(*data)) if data else (None, None)
+        by = np.argsort(shared_) if data else None
+        for to, x in block_fragments(file, shared_[by], many_[by], span, shift) if data else ():
             if to < 0:
                 with NewFile(f"{where}/occurrences/{block}") as side:
                     side.write(x)
@@ -480,7 +549,7 @@ def deduplicated(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text
         trim()
         return made
 
-    found = blocks.with_rows(shared).groupBy("block").applyInArrow(fragments, pairs)
+    found = blocks.with_rows(shared).repartition(max(1, len(blocks)), "block").groupBy("block").applyInArrow(fragments, pairs)
 
     def shard(rows: pa.Table) -> pa.Table:
         got = list(shard_windows(list(zip(rows.column("block").to_pylist(), rows.column("payload").to_pylist())), span))
@@ -501,7 +570,7 @@ def deduplicated(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text
         trim()
         return out
 
-    return rows.groupBy("block").applyInArrow(cut, schema)
+    return rows.repartition(max(1, len(blocks)), "block").groupBy("block").applyInArrow(cut, schema)
 
 
 def _pairs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:

@@ -144,7 +144,9 @@ def slow_dedup(rows, span):
     return sorted(out)
 
 
-def test_suffix_dedup_is_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [suffix.HOT, 4])
+def test_suffix_dedup_is_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix, "HOT", hot)
     rng = random.Random(4)
     base = ["".join(rng.choice("abcd ") for _ in range(300)) for _ in range(6)]
     rows = []
@@ -190,14 +192,37 @@ def test_shards_split_and_merge():
             assert low.tolist() == want and block == _
 
 
+def test_kinds_are_equal_parts():
+    rng = random.Random(1)
+    parts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(8, 30))) for _ in range(20)] * 3
+    rng.shuffle(parts)
+    size = np.array([len(p) for p in parts])
+    kind, some = suffix.kinds_of(suffix.eights(np.frombuffer(b"".join(parts), np.uint8)), np.cumsum(size) - size, size)
+    assert len(some) == len(set(parts)) and all(parts[some[k]] == p for k, p in zip(kind.tolist(), parts))
+
+
+def test_texts_longer_than_a_hash_buffer(spark, monkeypatch):
+    """Parts of long texts overlap by less than a window, so that each window is met once."""
+    monkeypatch.setattr(suffix, "SUB", 300)
+    rng = random.Random(2)
+    base = "".join(rng.choice("abcdef") for _ in range(3000))
+    rows = [(1, base), (2, base[1000:2500] + "x" + base[:700]), (3, "".join(rng.choice("abcdef") for _ in range(900)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    segs = [(base_ + lo - starts[d], seg) for seg, (buf, _, offs, starts) in enumerate(suffix.segments([t.encode() for _, t in rows], 50)) for d, base_ in enumerate(offs.tolist()) for lo in range(starts[d], starts[d + 1] - 49)]
+    assert len(segs) == sum(len(t) - 49 for _, t in rows)
+    assert sorted(map(tuple, suffix.deduplicated(df, texts=False).collect())) == slow_dedup([(i, t.encode()) for i, t in rows], 50)
+
+
 @pytest.mark.parametrize("n, letters", [(1, 2), (500, 1), (3000, 2), (3000, 4)])
 def test_suffix_array_and_prefixes(n, letters):
     buf = np.random.default_rng(n).integers(97, 97 + letters, n, dtype=np.uint8)
     raw = buf.tobytes()
-    order, _ = suffix.suffix_array(buf, 50)
-    assert [raw[i : i + 50] for i in order.tolist()] == sorted(raw[i : i + 50] for i in range(n))
+    buf[: n // 3] -= 97  # with bytes of zero
+    raw = buf.tobytes()
+    order = suffix.suffix_array(buf)
+    assert order.tolist() == sorted(range(n), key=lambda i: raw[i:])
     lcp = suffix.common_prefixes(buf, order, 50).tolist()
-    for k in range(1, n, 7):
+    for k in range(1, n):
         a, b = raw[order[k] :][:50], raw[order[k - 1] :][:50]
         assert lcp[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
@@ -209,6 +234,8 @@ def test_suffix_odd_rows(odd, nothing):
     assert by[10].n_removed == by[9].n_bytes and by[10].text == "" and by[9].n_removed == 0 and by[0].n_bytes == 0
     assert [(s.start, s.end) for s in by[10].spans] == [(0, by[10].n_bytes)]
     assert suffix.deduplicated(nothing).count() == 0
+    with pytest.raises(ValueError):
+        suffix.deduplicated(odd.withColumnRenamed("score", "n_bytes"), keep=("n_bytes",))
 
 
 def test_cut_characters_do_not_break_the_text(spark):
