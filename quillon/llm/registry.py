@@ -18,4 +18,4 @@ QUERIES = {
 }
 
 #: Queries that SQL can express over whole tables. The others are tested against brute force in tests/llm.
-SQL: dict = {}
+SQL = {"op5_warc": warc.SQL, "op7_suffix_dedup": suffix.SQL}

@@ -592,5 +592,24 @@ def _cut(batch: pa.RecordBatch, whole: list, gone: list, kept: list, id_col: str
     return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
 
+#: The same for DuckDB, by grouping all windows. Texts are hexadecimal; they are cut in chunks first, since a far substring
+#: is slow to reach.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, unnest(range(0, greatest(length(h) // 2 - 49, 0), 1000)) AS pos, h FROM d),
+k AS (SELECT doc_id, pos, substr(h, (2 * pos + 1)::INT, 2098) AS part FROM c),
+w AS (SELECT doc_id, pos + s AS s, substr(part, (2 * s + 1)::INT, 100) AS win FROM (SELECT doc_id, pos, part, unnest(range(0, length(part) // 2 - 49)) AS s FROM k)),
+low AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY win) AS least FROM w),
+gone AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS fresh FROM low WHERE least < doc_id),
+run AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS r FROM gone),
+span AS (SELECT doc_id, min(s) AS a, max(s) + 50 AS b FROM run GROUP BY doc_id, r),
+edge AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM span),
+cut AS (SELECT doc_id, sum(b - a) AS n, count(*) AS k, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM edge JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"), texts=False)

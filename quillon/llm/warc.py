@@ -27,31 +27,37 @@ from .files import NewFile, open_file
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 20, 1 << 30, 3
+#: Parts in which the copies of one payload are decided.
+SALTS = 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "quillon:warc")
 
 
-def record_id(key) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMES, str(key))}>"
+def record_id(key, sha1: str, copy: str = "") -> str:
+    """The identifier of the record of an id and a payload's digest; ``copy`` tells rows apart that have both in common."""
+    return f"<urn:uuid:{uuid.uuid5(NAMES, f'{key} {sha1} {copy}')}>"
 
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(key, url: str | None, payload: bytes, refers_to=None, sha1: str | None = None) -> bytes:
-    """A WARC 1.1 response with the payload, or a revisit without it."""
+def record(key, url: str | None, payload: bytes, refers_to=None, copy: str = "", named: bool = True) -> tuple[str, bytes]:
+    """The identifier and the bytes of a WARC 1.1 response with the payload, or of a revisit without it. ``named``: whether
+    the response that it refers to can be named, being the only record of its id and payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
+    sha1 = digest(payload)
+    name = record_id(key, sha1, copy)
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(key)}", f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {clean(url)}", f"WARC-Payload-Digest: sha1:{sha1 or digest(payload)}", "Content-Type: application/http; msgtype=response",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name}", f"WARC-Date: {DATE}",
+        f"WARC-Target-URI: {clean(url)}", f"WARC-Payload-Digest: sha1:{sha1}", "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}", f"Quillon-Key: {'' if key is None else key}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"Quillon-Refers-To-Key: {refers_to}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+        head += [f"WARC-Profile: {PROFILE}", f"Quillon-Refers-To-Key: {refers_to}"] + [f"WARC-Refers-To: {record_id(refers_to, sha1)}"] * named
+    return name, "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def clean(url: str | None) -> str:
@@ -143,33 +149,42 @@ def read_record(file: str, frame: int, offset: int) -> tuple[dict, bytes]:
 
 
 def roles(pages: DataFrame, least: int = 0, id_col: str = "page_id", data_col: str = "html") -> DataFrame:
-    """``pages`` with the columns __sha1 (of the payload) and __to (the response that a revisit refers to, else null).
+    """``pages`` with the columns __to (the response that a revisit refers to, else null), __again (whether several rows have
+    the row's id and payload) and __named (whether the response is not such a row).
 
     Of rows with equal payloads of at least ``least`` bytes, those with the largest id are responses; rows with a null id
-    are responses too and nothing refers to them.
+    are responses too and nothing refers to them. Digests are decided on ids and digests alone, salted by the id, so that
+    the copies of one page are spread; rows with their payloads are joined on their id and digest, which few share.
     """
-    spark = pages.sparkSession
     payload = F.coalesce(F.col(data_col).cast("binary"), F.lit(b""))
-    marked = pages.withColumn("__sha1", F.sha1(payload))
-    shared = stored(
-        marked.filter(F.col(id_col).isNotNull() & (F.octet_length(payload) >= least))
-        .groupBy("__sha1").agg(F.max(id_col).alias("__top"), F.count("*").alias("__n")).filter("__n > 1").drop("__n"),
-        shared_dir(spark),
-    )
-    return marked.join(shared, "__sha1", "left").withColumn("__to", F.expr(f"CASE WHEN `{id_col}` < __top THEN __top END")).drop("__top")
+    rows = pages.withColumn("__sha1", F.sha1(payload))
+    pairs = stored(rows.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id"), "__sha1", F.octet_length(payload).alias("__size")).agg(F.count("*").alias("__n")), shared_dir(pages.sparkSession))
+    large = pairs.filter(F.col("__size") >= least)
+    top = large.groupBy("__sha1").agg(F.max(F.struct("__id", "__n")).alias("t"), F.count("*").alias("k")).filter("k > 1")
+    top = top.select("__sha1", F.col("t.__id").alias("__top"), (F.col("t.__n") == 1).alias("__named"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("__salt"))
+    links = large.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int")).join(top, ["__sha1", "__salt"]).filter("__id < __top").select("__id", "__sha1", "__top", "__named")
+    facts = pairs.select("__id", "__sha1", "__n").join(links, ["__id", "__sha1"], "left").filter("__n > 1 OR __top IS NOT NULL")
+    facts = stored(facts.select("__id", "__sha1", F.col("__top").alias("__to"), (F.col("__n") > 1).alias("__again"), "__named"), shared_dir(pages.sparkSession))
+    # rows without an id are dealt by their payload and match nothing
+    keyed = rows.withColumn("__key", F.struct(F.col(id_col).isNull(), F.coalesce(F.col(id_col), F.xxhash64(payload))))
+    facts = facts.withColumn("__key", F.struct(F.lit(False), "__id")).drop("__id")
+    joined = keyed.join(facts, ["__key", "__sha1"], "left").drop("__key", "__sha1")
+    return joined.withColumn("__again", F.coalesce("__again", F.col(id_col).isNull())).withColumn("__named", F.coalesce("__named", F.lit(True)))
 
 
 def write_archives(pages: DataFrame, where: str, least: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Writes a record for every row of ``pages`` (page_id, url, html) and returns the index: page_id, record_id, file,
-    frame, offset. Null html is an empty payload. Each task writes bundles under names of its own, so a task that runs
-    again disturbs nothing; the index, stored under ``where``, names only bundles of tasks that succeeded."""
+    frame, offset. Null html is an empty payload, very long ones are frames of their own; rows with one id are a record each,
+    with identifiers of their own; an empty table gives no bundles; other columns are not read, so their names may clash.
+    Each task writes bundles under names of its own, so a task that runs again disturbs nothing; the index, stored under
+    ``where``, names only bundles of tasks that succeeded."""
     src = roles(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("binary").alias("html")), least)
-    src = src.select("page_id", "url", "__to", "html")
+    src = src.select("page_id", "url", "__to", "__again", "__named", "html")
     schema = "page_id bigint, record_id string, file string, frame int, offset bigint"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ctx, k, bundle = TaskContext.get(), 0, None
+        ctx, k, bundle, at = TaskContext.get(), 0, None, 0
         rows: list = []
 
         def done():
@@ -178,11 +193,13 @@ def write_archives(pages: DataFrame, where: str, least: int = 0, frame_bytes: in
 
         for whole in batches:
             for batch in slices(whole, "html"):
-                for key, url, to, html in zip(*(c.to_pylist() for c in batch.columns)):
+                for key, url, to, again, named, html in zip(*(c.to_pylist() for c in batch.columns)):
                     if bundle is None:
                         bundle = Bundle(f"{where}/bundles/part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}-{k:04d}.warc.zst", frame_bytes)
-                    frame, offset = bundle.add(record(key, url, html or b"", to))
-                    rows.append((key, record_id(key), bundle.name, frame, offset))
+                    at += 1
+                    name, data = record(key, url, html or b"", to, f"{ctx.partitionId()}.{at}" if again else "", named)
+                    frame, offset = bundle.add(data)
+                    rows.append((key, name, bundle.name, frame, offset))
                     if bundle.out.at >= bundle_bytes:
                         yield done()
                         bundle, rows, k = None, [], k + 1
@@ -194,9 +211,9 @@ def write_archives(pages: DataFrame, where: str, least: int = 0, frame_bytes: in
 
 def read_archives(index: DataFrame) -> DataFrame:
     """A row for each record of the index's bundles: page_id, payload_bytes, payload_digest, record_type, refers_to. Each
-    bundle is read frame by frame by one task; digests of stored payloads are verified."""
-    spark = index.sparkSession
+    bundle is read frame by frame by a task of its own; digests of stored payloads are verified."""
     files = index.select("file").distinct()
+    files = files.repartition(max(1, files.count()))
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -220,5 +237,18 @@ def row(head: dict, block: bytes) -> tuple:
     return int(key) if key else None, n, sha1, kind, int(to) if to else None
 
 
+#: The same for DuckDB. Base32 takes five bits of the digest for each letter.
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
+     q AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS top FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(d, (5 * (i // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < top THEN top END AS refers_to
+FROM q
+"""
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(table(spark, sf_dir, "pages"), shared_dir(spark)))

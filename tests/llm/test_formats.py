@@ -70,6 +70,13 @@ def test_warc_round_trip(spark):
         assert head["WARC-Record-ID"] == r.record_id and warc.payload_of(block)[1].decode() == {3: "other", 7: "long " * 400_000}[r.page_id]
         with open_file(r.file) as f:
             assert len(warc.seek_table(f)) >= 1
+    names = [r.record_id for r in index.collect()]
+    assert len(names) == len(set(names)) == len(PAGES)
+    for r in index.filter("page_id = 1").collect():  # its response is one of two rows alike, so it is named by its id only
+        assert "WARC-Refers-To" not in warc.read_record(r.file, r.frame, r.offset)[0]
+    four, five = (index.filter(f"page_id = {k}").first() for k in (4, 5))
+    assert warc.read_record(four.file, four.frame, four.offset)[0]["WARC-Refers-To"] == five.record_id
+    assert warc.read_archives(index).rdd.getNumPartitions() == index.select("file").distinct().count()
     assert warc.write_archives(pages.limit(0), shared_dir(spark)).count() == 0
 
 
@@ -83,8 +90,22 @@ def test_bundles_are_plain_zstandard(spark, tmp_path):
     import zstandard
 
     b = warc.Bundle(f"file://{tmp_path}/b.warc.zst", 10)
-    at = [b.add(warc.record(k, None, b"p%d" % k)) for k in range(3)]
+    at = [b.add(warc.record(k, None, b"p%d" % k)[1]) for k in range(3)]
     b.close()
     data = (tmp_path / "b.warc.zst").read_bytes()
     whole = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
     assert len(list(warc.parse_records(whole))) == 3 and [x[0] for x in at] == [0, 1, 2]
+
+
+@pytest.mark.parametrize("name, table", [("op5_warc", "pages"), ("op7_suffix_dedup", "documents")])
+def test_queries_are_their_sql(spark, name, table):
+    import duckdb
+
+    from quillon.llm import registry
+
+    d = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{d}/{table}.parquet'")
+    want = db.execute(registry.SQL[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(map(tuple, registry.QUERIES[name](spark, d).select(columns).collect()), key=str) == sorted(want.fetchall(), key=str)
