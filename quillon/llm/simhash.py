@@ -206,7 +206,7 @@ def shingles(text: bytes, words: int = STAGE_WORDS) -> np.ndarray:
 
 
 class Sets:
-    """For each text its set of shingles, a hash of the set, and a hash of each band of its MinHash signature."""
+    """For each text a hash of its set of shingles, its fingerprint, and a hash of each band of its MinHash signature."""
 
     def __init__(self, words: int):
         rng = np.random.default_rng(SEED)
@@ -215,11 +215,11 @@ class Sets:
         self.odd = self.odd << np.uint64(1) | np.uint64(1)
 
     def __call__(self, texts: list) -> dict:
-        keys, bands, sets = [], [], []
+        keys, prints, bands = [], [], []
         for t in texts:
             h = shingles(t, self.words)
-            sets.append(h.tobytes())
-            keys.append(xxhash.xxh64_intdigest(sets[-1], SEED))
+            keys.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+            prints.append(sum(1 << i for i in np.flatnonzero(2 * count_bits(h) > len(h)).tolist()))
             low = np.full(BANDS * BAND, ~np.uint64(0))
             for lo in range(0, len(h), 2048):
                 x = h[lo : lo + 2048, None] * self.odd + self.plus
@@ -227,7 +227,18 @@ class Sets:
                 low = np.minimum(low, x.min(0))
             bands.append([xxhash.xxh64_intdigest(low[k : k + BAND].tobytes(), k) for k in range(0, len(low), BAND)])
         flat = np.array(bands, np.uint64).reshape(-1).view(np.int64)
-        return {"key": np.array(keys, np.uint64).view(np.int64), "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(flat)), "shingles": pa.array(sets, pa.binary())}
+        return {"key": np.array(keys, np.uint64).view(np.int64), "fp": np.array(prints, np.uint64).view(np.int64), "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(flat))}
+
+
+class Shingles:
+    """For each text its set of shingles and the hash of the set."""
+
+    def __init__(self, words: int):
+        self.words = words
+
+    def __call__(self, texts: list) -> dict:
+        sets = [shingles(t, self.words).tobytes() for t in texts]
+        return {"key": np.array([xxhash.xxh64_intdigest(x, SEED) for x in sets], np.uint64).view(np.int64), "shingles": pa.array(sets, pa.binary())}
 
 
 def similar(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
@@ -246,37 +257,61 @@ def similar(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
 
 
-def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, share: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, share: float = SIMILAR, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) for each row with an id: the least id that is reachable by pairs with a Jaccard similarity of
     their sets of shingles of ``share`` at least.
 
-    Candidates agree in a band of MinHashes; a pair at 0.8 has one with a probability of 0.9999. Equal sets are one class.
-    In a bucket all are compared with its first, then those that are still in different components with each other.
+    Equal sets are one class. Classes whose SimHash fingerprints are near, found by pigeonhole blocks as in ``links``, are
+    compared first. Fingerprints of pairs at 0.8 differ in more bits than blocks can bear, so classes that agree in a band of
+    MinHashes are compared as well, unless they are linked already; a pair at 0.8 has such a band with a probability of
+    0.9999. In a bucket all are compared with its first, then those that are still in different components with each other.
+    Sets are only made of texts that a pair asks for.
     """
     where = shared_dir(docs.sparkSession)
-    made = stored(map_texts(docs.filter(F.col(id_col).isNotNull()), Sets(words), "key bigint, bands array<bigint>, shingles binary", id_col, text_col), f"{where}/sets")
-    classes = made.groupBy("key").agg(F.min(id_col).alias("rep"))
-    least = stored(classes, f"{where}/classes")
-    sets = made.join(least.select("key", F.col("rep").alias(id_col)), ["key", id_col], "left_semi").dropDuplicates(["key"])
-    rows = stored(made.select("key", "bands").dropDuplicates(["key"]).select("key", F.posexplode("bands").alias("band", "value")), f"{where}/bands")
+    known = docs.filter(F.col(id_col).isNotNull())
+    made = stored(map_texts(known, Sets(words), "key bigint, fp bigint, bands array<bigint>", id_col, text_col), f"{where}/sets")
+    least = stored(made.groupBy("key").agg(F.min(id_col).alias("rep"), F.min("fp").alias("fp")), f"{where}/classes")
+    rows = made.join(least.select("key", F.col("rep").alias(id_col)), ["key", id_col], "left_semi").select("key", F.posexplode("bands").alias("band", "value"))
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = stored(pairs, f"{where}/{name}-pairs")
+        asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(least.select("key", "rep"), "key"), f"{where}/{name}-asked")
+        texts = known.join(asked.select(F.col("rep").alias(id_col)).distinct(), id_col, "left_semi")
+        sets = map_texts(texts, Shingles(words), "key bigint, shingles binary", id_col, text_col).join(asked.select("key", F.col("rep").alias(id_col)), ["key", id_col], "left_semi")
+        return stored(similar(pairs, stored(sets.dropDuplicates(["key"]), f"{where}/{name}-sets", 8 << 20), share), f"{where}/{name}")
+
+    # classes of one fingerprint are linked to the first of them, which stands for the fingerprint
+    first = least.groupBy("fp").agg(F.min("key").alias("head"))
+    ends = links(least.select("fp").distinct(), bucket)
+    near = ends.join(first.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    near = near.unionByName(least.join(first, "fp").filter("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")))
+    edges = verified(near, "near")
     shared = rows.groupBy("band", "value").agg(F.min("key").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
     rows = stored(rows.join(shared, ["band", "value"]), f"{where}/buckets")
-    stars = rows.filter("key <> a").select("a", F.col("key").alias("b")).distinct()
-    edges = stored(similar(stars, sets, share), f"{where}/stars")
-    labels = components(edges).withColumnRenamed("node", "key")
-    named = stored(rows.join(labels, "key", "left").select("band", "value", "key", F.coalesce("label", "key").alias("label")), f"{where}/labelled")
-    more = named.alias("x").join(named.alias("y"), ["band", "value"]).filter("x.key < y.key AND x.label <> y.label").select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    edges = edges.unionByName(stored(similar(more, sets, share), f"{where}/others"))
+
+    def labelled(edges: DataFrame, name: str) -> DataFrame:
+        labels = components(edges).select(F.col("node").alias("key"), "label")
+        return stored(rows.join(labels, "key", "left").select("band", "value", "a", "key", F.coalesce("label", "key").alias("label")), f"{where}/{name}")
+
+    now = labelled(edges, "labelled-0")
+    heads = now.filter("key = a").select("band", "value", F.col("label").alias("__of"))
+    stars = now.filter("key <> a").join(heads, ["band", "value"]).filter("label <> __of").select("a", F.col("key").alias("b")).distinct()
+    edges = edges.unionByName(verified(stars, "stars"))
+    now = labelled(edges, "labelled-1")
+    mixed = now.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band", "value")
+    now = now.join(mixed, ["band", "value"], "left_semi")
+    more = now.alias("x").join(now.alias("y"), ["band", "value"]).filter("x.key < y.key AND x.label <> y.label AND x.key <> x.a").select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    edges = edges.unionByName(verified(more, "others"))
     found = components(edges).withColumnRenamed("node", "key")
-    group = stored(least.join(found, "key", "left").withColumn("label", F.coalesce("label", "key")), f"{where}/groups")
-    first = group.groupBy("label").agg(F.min("rep").alias("component_id"))
-    return made.select(id_col, "key").join(group.select("key", "label"), "key").join(first, "label").select(id_col, "component_id")
+    group = stored(least.join(found, "key", "left").select("key", "rep", F.coalesce("label", "key").alias("label")), f"{where}/groups")
+    head = group.groupBy("label").agg(F.min("rep").alias("component_id"))
+    return made.select(id_col, "key").join(group.select("key", "label"), "key").join(head, "label").select(id_col, "component_id")
 
 
 def distinct_documents(docs: DataFrame, words: int = STAGE_WORDS, share: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose component (of similar_documents) has a smaller id; all its columns, unchanged. Null
     ids stay."""
-    gone = similar_documents(docs, words, share, id_col, text_col).filter(F.col(id_col) > F.col("component_id")).select(id_col).distinct()
+    gone = similar_documents(docs, words, share, id_col=id_col, text_col=text_col).filter(F.col(id_col) > F.col("component_id")).select(id_col).distinct()
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 
