@@ -17,8 +17,15 @@ from pyspark.sql import types as T
 from ..session import ship
 
 
+#: Rows of a batch between Spark and Python: texts are long, so fewer than Spark's own 10,000.
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1024")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. A session that has Spark's own batch size gets a smaller one; one that was set stays."""
     ship(spark)
+    if spark.conf.get(*BATCH[:2]) == BATCH[1]:
+        spark.conf.set(BATCH[0], BATCH[2])
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
