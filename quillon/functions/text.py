@@ -1,4 +1,4 @@
-"""Text analysis: words, folding, articles; as Columns for Latin text, as Arrow functions for every script."""
+"""Text analysis for every script: words, folding, articles; as Columns that run in the JVM, and for single texts."""
 
 from __future__ import annotations
 
@@ -22,34 +22,65 @@ MOST = 64
 IDEOGRAPHS = ((0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x2FA1F))
 
 
-def _latin() -> tuple[str, str]:
-    """Lower-case Latin letters with marks, and their base letters, by canonical decomposition."""
-    pairs = dict(SINGLE)
-    for cp in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        base = unicodedata.normalize("NFD", chr(cp))
-        if len(base) > 1 and base[0].isascii() and base[0].islower():
-            pairs[chr(cp)] = base[0]
-    return "".join(pairs), "".join(pairs.values())
+def is_ideograph(c: str) -> bool:
+    return any(a <= ord(c) <= b for a, b in IDEOGRAPHS)
+
+
+def normalize(word: str) -> str:
+    """The folded form of a word of any script. Korean syllables stay whole."""
+    out = []
+    for c in word.lower():
+        if c in WIDE:
+            out.append(WIDE[c])
+        elif c in SINGLE:
+            out.append(SINGLE[c])
+        else:
+            for d in c if "\uac00" <= c <= "\ud7a3" else unicodedata.normalize("NFD", c):
+                if unicodedata.category(d)[0] == "M" or d == TATWEEL:
+                    continue
+                digit = unicodedata.decimal(d, None) if not d.isascii() else None
+                out.append(str(digit) if digit is not None and ("٠" <= d <= "٩" or "۰" <= d <= "۹") else ARABIC.get(d, d))
+    return "".join(out)
 
 
-LATIN = _latin()
+def _folding() -> tuple[str, str]:
+    """Lower-case characters of all scripts that fold to one other, and those; what folds to nothing stands at the end."""
+    pairs, gone = {}, []
+    for cp in [*range(0xC0, 0x3100), *range(0xF900, 0xFB50)]:
+        c = chr(cp)
+        if c in WIDE or c.lower() != c or unicodedata.category(c)[0] == "M":
+            continue
+        to = normalize(c)
+        if not to:
+            gone.append(c)
+        elif len(to) == 1 and to != c:
+            pairs[c] = to
+    return "".join(pairs) + "".join(gone), "".join(pairs.values())
+
+
+FOLDING = _folding()
 
 
 def fold(text: Column) -> Column:
-    """Lower case without marks, for Latin text; runs in the JVM. ``normalize`` has the rules for all scripts."""
+    """Lower case without marks, for every script; runs in the JVM. ``normalize`` is the same for one word."""
     out = F.lower(text)
     for a, b in WIDE.items():
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.regexp_replace(F.translate(out, *LATIN), r"\p{M}+", "")
+    return F.regexp_replace(F.translate(out, *FOLDING), r"\p{M}+", "")
+
+
+_OWN = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in IDEOGRAPHS)
+#: A word: an ideograph alone, or a run of other letters, digits and the marks behind them.
+WORD = rf"[{_OWN}]|[\p{{L}}\p{{N}}&&[^{_OWN}]][\p{{L}}\p{{N}}\p{{M}}&&[^{_OWN}]]*"
 
 
 def words(text: Column) -> Column:
     """The words of a text as they stand, longest 64 characters."""
-    return F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}]+"), 0), lambda w: F.length(w) <= MOST)
+    return F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), 0), lambda w: F.length(w) <= MOST)
 
 
 def tokens(text: Column) -> Column:
-    """Folded words of Latin text. Null has none."""
+    """Folded words of a text of any script. Null has none."""
     return words(fold(F.coalesce(text, F.lit(""))))
 
 
@@ -58,8 +89,16 @@ def joined(tokens_: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(tokens_, " "), F.lit(" "))
 
 
-def is_ideograph(c: str) -> bool:
-    return any(a <= ord(c) <= b for a, b in IDEOGRAPHS)
+def bare(token: Column) -> Column:
+    """A token without its Arabic article, if three letters remain; the first article that it begins with decides."""
+    out = F
+    for a in ARTICLES:
+        out = out.when(F.startswith(token, F.lit(a)), F.when(F.length(token) >= len(a) + 3, F.substring(token, len(a) + 1, MOST)).otherwise(token))
+    return out.otherwise(token)
+
+
+def is_arabic(text: str) -> bool:
+    return any("\u0600" <= c <= "\u06ff" for c in text)
 
 
 def spans(text: str) -> list[tuple[int, int]]:
@@ -81,23 +120,6 @@ def spans(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if b - a <= MOST]
 
 
-def normalize(word: str) -> str:
-    """The folded form of a word of any script."""
-    out = []
-    for c in word.lower():
-        if c in WIDE:
-            out.append(WIDE[c])
-        elif c in SINGLE:
-            out.append(SINGLE[c])
-        else:
-            for d in unicodedata.normalize("NFD", c):
-                if unicodedata.category(d)[0] == "M" or d == TATWEEL:
-                    continue
-                digit = unicodedata.decimal(d, None) if not d.isascii() else None
-                out.append(str(digit) if digit is not None and ("٠" <= d <= "٩" or "۰" <= d <= "۹") else ARABIC.get(d, d))
-    return "".join(out)
-
-
 def without_article(word: str) -> str:
     """An Arabic word without its article, if three letters remain."""
     for a in ARTICLES:
@@ -151,3 +173,14 @@ def glob_regex(pattern: str) -> str:
 
 def utf16_length(text: str) -> int:
     return len(text.encode("utf-16-le")) // 2
+
+
+def resolved(folder: str) -> str:
+    """A folder's path without . and .. and doubled slashes, with one slash at its end."""
+    out: list[str] = []
+    for part in filter_form(folder).split("/"):
+        if part == "..":
+            out[-1:] = []
+        elif part not in ("", "."):
+            out.append(part)
+    return ("/" if filter_form(folder).startswith("/") else "") + "".join(f"{p}/" for p in out)

@@ -21,21 +21,20 @@ BOOSTS = {"content": 1.0, "name": 3.0, "meta": 1.5}
 PHRASE_BOOST = 2.0
 
 
-def positions(df: DataFrame, fields: tuple = FIELDS, all_scripts: bool = False) -> DataFrame:
-    """(doc_id, field, pos, term), a row for each token. ``all_scripts`` takes the Arrow tokenizer."""
+def positions(df: DataFrame, fields: tuple = FIELDS) -> DataFrame:
+    """(doc_id, field, pos, term), a row for each token; an Arabic word stands without its article as well, at its place."""
+    term = F.col("term")
+    forms = F.when(T.bare(term) != term, F.array(term, T.bare(term))).otherwise(F.array(term))
     parts = []
     for f in fields:
         src = df.select("doc_id", F.col(f).alias("t")).filter(F.col("t") != "")
-        if all_scripts:
-            parts.append(src.select("doc_id", F.lit(f).alias("field"), F.inline(T.positions_udf()("t"))))
-        else:
-            parts.append(src.select("doc_id", F.lit(f).alias("field"), F.posexplode(T.tokens(F.col("t"))).alias("pos", "term")))
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(src.select("doc_id", F.lit(f).alias("field"), F.posexplode(T.tokens(F.col("t"))).alias("pos", "term")))
+    return reduce(DataFrame.unionByName, parts).select("doc_id", "field", "pos", F.explode(forms).alias("term"))
 
 
-def postings(df: DataFrame, fields: tuple = FIELDS, all_scripts: bool = False) -> DataFrame:
+def postings(df: DataFrame, fields: tuple = FIELDS) -> DataFrame:
     """One row for each field, term and document. The document is part of the key, so frequent terms do not meet in one task."""
-    return positions(df, fields, all_scripts).groupBy("field", "term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    return positions(df, fields).groupBy("field", "term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
 def lengths(posts: DataFrame) -> DataFrame:
@@ -47,10 +46,10 @@ def term_stats(posts: DataFrame) -> DataFrame:
     return posts.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def write(df: DataFrame, where: str, partitions: int | None = None, all_scripts: bool = False) -> None:
+def write(df: DataFrame, where: str, partitions: int | None = None) -> None:
     """Writes postings (ranges of terms, sorted), lengths and field statistics under ``where``."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings(df, all_scripts=all_scripts).repartitionByRange(n, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").parquet(f"{where}/postings")
+    postings(df).repartitionByRange(n, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").parquet(f"{where}/postings")
     posts = df.sparkSession.read.parquet(f"{where}/postings")
     lengths(posts).write.mode("overwrite").parquet(f"{where}/lengths")
     df.sparkSession.read.parquet(f"{where}/lengths").groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len")).write.mode("overwrite").parquet(f"{where}/fields")

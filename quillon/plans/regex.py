@@ -97,5 +97,7 @@ def regex_scan(df: DataFrame, pattern: str, case_sensitive: bool = False, whole_
 
     if prefilter:
         for w in required_literals(rest):
+            if not case_sensitive and set("ksKS") & set(w):  # two other letters fold to these
+                continue
             df = df.filter(F.contains(F.lower("content"), F.lit(w.lower())) | F.contains("name_lc", F.lit(w.lower())))
     return df.filter(hit("content") | hit("name"))

@@ -16,10 +16,13 @@ FIELDS = ("content", "name", "meta")
 LEAST_PREFIX, LEAST_WRITTEN = 3, 2
 
 
-def analysed(df: DataFrame, fields: tuple = FIELDS, case_sensitive: bool = False) -> DataFrame:
-    """Adds __<field>, the field's tokens between single spaces."""
+def analysed(df: DataFrame, fields: tuple = FIELDS, case_sensitive: bool = False, arabic: bool = False) -> DataFrame:
+    """Adds __<field>, the field's tokens between single spaces, and for Arabic queries __bare_<field>, without articles."""
     for f in fields:
-        df = df.withColumn(f"__{f}", T.joined(T.words(F.col(f)) if case_sensitive else T.tokens(F.col(f))))
+        toks = T.words(F.col(f)) if case_sensitive else T.tokens(F.col(f))
+        df = df.withColumn(f"__{f}", T.joined(toks))
+        if arabic and not case_sensitive:
+            df = df.withColumn(f"__bare_{f}", T.joined(F.transform(toks, T.bare)))
     return df
 
 
@@ -50,7 +53,10 @@ def condition(node, whole_word: bool = False, case_sensitive: bool = False, fiel
     if isinstance(node, Q.Field):
         return field_condition(node)
     pattern = leaf_pattern(node, whole_word, case_sensitive)
-    return None if pattern is None else reduce(or_, [F.contains(F.col(f"__{f}"), F.lit(pattern)) for f in fields])
+    if pattern is None:
+        return None
+    both = ("__", "__bare_") if T.is_arabic(node.text) and not case_sensitive else ("__",)
+    return reduce(or_, [F.contains(F.col(f"{kind}{f}"), F.lit(pattern)) for f in fields for kind in both])
 
 
 def name_condition(pattern: str) -> Column:
@@ -119,7 +125,7 @@ def smart(df: DataFrame, query: str, whole_word: bool = False, case_sensitive: b
     found = condition(node, whole_word, case_sensitive, fields)
     if found is None:
         return df
-    return analysed(df, fields, case_sensitive).filter(found).drop(*[f"__{f}" for f in fields]) if text else df.filter(found)
+    return analysed(df, fields, case_sensitive, T.is_arabic(query)).filter(found).drop(*[f"__{k}{f}" for f in fields for k in ("", "bare_")]) if text else df.filter(found)
 
 
 def literal_regex(literal: str, case_sensitive: bool = False, whole_word: bool = False) -> str:
@@ -132,15 +138,17 @@ def literal_regex(literal: str, case_sensitive: bool = False, whole_word: bool =
 
 
 def exact(df: DataFrame, literal: str, case_sensitive: bool = False, whole_word: bool = False) -> DataFrame:
-    """Rows whose content or name has the literal. Its tokens select candidates before the expression verifies them."""
+    """Rows whose content or name has the literal. Its inner words select candidates before the expression verifies them;
+    words with i, k or s do not, where case does not count, since other letters fold to these."""
     fields, rest = Q.split_filters(literal)
     for f in fields:
         df = df.filter(field_condition(f))
     if not rest.strip():
         return df
     pattern = literal_regex(rest, case_sensitive, whole_word)
-    inner = [t for t in rest.split() if t.isascii() and t.isalnum()][1:-1]  # whole words of the literal, so of the text
-    cheap = reduce(and_, [F.contains(F.lower("content"), F.lit(w.lower())) for w in inner], F.lit(True))
+    inner = [t for t in rest.split() ][1:-1]  # whole words of the literal, so of the text
+    inner = [t for t in inner if t.isascii() and t.isalnum() and (case_sensitive or not set("iksIKS") & set(t))]
+    cheap = reduce(and_, [F.contains("content", F.lit(w)) if case_sensitive else F.contains(F.lower("content"), F.lit(w.lower())) for w in inner], F.lit(True))
     return df.filter((cheap & F.col("content").rlike(pattern)) | F.col("name").rlike(pattern))
 
 

@@ -8,7 +8,6 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
-from html import unescape
 from html.parser import HTMLParser
 from xml.parsers import expat
 
@@ -17,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.excerpt import cell_of
+from .compound import doc, encrypted, msg, ppt, xls
+from .pdf import pdf
 from .scan import HEAD, route, sniff
 from .sink import MOST_CHARS, ReadError, Sink, Stop
 
@@ -445,9 +446,11 @@ def shared_strings(data: bytes, most: int = 32 << 20) -> list[str]:
         state["t"] = False
 
     def chars(s):
-        if state["t"] and state["parts"] is not None and state["size"] < most:
-            state["parts"].append(s)
+        if state["t"] and state["parts"] is not None:
             state["size"] += len(s)
+            if state["size"] > most:
+                raise ReadError("too many shared strings")
+            state["parts"].append(s)
 
     walk_xml(data, start, end, chars)
     return out
@@ -538,8 +541,8 @@ def odf(data: bytes, sink: Sink, depth: int = 0) -> None:
             st["col"] += st["repeat"]
             st["cell"] = None
         elif t == "table-row" and st["rows"]:
-            for i in range(min(st["rowrep"], GAP) if st["cells"] else 0):
-                st["rows"].row(st["row"] + i, st["cells"])
+            if st["cells"]:  # a repeated row is written once, as a repeated cell is
+                st["rows"].row(st["row"], st["cells"])
             st["row"] += st["rowrep"]
         elif t == "table" and "table" in tag:
             st["rows"] = None
@@ -658,7 +661,7 @@ def embedded(name: str, data: bytes, sink: Sink, depth: int) -> None:
     sink.write(name + "\n")
     if depth >= NESTING or len(data) > EMBEDDED_BYTES:
         return
-    reader = route(name.rpartition(".")[2].lower(), sniff(data))
+    reader = route(name.rpartition(".")[2].lower(), sniff(data), data=data)
     if reader not in READERS:
         return
     inner = Sink(max(0, sink.most - sink.size))
@@ -689,14 +692,14 @@ def zip_(data: bytes, sink: Sink, depth: int = 0) -> None:
             sink.write(name + "\n")
 
 
-READERS = {"plain": plain, "html": html, "xml": xml, "json": json, "rtf": rtf, "docx": docx, "pptx": pptx, "xlsx": xlsx, "odf": odf, "epub": epub, "eml": eml, "zip": zip_}
+READERS = {"pdf": pdf, "doc": doc, "xls": xls, "ppt": ppt, "msg": msg, "encrypted": encrypted, "plain": plain, "html": html, "xml": xml, "json": json, "rtf": rtf, "docx": docx, "pptx": pptx, "xlsx": xlsx, "odf": odf, "epub": epub, "eml": eml, "zip": zip_}
 
 
 def extract(name: str, data: bytes | None, most: int = MOST_CHARS) -> dict:
     """Text, anchors, metadata and status of one file. Whatever is wrong with it ends in a status, never in an error."""
     data = data or b""
     out = {"content": "", "title": None, "author": None, "meta": "", "status": "indexed", "reason": None, "truncated": False, "anchors": []}
-    reader = route(name.rpartition(".")[2].lower() if "." in name else "", sniff(data[:HEAD]))
+    reader = route(name.rpartition(".")[2].lower() if "." in name else "", sniff(data[:HEAD]), data=data)
     if reader is None or reader not in READERS:
         return out | {"status": "name_only", "reason": None if reader is None else f"no reader for {reader}"}
     sink = Sink(most)
@@ -709,7 +712,7 @@ def extract(name: str, data: bytes | None, most: int = MOST_CHARS) -> dict:
     except Exception as e:  # a reader's failure concerns one file only
         return out | {"status": "failed", "reason": f"{type(e).__name__}: {e}"}
     return out | {
-        "content": sink.text(), "title": sink.meta.title or None, "author": sink.meta.author or None, "meta": sink.meta.text(), "truncated": sink.truncated,
+        "content": sink.text(), "title": sink.meta.title or None, "author": sink.meta.author or None, "meta": sink.meta.text(), "truncated": sink.truncated, "status": "needs_ocr" if sink.needs_ocr else "indexed",
         "anchors": [{"offset": a.offset, "kind": a.kind, "num": a.num, "label": a.label} for a in sink.anchors],
     }
 
@@ -727,7 +730,7 @@ def extracted(files: DataFrame, name: str = "name", content: str = "content") ->
     columns = ("content", "title", "author", "meta", "status", "reason", "truncated", "anchors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b for whole in batches for b in _slices(whole)):
             got = [extract(n or "", d) for n, d in zip(batch.column("__name").to_pylist(), batch.column("__bytes").to_pylist())]
             cols = [pa.array([g[c] for g in got], kinds.get(c, pa.string())) for c in columns]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + cols, names=[*keep, *columns])
@@ -735,10 +738,29 @@ def extracted(files: DataFrame, name: str = "name", content: str = "content") ->
     return src.mapInArrow(run, f"{fields}, {TYPE}")
 
 
+def _slices(batch: pa.RecordBatch, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose files have about ``most`` bytes."""
+    start = total = 0
+    for i, x in enumerate(batch.column("__bytes")):
+        n = len(x.as_buffer() or b"") if x.is_valid else 0
+        if total and total + n > most:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+#: Entities of titles that are decoded in the JVM; the ampersand last. Fixed values.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+
+
 def html_title(markup):
     """The title of web pages, in the JVM: tags out, common entities decoded, white space as one space."""
-    inner = F.regexp_extract(markup, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    inner = F.regexp_replace(F.regexp_extract(markup, r"(?is)<title[^>]*>(.*?)</title>", 1), "<[^>]*>", "")
+    for a, b in ENTITIES.items():
+        inner = F.replace(inner, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(inner, r"\s+", " "))
 
 
-__all__ = ["READERS", "extract", "extracted", "html_title", "unescape"]
+__all__ = ["READERS", "extract", "extracted", "html_title"]

@@ -13,16 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.corpus import with_paths
+from .compound import compound_kind
+from .kinds import BINARY, EXCLUDED, MAGIC, SYSTEM, kind, kind_of
 
-#: Names of folders that a scan leaves out. Fixed values.
-EXCLUDED = ("node_modules", ".git", ".svn", ".hg", "__pycache__", "$RECYCLE.BIN", "System Volume Information")
-#: Extensions by kind. Fixed values.
-KINDS = {
-    "text": "txt md log ini cfg conf text rst tex", "code": "py rs js ts java c h cpp hpp cs go rb php sh sql lua pl kt swift", "web": "html htm xhtml",
-    "data": "json xml csv tsv yaml yml toml", "word": "doc docx odt rtf epub", "spreadsheet": "xls xlsx ods csv", "presentation": "ppt pptx odp", "pdf": "pdf",
-    "email": "eml msg pst", "image": "png jpg jpeg gif bmp tif tiff", "archive": "zip",
-}
-BINARY = ("exe", "dll", "so", "bin", "obj", "o", "class", "jar", "mp3", "mp4", "avi", "mkv", "iso", "dmg", "woff", "ttf", "pyc")
 HEAD = 8192
 
 
@@ -32,6 +25,7 @@ class Filter:
     globs: tuple = ()
     paths: tuple = ()
     hidden: bool = False
+    system: bool = False
     only_exts: tuple = ()
     not_exts: tuple = ()
     most_bytes: int | None = None
@@ -45,6 +39,8 @@ class Filter:
             out = out & ~F.arrays_overlap(parts, F.array(*[F.lit(n.lower()) for n in self.names]))
         if not self.hidden:
             out = out & ~F.exists(parts, lambda p: F.startswith(p, F.lit(".")))
+        if not self.system:
+            out = out & ~F.element_at(parts, -1).isin(*SYSTEM)
         if self.globs:
             out = out & ~reduce(or_, [F.exists(parts, matching(T.glob_regex(g.lower()))) for g in self.globs])
         for p in (*self.paths, *self.skip):
@@ -68,16 +64,6 @@ def matching(pattern: str):
     return lambda part: part.rlike(pattern)
 
 
-def kind(ext: Column) -> Column:
-    """The kind of an extension; csv is a spreadsheet."""
-    pairs = {e: k for k, es in KINDS.items() for e in es.split()}
-    out = None
-    for k in KINDS:
-        mine = [e for e, v in pairs.items() if v == k]
-        out = F.when(ext.isin(*mine), k) if out is None else out.when(ext.isin(*mine), k)
-    return out.otherwise("other")
-
-
 def sniff(head: bytes) -> str:
     """The class of a file by its first 8 KB."""
     head = head[:HEAD]
@@ -89,7 +75,7 @@ def sniff(head: bytes) -> str:
         return "pdf"
     if head.startswith((b"\xff\xfe", b"\xfe\xff")):
         return "utf16"
-    if head.startswith((b"\x7fELF", b"MZ", b"\x89PNG", b"\xff\xd8\xff", b"GIF8", b"\x1f\x8b", b"Rar!", b"7z\xbc\xaf", b"ID3", b"OggS")):
+    if head.startswith(MAGIC):
         return "binary"
     if head.startswith(b"{\\rtf"):
         return "rtf"
@@ -108,20 +94,32 @@ def sniff(head: bytes) -> str:
     return "binary" if control > 0.02 * len(head) else "text"
 
 
-def route(ext: str, signature: str, detect: bool = True) -> str | None:
-    """The reader for a file: its extension's if the signature allows it, else by signature; None for names only."""
-    by_ext = {"html": "html", "htm": "html", "xhtml": "html", "xml": "xml", "json": "json", "rtf": "rtf", "docx": "docx", "pptx": "pptx", "xlsx": "xlsx", "odt": "odf", "ods": "odf", "odp": "odf", "epub": "epub", "eml": "eml", "zip": "zip", "pdf": "pdf"}
-    needs = {"docx": "zip", "pptx": "zip", "xlsx": "zip", "odf": "zip", "epub": "zip", "zip": "zip", "rtf": "rtf", "pdf": "pdf"}
-    reader = by_ext.get(ext)
-    if reader and needs.get(reader, signature) == signature and signature not in ("binary", "compound"):
-        return reader
-    if reader and reader in needs and needs[reader] != signature:
-        return reader  # damaged: the reader reports it
-    if ext in BINARY:
+#: Readers by extension, and the signature that a reader needs. Fixed values.
+BY_EXT = {
+    "html": "html", "htm": "html", "xhtml": "html", "shtml": "html", "hta": "html", "xml": "xml", "json": "json", "rtf": "rtf", "docx": "docx", "docm": "docx", "dotx": "docx", "dotm": "docx",
+    "pptx": "pptx", "pptm": "pptx", "potx": "pptx", "potm": "pptx", "ppsx": "pptx", "ppsm": "pptx", "xlsx": "xlsx", "xlsm": "xlsx", "xltx": "xlsx", "xltm": "xlsx", "xlam": "xlsx",
+    "odt": "odf", "ott": "odf", "ods": "odf", "ots": "odf", "odp": "odf", "otp": "odf", "epub": "epub", "eml": "eml", "zip": "zip", "pdf": "pdf", "ai": "pdf",
+    "doc": "doc", "dot": "doc", "xls": "xls", "xlt": "xls", "xla": "xls", "ppt": "ppt", "pps": "ppt", "pot": "ppt", "msg": "msg",
+}
+NEEDS = {"docx": "zip", "pptx": "zip", "xlsx": "zip", "odf": "zip", "epub": "zip", "zip": "zip", "rtf": "rtf", "pdf": "pdf", "doc": "compound", "xls": "compound", "ppt": "compound", "msg": "compound"}
+
+
+def route(ext: str, signature: str, detect: bool = True, data: bytes | None = None) -> str | None:
+    """The reader for a file: its extension's if the signature allows it, else by signature; None for names only.
+
+    ``data``: the whole file, by which a compound file's kind is told."""
+    reader = BY_EXT.get(ext)
+    if reader and (NEEDS.get(reader, signature) == signature or reader in NEEDS and signature == "text") and (reader in NEEDS or signature not in ("binary", "compound")):
+        return "encrypted" if signature == "compound" and data is not None and compound_kind(data) == "encrypted" else reader
+    if reader is None and ext in BINARY:
         return None
+    if signature == "compound":
+        found = compound_kind(data) if data is not None else None
+        return found or (reader if reader in NEEDS else None)
+    if reader in NEEDS and signature in ("binary", "zip"):
+        return reader  # damaged: the reader reports it
     if signature in ("text", "utf16"):
-        known = any(ext in es.split() for es in KINDS.values())
-        return "plain" if known or detect else None
+        return "plain" if detect or kind_of(ext) != "other" else None
     return {"html": "html", "xml": "xml", "rtf": "rtf", "zip": "zip", "pdf": "pdf"}.get(signature) if detect else None
 
 

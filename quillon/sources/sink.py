@@ -46,6 +46,8 @@ class Sink:
         self.truncated = False
         self.breaks = 0
         self.cr = False
+        self.pages: int | None = None
+        self.needs_ocr = False
 
     def write(self, text: str) -> None:
         if not text:

@@ -48,38 +48,48 @@ def supersede(changes: DataFrame, storms_: DataFrame) -> DataFrame:
 
 def pair_renames(changes: DataFrame, wait_ms: int = 600) -> DataFrame:
     """A stream of (root, path, op, ts, cookie): rename_from and rename_to with one cookie become a rename; what finds no
-    partner within ``wait_ms`` of processing time becomes a remove or an upsert. Other operations pass."""
+    partner within ``wait_ms`` of processing time becomes a remove or an upsert. Other operations pass.
+
+    Each cookie of a root has a state and a deadline of its own, so traffic on a root keeps no half waiting."""
     schema = "root long, op string, path string, from_path string"
+    halves = ("rename_from", "rename_to")
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         root, out = key[0], []
-        waiting: dict = {c: (op, path) for c, op, path in zip(*state.get)} if state.exists else {}
+        waiting = tuple(state.get) if state.exists else None
         if state.hasTimedOut:
-            out += [(root, "remove" if op == "rename_from" else "upsert", path, None) for op, path in waiting.values()]
-            waiting = {}
+            out.append((root, "remove" if waiting[0] == halves[0] else "upsert", waiting[1], None))
+            waiting = None
         else:
-            for frame in frames:
-                for r in frame.sort_values("ts").itertuples():
-                    if r.op not in ("rename_from", "rename_to"):
-                        out.append((root, r.op, r.path, None))
-                    elif r.cookie in waiting and waiting[r.cookie][0] != r.op:
-                        other = waiting.pop(r.cookie)[1]
-                        out.append((root, "rename", r.path, other) if r.op == "rename_to" else (root, "rename", other, r.path))
-                    else:
-                        waiting[r.cookie] = (r.op, r.path)
-        if waiting:
-            state.update((list(waiting), [x[0] for x in waiting.values()], [x[1] for x in waiting.values()]))
-            state.setTimeoutDuration(wait_ms)
+            for r in pd.concat(list(frames)).sort_values("ts").itertuples():
+                if waiting is not None and waiting[0] != r.op:
+                    a, b = (waiting[1], r.path) if r.op == halves[1] else (r.path, waiting[1])
+                    out.append((root, "rename", b, a))
+                    waiting = None
+                else:
+                    if waiting is not None:
+                        out.append((root, "remove" if waiting[0] == halves[0] else "upsert", waiting[1], None))
+                    waiting = (r.op, r.path)
+        if waiting is not None:
+            if not state.exists or tuple(state.get) != waiting:
+                state.update(waiting)
+                state.setTimeoutDuration(wait_ms)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["root", "op", "path", "from_path"])
 
-    return changes.groupBy("root").applyInPandasWithState(step, schema, "cookies array<string>, ops array<string>, paths array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    named = F.col("op").isin(*halves)
+    passing = changes.filter(~named).select("root", "op", "path", F.lit(None).cast("string").alias("from_path"))
+    paired = changes.filter(named).groupBy("root", "cookie").applyInPandasWithState(step, schema, "op string, path string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return passing.unionByName(paired)
 
 
 def apply_changes(files: DataFrame, changes: DataFrame) -> DataFrame:
     """A snapshot of files after changes (path, op, from_path, size, mtime): upsert, remove and rename. A rename keeps what
     was known of the file. Replaying the same changes gives the same snapshot."""
+    if "ts" in changes.columns:  # of several operations on a path the last counts
+        rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("ts")))
+        changes = changes.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
     moved = changes.filter("op = 'rename'").select(F.col("from_path").alias("path"), F.col("path").alias("__to")).dropDuplicates(["path"])
     moved = moved.join(files.select("path"), "path", "left_semi")  # a rename that was applied already moves nothing
     taken = moved.select(F.col("__to").alias("path")).unionByName(changes.filter("op = 'remove'").select("path")).distinct()
@@ -98,7 +108,9 @@ def into_store(store: Store):
 
     def run(batch: DataFrame, number: int) -> None:
         files = store.table("files")
-        if files is not None:
-            store.commit(number, files=apply_changes(files, batch))
+        if files is None:  # the first batch makes the table
+            names = [c for c in batch.columns if c not in ("op", "from_path", "root", "ts", "cookie")]
+            files = batch.select(*names).limit(0)
+        store.commit(number, files=apply_changes(files, batch))
 
     return run
