@@ -129,7 +129,8 @@ def minimisers(buf: np.ndarray, starts: np.ndarray, span: int = SPAN, gram: int
     at = (low[s] & np.uint64(_LOW)).astype(np.int64)
     change = np.flatnonzero((at[1:] != at[:-1]) | (s[1:] != s[:-1] + 1)) + 1
     first = np.concatenate(([0], change))
-    return x[at[first]], s[first], s[np.concatenate((change, [len(s)])) - 1]
+    least = x[at[first]] * np.uint64(0x9E3779B97F4A7C15)  # least hashes are small: mixed again, they fill all ranges alike
+    return least ^ least >> np.uint64(32), s[first], s[np.concatenate((change, [len(s)])) - 1]
 
 
 def suffix_array(buf: np.ndarray) -> np.ndarray:
