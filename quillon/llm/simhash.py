@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import map_texts, shared_dir, stored, table
@@ -267,6 +267,11 @@ def similar(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
 
 
+def apart(x: str, y: str) -> Column:
+    """In how many bits two sketches differ."""
+    return F.expr(" + ".join(f"bit_count({x}[{k}] ^ {y}[{k}])" for k in range(SKETCHES)))
+
+
 def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, share: float = SIMILAR, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) for each row with an id: the least id that is reachable by pairs with a Jaccard similarity of
     their sets of shingles of ``share`` at least.
@@ -282,7 +287,7 @@ def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, share: float =
     known = docs.filter(F.col(id_col).isNotNull())
     made = stored(map_texts(known, Sets(words), "key bigint, fp bigint, bands array<bigint>, sketch array<bigint>", id_col, text_col), f"{where}/sets")
     least = stored(made.groupBy("key").agg(F.min(id_col).alias("rep"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch")), f"{where}/classes")
-    rows = made.join(least.select("key", F.col("rep").alias(id_col)), ["key", id_col], "left_semi").select("key", F.posexplode("bands").alias("band", "value"))
+    rows = made.join(least.select("key", F.col("rep").alias(id_col)), ["key", id_col], "left_semi").select("key", "sketch", F.posexplode("bands").alias("band", "value"))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = stored(pairs, f"{where}/{name}-pairs")
@@ -297,23 +302,23 @@ def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, share: float =
     near = ends.join(first.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     near = near.unionByName(least.join(first, "fp").filter("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")))
     edges = verified(near, "near")
-    shared = rows.groupBy("band", "value").agg(F.min("key").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = stored(rows.join(shared, ["band", "value"]), f"{where}/buckets")
+    shared = rows.groupBy("band", "value").agg(F.min(F.struct("key", "sketch")).alias("h"), F.count("*").alias("n")).filter("n > 1")
+    rows = rows.join(shared.select("band", "value", F.col("h.key").alias("a"), F.col("h.sketch").alias("of_a")), ["band", "value"])
+    # pairs whose sketches are far apart are not even made
+    rows = stored(rows.withColumn("close", apart("sketch", "of_a") <= APART).drop("of_a"), f"{where}/buckets")
 
     def labelled(edges: DataFrame, name: str) -> DataFrame:
         labels = components(edges).select(F.col("node").alias("key"), "label")
-        return stored(rows.join(labels, "key", "left").select("band", "value", "a", "key", F.coalesce("label", "key").alias("label")), f"{where}/{name}")
+        return stored(rows.join(labels, "key", "left").select("band", "value", "a", "key", "sketch", "close", F.coalesce("label", "key").alias("label")), f"{where}/{name}")
 
     now = labelled(edges, "labelled-0")
     heads = now.filter("key = a").select("band", "value", F.col("label").alias("__of"))
-    stars = now.filter("key <> a").join(heads, ["band", "value"]).filter("label <> __of").select("a", F.col("key").alias("b")).distinct()
+    stars = now.filter("close AND key <> a").join(heads, ["band", "value"]).filter("label <> __of").select("a", F.col("key").alias("b")).distinct()
     edges = edges.unionByName(verified(stars, "stars"))
     now = labelled(edges, "labelled-1")
     mixed = now.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band", "value")
-    # pairs whose sketches are far apart are not even made
-    now = stored(now.join(mixed, ["band", "value"], "left_semi").filter("key <> a").join(least.select("key", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCHES)]), "key"), f"{where}/mixed")
-    apart = " + ".join(f"bit_count(x.s{k} ^ y.s{k})" for k in range(SKETCHES))
-    near = (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & F.expr(f"x.key < y.key AND x.label <> y.label AND {apart} <= {APART}")
+    now = now.join(mixed, ["band", "value"], "left_semi").filter("key <> a")
+    near = (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & F.expr("x.key < y.key AND x.label <> y.label") & (apart("x.sketch", "y.sketch") <= APART)
     more = now.alias("x").join(now.alias("y"), near).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
     edges = edges.unionByName(verified(more, "others"))
     found = components(edges).withColumnRenamed("node", "key")
