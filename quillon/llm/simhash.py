@@ -300,7 +300,7 @@ def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, share: float =
     first = least.groupBy("fp").agg(F.min("key").alias("head"))
     ends = links(least.select("fp").distinct(), bucket)
     near = ends.join(first.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    near = near.unionByName(least.join(first, "fp").filter("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")))
+    near = near.distinct().unionByName(least.join(first, "fp").filter("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")))
     edges = verified(near, "near")
     shared = rows.groupBy("band", "value").agg(F.min(F.struct("key", "sketch")).alias("h"), F.count("*").alias("n")).filter("n > 1")
     rows = rows.join(shared.select("band", "value", F.col("h.key").alias("a"), F.col("h.sketch").alias("of_a")), ["band", "value"])
@@ -311,6 +311,9 @@ def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, share: float =
         labels = components(edges).select(F.col("node").alias("key"), "label")
         return stored(rows.join(labels, "key", "left").select("band", "value", "a", "key", "sketch", "close", F.coalesce("label", "key").alias("label")), f"{where}/{name}")
 
+    # each class is compared with one first of its buckets, then with those that it is not linked to by that
+    one = rows.filter("close AND key <> a").groupBy("key").agg(F.min("a").alias("a")).select("a", F.col("key").alias("b"))
+    edges = edges.unionByName(verified(one, "one"))
     now = labelled(edges, "labelled-0")
     heads = now.filter("key = a").select("band", "value", F.col("label").alias("__of"))
     stars = now.filter("close AND key <> a").join(heads, ["band", "value"]).filter("label <> __of").select("a", F.col("key").alias("b")).distinct()
