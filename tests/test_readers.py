@@ -27,16 +27,16 @@ def make(entries: dict) -> bytes:
 
 W = 'xmlns:w="w"'
 REL = '<Relationships xmlns="r"><Relationship Id="{}" Target="{}"/></Relationships>'
-DOCX = make({"word/document.xml": f"<w:document {W}><w:body><w:p><w:r><w:t>Growth of twelve</w:t></w:r><w:r><w:t> percent</w:t></w:r></w:p><w:p><w:r><w:t>Second</w:t></w:r></w:p></w:body></w:document>", "word/footnotes.xml": f"<w:x {W}><w:p><w:t>a note</w:t></w:p></w:x>", "docProps/core.xml": '<c xmlns:d="d"><d:title>Quarterly Review</d:title><d:creator>Ann</d:creator></c>'})
+DOCX = make({"word/document.xml": f"<w:document {W}><w:body><w:p><w:r><w:t>Growth of twelve</w:t></w:r><w:r><w:t> percent</w:t></w:r></w:p><w:p><w:r><w:t>Second</w:t></w:r></w:p></w:body></w:document>", "word/footnotes.xml": f"<w:x {W}><w:p><w:t>a note</w:t></w:p></w:x>", "docProps/core.xml": '<c xmlns:d="d"><d:title>Tidewater Tables</d:title><d:creator>Ann</d:creator></c>'})
 XLSX = make({
-    "xl/workbook.xml": '<workbook xmlns:r="http://x/relationships"><sheets><sheet name="Budget" r:id="rId1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": REL.format("rId1", "worksheets/s1.xml"),
+    "xl/workbook.xml": '<workbook xmlns:r="http://x/relationships"><sheets><sheet name="Stores" r:id="rId1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": REL.format("rId1", "worksheets/s1.xml"),
     "xl/sharedStrings.xml": "<sst><si><t>Item</t></si><si><r><t>peli</t></r><r><t>can</t></r></si></sst>",
     "xl/worksheets/s1.xml": '<w><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="b"><v>1</v></c></row><row r="3"><c r="B3" t="s"><v>1</v></c><c r="C3"><f>1+1</f><v>2</v></c></row></sheetData></w>',
 })
 PPTX = make({
     "ppt/presentation.xml": '<p xmlns:r="http://x/relationships" xmlns:p="p"><p:sldId r:id="b"/><p:sldId r:id="a"/></p>',
     "ppt/_rels/presentation.xml.rels": '<R xmlns="r"><Relationship Id="a" Target="slides/s1.xml"/><Relationship Id="b" Target="slides/s2.xml"/></R>',
-    "ppt/slides/s1.xml": '<s xmlns:p="p" xmlns:a="a"><p:sp><p:ph type="title"/><a:p><a:t>Roadmap</a:t></a:p></p:sp><p:sp><a:p><a:t>albatross</a:t></a:p></p:sp></s>', "ppt/slides/s2.xml": '<s xmlns:a="a"><a:p><a:t>First</a:t></a:p></s>',
+    "ppt/slides/s1.xml": '<s xmlns:p="p" xmlns:a="a"><p:sp><p:ph type="title"/><a:p><a:t>Soundings</a:t></a:p></p:sp><p:sp><a:p><a:t>cormorant</a:t></a:p></p:sp></s>', "ppt/slides/s2.xml": '<s xmlns:a="a"><a:p><a:t>First</a:t></a:p></s>',
 })
 ODS = make({"content.xml": '<o xmlns:table="urn:table" xmlns:text="urn:text"><table:table table:name="T"><table:table-row><table:table-cell table:number-columns-repeated="2"><text:p>v</text:p></table:table-cell><table:table-cell><text:p>w</text:p></table:table-cell></table:table-row></table:table></o>'})
 EPUB = make({"META-INF/container.xml": '<c><rootfile full-path="O/p.opf"/></c>', "O/p.opf": '<package><metadata><title>Book</title></metadata><manifest><item id="c1" href="c1.xhtml"/></manifest><spine><itemref idref="c1"/></spine></package>', "O/c1.xhtml": "<html><head><title>One</title></head><body><p>chapter text</p></body></html>"})
@@ -50,7 +50,7 @@ EML = b"Subject: =?utf-8?q?Caf=C3=A9?=\r\nFrom: a@x\r\nMIME-Version: 1.0\r\nCont
         ("a.html", b"<title>T &amp; x</title><script>var hidden</script><p>one<p>two &copy;<table><tr><td>c1</td><td>c2</td></tr></table>", ["one\ntwo ©", "c1\tc2"], "T & x"),
         ("a.xml", b'<!DOCTYPE a [<!ENTITY e "EXPANDED">]><a k="attr"><title>T</title><![CDATA[raw]]>&e; x</a>', ["attr", "raw"], "T"),
         ("a.rtf", rb"{\rtf1\ansi{\fonttbl{\f0 Arial;}}{\info{\title Tt}}Legacy \b rich\b0  text\par caf\'e9 \u8364? end}", ["Legacy rich text", "café €"], "Tt"),
-        ("q.docx", DOCX, ["Growth of twelve percent\nSecond", "a note"], "Quarterly Review"), ("b.xlsx", XLSX, ["Item\t\tTRUE", "\tpelican\t2"], None), ("d.pptx", PPTX, ["First\nRoadmap", "albatross"], None),
+        ("q.docx", DOCX, ["Growth of twelve percent\nSecond", "a note"], "Tidewater Tables"), ("b.xlsx", XLSX, ["Item\t\tTRUE", "\tpetrel\t2"], None), ("d.pptx", PPTX, ["First\nSoundings", "cormorant"], None),
         ("t.ods", ODS, ["v\tv\tw"], None), ("e.epub", EPUB, ["chapter text"], "Book"), ("m.eml", EML, ["Subject: Café", "body words", "n.txt\nattached words"], "Café"), ("z.zip", make({"in/a.txt": "inner words", "q.docx": DOCX}), ["in/a.txt\ninner words", "Growth of twelve"], None),
     ],
 )
@@ -68,10 +68,10 @@ def test_locations():
         got = R.extract(name, data)
         return describe(got["content"], [Anchor(**a) for a in got["anchors"]], got["content"].index(word))
 
-    assert at("b.xlsx", XLSX, "pelican") == "Budget!B3"
-    assert at("d.pptx", PPTX, "albatross") == "Slide 2 — Roadmap"
+    assert at("b.xlsx", XLSX, "petrel") == "Stores!B3"
+    assert at("d.pptx", PPTX, "cormorant") == "Slide 2 — Soundings"
     assert at("q.docx", DOCX, "a note") == "Footnotes"
-    assert at("z.zip", make({"b.xlsx": XLSX}), "pelican") == "b.xlsx › Budget!B3"
+    assert at("z.zip", make({"b.xlsx": XLSX}), "petrel") == "b.xlsx › Stores!B3"
     assert at("m.eml", EML, "attached") == "n.txt"
 
 
