@@ -153,7 +153,10 @@ def html_text(spark, d):
     return extracted(pages).select("page_id", "title", "content", "status")
 
 
-query("html_title", r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages")(
+_TITLE = r"regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g')"
+for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _TITLE = f"replace({_TITLE}, '{_entity}', '{_char}')"
+query("html_title", rf"SELECT page_id, trim(regexp_replace({_TITLE}, '\s+', ' ', 'g')) AS title FROM pages")(
     lambda spark, d: table(spark, d, "pages").select("page_id", html_title(F.col("html")).alias("title"))
 )
 query(

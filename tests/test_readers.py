@@ -30,7 +30,7 @@ REL = '<Relationships xmlns="r"><Relationship Id="{}" Target="{}"/></Relationshi
 DOCX = make({"word/document.xml": f"<w:document {W}><w:body><w:p><w:r><w:t>Growth of twelve</w:t></w:r><w:r><w:t> percent</w:t></w:r></w:p><w:p><w:r><w:t>Second</w:t></w:r></w:p></w:body></w:document>", "word/footnotes.xml": f"<w:x {W}><w:p><w:t>a note</w:t></w:p></w:x>", "docProps/core.xml": '<c xmlns:d="d"><d:title>Tidewater Tables</d:title><d:creator>Ann</d:creator></c>'})
 XLSX = make({
     "xl/workbook.xml": '<workbook xmlns:r="http://x/relationships"><sheets><sheet name="Stores" r:id="rId1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": REL.format("rId1", "worksheets/s1.xml"),
-    "xl/sharedStrings.xml": "<sst><si><t>Item</t></si><si><r><t>peli</t></r><r><t>can</t></r></si></sst>",
+    "xl/sharedStrings.xml": "<sst><si><t>Item</t></si><si><r><t>pet</t></r><r><t>rel</t></r></si></sst>",
     "xl/worksheets/s1.xml": '<w><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="b"><v>1</v></c></row><row r="3"><c r="B3" t="s"><v>1</v></c><c r="C3"><f>1+1</f><v>2</v></c></row></sheetData></w>',
 })
 PPTX = make({
