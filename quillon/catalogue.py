@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import excerpt as X
 from .functions import text as T
 from .operators import files as O
+from .operators import members as M
 from .operators.literals import literal_matches
 from .plans import index as I
 from .plans import scan as S
@@ -168,10 +169,26 @@ query(
     "SELECT conv_id, turn, '/mail/' || conv_id || '.pst' || ' › ' || role AS dir, 'eml' AS ext, strlen(text) AS size FROM conversations WHERE contains(lower(text), 'the')",
 )(lambda spark, d: table(spark, d, "conversations").filter(F.contains(F.lower("text"), F.lit("the"))).select("conv_id", "turn", F.concat_ws(" › ", F.concat(F.lit("/mail/"), F.col("conv_id").cast("string"), F.lit(".pst")), "role").alias("dir"), F.lit("eml").alias("ext"), F.octet_length("text").cast("long").alias("size")))
 query("container_summary", "SELECT conv_id, count(*) AS messages, count_if(text IS NULL OR text = '')::BIGINT AS skipped FROM conversations GROUP BY conv_id")(
-    lambda spark, d: table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("messages"), F.count_if(F.col("text").isNull() | (F.col("text") == "")).alias("skipped"))
+    lambda spark, d: M.container_summary(table(spark, d, "conversations"), "conv_id")
 )
 
 
+@query(
+    "member_docs",
+    """WITH m AS (SELECT '/mail/' || conv_id || '.pst' AS container, turn, role, text, coalesce(nullif(trim(substring(text, 1, 30), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), ''), '(no subject)') AS name, CASE WHEN turn % 3 <> 0 THEN role END AS sender FROM conversations)
+ SELECT container || '/' || turn AS path, name, container || '/' AS dir, container || ' › ' || role AS shown_dir, ext, kind, strlen(text) AS size, CASE WHEN turn % 2 = 0 THEN turn * 60 ELSE 7 END::BIGINT AS mtime, concat_ws(chr(10), name, sender, role) AS meta
+ FROM m, (SELECT 'eml' AS ext, 'text' AS kind)""",
+)
+def member_docs(spark, d):
+    box = F.concat(F.lit("/mail/"), F.col("conv_id").cast("string"), F.lit(".pst"))
+    sent = F.when(F.col("turn") % 2 == 0, F.col("turn") * 60).cast("long")
+    mail = table(spark, d, "conversations").select(
+        F.concat(box, F.lit("/"), F.col("turn").cast("string")).alias("path"), box.alias("container"), F.col("role").alias("folder"), F.substring("text", 1, 30).alias("subject"),
+        F.when(F.col("turn") % 3 != 0, F.col("role")).alias("sender"), "text", sent.alias("sent"), F.lit(7).cast("long").alias("mtime"),
+    )
+    return M.member_docs(mail).drop("container", "content", "info")
+
+
 def _files(spark, d) -> DataFrame:
     status = F.when(F.col("quality").isNull(), 1).when(F.col("quality") == 0, 2).when(F.col("toxic") == 1, 3).otherwise(0)
     known = table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
@@ -255,8 +272,29 @@ query("scan_requests", "SELECT DISTINCT source AS root, lang AS dir FROM documen
 
 def _scan_requests(spark, d) -> DataFrame:
     """Queued scans without those that another one of the root covers ('en' stands for a parent folder)."""
-    asked = table(spark, d, "documents").select(F.col("source").alias("root"), F.col("lang").alias("dir")).distinct()
-    cover = asked.filter("dir = 'en'").select("root").distinct()
-    return asked.filter("dir = 'en'").unionByName(asked.filter("dir <> 'en'").join(cover, "root", "left_anti"))
+    asked = table(spark, d, "documents").select(F.col("source").alias("root"), F.when(F.col("lang") != "en", F.col("lang")).alias("dir"))
+    return O.scan_requests(asked).select("root", F.coalesce("dir", F.lit("en")).alias("dir"))
 
 
+
+query(
+    "head_fallback",
+    """WITH h AS (SELECT doc_id, substring(text, 1, list_max(list_filter(range(0, 241), lambda i: strlen(substring(text, 1, i)) <= 240))) AS h FROM documents)
+ SELECT doc_id, CASE WHEN trim(h, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' THEN h END AS head FROM h""",
+)(lambda spark, d: documents(spark, d).select("doc_id", X.head(F.col("content")).alias("head")))
+query(
+    "scan_summary",
+    f"WITH {DOCS} SELECT count(DISTINCT parent) AS dirs, count(*) AS files, sum(size)::BIGINT AS bytes, (SELECT count(DISTINCT source) FROM documents) AS errors FROM d",
+)(lambda spark, d: O.scan_summary(documents(spark, d), table(spark, d, "documents").select(F.concat(F.lit("/unread/"), "source").alias("dir"))))
+
+
+@query(
+    "classify_changes",
+    f"""WITH {DOCS} SELECT DISTINCT doc_id % 7 AS root, CASE doc_id % 3 WHEN 0 THEN path WHEN 1 THEN parent ELSE '/gone' || path END AS path,
+ CASE doc_id % 3 WHEN 0 THEN 'upsert' WHEN 1 THEN 'scan_dir' ELSE 'remove' END AS op FROM d""",
+)
+def classify_changes(spark, d):
+    docs, k = documents(spark, d), F.col("doc_id") % 3
+    path = F.when(k == 0, F.col("path")).when(k == 1, F.col("parent")).otherwise(F.concat(F.lit("/gone"), F.col("path")))
+    there = docs.select("path", F.lit("file").alias("kind")).unionByName(docs.select(F.col("parent").alias("path"), F.lit("dir").alias("kind")).distinct())
+    return C.classify(docs.select((F.col("doc_id") % 7).alias("root"), path.alias("path")), there)

@@ -42,6 +42,22 @@ def guarded_deletes(changes: DataFrame, failed_dirs: DataFrame) -> DataFrame:
     return gone.join(kept, "path", "left_anti")
 
 
+def scan_requests(asked: DataFrame) -> DataFrame:
+    """(root, dir) once each; a request for a whole root (dir is null) takes the place of those for its folders."""
+    whole = asked.filter("dir IS NULL").select("root").distinct()
+    parts = asked.filter("dir IS NOT NULL").select("root", "dir").distinct().join(whole, "root", "left_anti")
+    return whole.withColumn("dir", F.lit(None).cast(asked.schema["dir"].dataType)).unionByName(parts)
+
+
+def scan_summary(listing: DataFrame, failed_dirs: DataFrame) -> DataFrame:
+    """One row (dirs, files, bytes, errors) for a listing (path, size) and the folders that could not be read (dir); dirs
+    are those that hold a file."""
+    seen = listing.groupBy(F.expr("left(path, length(path) - length(substring_index(path, '/', -1)))").alias("dir")).agg(F.count("*").alias("n"), F.sum("size").alias("b"))
+    found = seen.agg(F.count("*").alias("dirs"), F.coalesce(F.sum("n"), F.lit(0)).alias("files"), F.coalesce(F.sum("b"), F.lit(0)).cast("long").alias("bytes"))
+    errors = failed_dirs.select("dir").distinct().agg(F.count("*").alias("errors"))
+    return found.withColumn("__k", F.lit(1)).join(errors.withColumn("__k", F.lit(1)), "__k").drop("__k")
+
+
 def status_counts(files: DataFrame) -> DataFrame:
     return files.groupBy("status").agg(F.count("*").alias("n"))
 

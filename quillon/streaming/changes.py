@@ -114,3 +114,11 @@ def into_store(store: Store):
         store.commit(number, files=apply_changes(files, batch))
 
     return run
+
+
+def classify(changed: DataFrame, listing: DataFrame) -> DataFrame:
+    """(root, path, op) for each changed path (root, path), by what is there now (path, kind): a file is an upsert, a folder
+    a scan_dir, nothing a remove. Anything else, such as a device, gives no row. The listing's paths are unique."""
+    now = listing.select("path", F.col("kind").alias("__kind"), F.lit(True).alias("__there"))
+    op = F.when(F.col("__there").isNull(), "remove").when(F.col("__kind") == "file", "upsert").when(F.col("__kind") == "dir", "scan_dir")
+    return changed.select("root", "path").distinct().join(now, "path", "left").select("root", "path", op.alias("op")).filter("op IS NOT NULL")
