@@ -5,7 +5,8 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import excerpt as X
@@ -20,6 +21,8 @@ from . import scan as S
 from .regex import regex_scan, required_literals
 
 MOST_ROWS, RESULT_LIMIT, MOST_PATHS = 500, 10_000, 200
+#: Tables that grow by segments, in step.
+SEGMENTED = ("documents", "postings", "lengths")
 CODES = {name: code for code, name in O.STATUS.items()}
 
 
@@ -64,53 +67,114 @@ class Engine:
 
     def remove_root(self, path: str) -> None:
         self._commit_roots([r for r in self.roots() if r != path])
-        docs = self.store.table("documents")
+        docs = self._live("documents")
         if docs is not None:
-            self.store.commit(documents=O.remove(docs, folder=path))
-            self._index()
+            gone = docs.filter(F.startswith("path", F.lit(path + "/"))).select("doc_id")
+            self.store.commit(keep={"gone": len(self.store.segments("gone"))}, gone=gone)
 
     def _commit_roots(self, paths: list[str]) -> None:
         self.store.commit(roots=self.spark.createDataFrame([(p,) for p in sorted(paths)], "path string"))
 
-    def rescan(self) -> dict[str, int]:
-        """Lists all roots, reads what is new or changed, forgets what is gone, and rebuilds the index. Counts by action."""
-        parts = [scan(self.spark, r, self.keep) for r in self.roots()]
-        if not parts:
-            return {}
-        listing = parts[0]
-        for p in parts[1:]:
-            listing = listing.unionByName(p)
-        old = self.store.table("documents")
+    def _live(self, name: str) -> DataFrame | None:
+        """A table without the rows of documents that are gone or were replaced."""
+        rows, gone = self.store.table(name), self.store.table("gone")
+        return rows if rows is None or gone is None else rows.join(gone, "doc_id", "left_anti")
+
+    def _draft(self, name: str, df: DataFrame) -> DataFrame:
+        return self.spark.read.parquet(self.store.draft(name, df))
+
+    def rescan(self, failed_dirs: DataFrame | None = None) -> dict[str, int]:
+        """Lists all roots, reads what is new or changed, and adds it and its postings as one segment; what is gone or
+        changed is marked. Nothing that stayed the same is read or written. Counts by action.
+
+        Files of ``failed_dirs`` (column dir) and of roots that cannot be listed are not taken as deleted. A large file that
+        was moved under the same extension keeps its text. Documents and index become visible together.
+        """
+        listing, lost = None, []
+        for r in self.roots():
+            try:
+                part = scan(self.spark, r, self.keep)
+            except AnalysisException:
+                lost.append(r)
+                continue
+            listing = part if listing is None else listing.unionByName(part)
+        if listing is None:
+            return {"unreadable": len(lost)} if lost else {}
+        old = self._live("documents")
+        seen = self._draft("listing", listing.drop("content"))
         known = old if old is not None else self.spark.createDataFrame([], "path string, size long, mtime long")
-        changes = O.diff(listing.select("path", "size", "mtime"), known.select("path", "size", "mtime"))
-        work = listing.join(changes.filter("action IN ('new', 'changed')").select("path"), "path", "left_semi")
-        fresh = extracted(work).withColumn("kind", kind(F.col("ext"))).withColumn("doc_id", F.xxhash64("path"))
-        fresh = fresh.withColumn("flags", F.when(F.col("truncated"), 1).otherwise(0).cast("long"))
-        for name, code in CODES.items():
-            fresh = fresh.withColumn("status", F.when(F.col("status") == name, F.lit(str(code))).otherwise(F.col("status")))
-        fresh = fresh.withColumn("status", F.col("status").cast("int")).drop("truncated")
-        if old is None:
-            docs = fresh
-        else:
-            docs = O.upsert(old.join(changes.filter("action = 'deleted'").select("path"), "path", "left_anti"), fresh.select(*old.columns))
-        counts = {r["action"]: r["n"] for r in changes.groupBy("action").agg(F.count("*").alias("n")).collect()}
-        self.store.commit(documents=docs)
-        self._index()
+        changes = self._draft("changes", O.diff(seen.select("path", "size", "mtime"), known.select("path", "size", "mtime")))
+        counts = {r["action"]: r["n"] for r in changes.groupBy("action").agg(F.count("*").alias("n")).collect()}  # a row for each action
+        if lost:
+            counts["unreadable"] = len(lost)
+        if not counts.keys() & {"new", "changed", "deleted"}:
+            return counts
+        work = changes.filter("action IN ('new', 'changed')").select("path")
+        moved = None
+        if old is not None:
+            failed = self.spark.createDataFrame([(r,) for r in lost], "dir string")
+            if failed_dirs is not None:
+                failed = failed.unionByName(failed_dirs.select("dir"))
+            deleted = O.guarded_deletes(changes, failed)
+            sure = changes.join(deleted, "path", "left_semi").unionByName(changes.filter("action = 'new'"))
+            pairs = O.rename_pairs(sure).select("from_path", F.col("to_path").alias("path"))
+            texts = old.select(F.col("path").alias("from_path"), F.col("ext").alias("__ext"), *[c for c in old.columns if c not in seen.columns and c != "doc_id"])
+            moved = self._draft("moved", seen.join(pairs, "path").join(texts, "from_path").filter("ext = __ext").drop("__ext", "from_path"))
+            work = work.join(moved.select("path"), "path", "left_anti")
+            left = deleted.unionByName(changes.filter("action = 'changed'").select("path"))
+            gone = self._draft("gone", old.join(left, "path", "left_semi").select("doc_id"))
+            if not counts.keys() & {"new", "changed"}:  # nothing to read: marks alone, if a deletion is sure
+                if not gone.isEmpty():
+                    self.store.commit(keep={"gone": len(self.store.segments("gone"))}, gone=self.store.drafted("gone"))
+                return counts
+        fresh = extracted(listing.join(work, "path", "left_semi")).withColumn("kind", kind(F.col("ext")))
+        fresh = fresh.withColumn("flags", F.when(F.col("truncated"), 1).otherwise(0).cast("long")).drop("truncated")
+        code = F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair])
+        fresh = fresh.withColumn("status", code[F.col("status")].cast("int"))
+        docs = fresh if moved is None else fresh.unionByName(moved.select(*fresh.columns))
+        new = {"documents": self.store.draft("documents", docs.withColumn("doc_id", version_id(self.store.manifest()["generation"] + 1)))}
+        new |= self._indexed(I.postings(self.spark.read.parquet(new["documents"])))
+        if old is not None:
+            new["gone"] = self.store.drafted("gone")
+        self.store.commit(keep={name: len(self.store.segments(name)) for name in new}, **new)
+        self.merge()
         return counts
 
-    def _index(self) -> None:
-        posts = I.postings(self.documents())
-        self.store.commit(postings=posts.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id"))
-        self.store.commit(lengths=I.lengths(self.store.table("postings")))
+    def _indexed(self, posts: DataFrame) -> dict[str, str]:
+        at = self.store.draft("postings", posts.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id"))
+        return {"postings": at, "lengths": self.store.draft("lengths", I.lengths(self.spark.read.parquet(at)))}
+
+    def merge(self) -> int:
+        """Makes one segment of the last ones while the one before has at most twice their bytes; returns how many.
+
+        So each segment is over twice as large as all after it: their number, and how often a row is written, grow with the
+        logarithm of the data. Rows of documents that are gone are left out, and so are their marks.
+        """
+        at = {name: self.store.segments(name) for name in SEGMENTED}
+        sizes = [self.store.bytes(p) for p in at["documents"]]
+        k = len(sizes) - 1
+        while k > 0 and sizes[k - 1] <= 2 * sum(sizes[k:]):
+            k -= 1
+        if len(sizes) - k < 2:
+            return 0
+        gone = self.store.table("gone")
+        last = {name: self.spark.read.parquet(*paths[k:]) for name, paths in at.items()}
+        live = {name: df if gone is None else df.join(gone, "doc_id", "left_anti") for name, df in last.items()}
+        new = {name: self.store.draft(name, live[name]) for name in ("documents", "lengths")}
+        new["postings"] = self.store.draft("postings", live["postings"].repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id"))
+        if gone is not None:
+            new["gone"] = self.store.draft("gone", gone.join(last["documents"].select("doc_id"), "doc_id", "left_anti"))
+        self.store.commit(keep=dict.fromkeys(SEGMENTED, k), **new)
+        return len(sizes) - k
 
     def documents(self) -> DataFrame:
-        docs = self.store.table("documents")
+        docs = self._live("documents")
         if docs is None:
             raise Q.QueryError("nothing is indexed")
         return docs
 
     def index(self) -> I.Index:
-        return I.Index(self.documents(), self.store.table("postings"), self.store.table("lengths"))
+        return I.Index(self.documents(), self._live("postings"), self._live("lengths"))
 
     def _matches(self, r: Request) -> tuple[DataFrame, str, list]:
         docs, warnings = self.documents(), []
@@ -148,8 +212,17 @@ class Engine:
         return self.documents().filter(F.col("path").isin(*paths[:MOST_PATHS])).select("path", "content", "anchors")
 
     def snippets(self, r: Request, paths: list[str]) -> dict[str, dict]:
-        leaves = Q.leaves(Q.parse(r.query))
-        return {x.path: X.snippets(x.content or "", leaves, anchors(x), r.case_sensitive, r.whole_word) for x in self._some(paths).collect()}  # at most 200 rows
+        """Snippets of at most 200 files; where the text has no match, its head."""
+        literal = Q.split_filters(r.query)[1] if r.mode == "exact" else None
+        leaves = [] if r.mode in ("exact", "filename") else Q.leaves(Q.parse(r.query))
+        out = {}
+        for x in self._some(paths).collect():
+            text = x.content or ""
+            spans = X.highlights(text, leaves, r.case_sensitive, r.whole_word) if literal is None else X.literal_spans(text, literal, r.case_sensitive, r.whole_word)
+            out[x.path] = X.of_spans(text, spans, anchors(x))
+            if not spans and (head := X.head_of(text)):
+                out[x.path]["snippets"] = [{"text": head, "highlights": [], "location": ""}]
+        return out
 
     def preview(self, r: Request, path: str) -> dict | None:
         rows = self._some([path]).collect()
@@ -166,13 +239,24 @@ class Engine:
         counts = {r.status: r.n for r in O.status_counts(docs).collect()}
         return {"files": sum(n for s, n in counts.items() if s != CODES["ignored"]), "by_status": {O.STATUS[s]: n for s, n in counts.items()}, "generation": self.store.manifest()["generation"]}
 
+    def sizes(self) -> dict[str, int]:
+        """Bytes of each table."""
+        return self.store.sizes()
+
     def rebuild(self) -> None:
-        """The index anew from the stored texts."""
-        self._index()
+        """One segment, its index anew from the stored texts."""
+        docs = self.store.draft("documents", self.documents())
+        new = {"documents": docs} | self._indexed(I.postings(self.spark.read.parquet(docs)))
+        self.store.commit(gone=self.spark.createDataFrame([], "doc_id long"), **new)
 
 
-def anchors(row) -> list[X.Anchor]:
-    return [X.Anchor(a.offset, a.kind, a.num, a.label) for a in row.anchors or []]
-
+def version_id(generation: int) -> Column:
+    """A number for each row that is written in a generation, used once: 19 bits for the generation, 20 for the task, 24 for
+    the row in it. Beyond them it is an error."""
+    task, row = F.shiftright(F.monotonically_increasing_id(), 33), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    fits = (task < 1 << 20) & (row < 1 << 24) & F.lit(generation < 1 << 19)
+    return F.when(fits, F.lit(generation << 44) + F.shiftleft(task, 24) + row).otherwise(F.raise_error(F.lit("too many rows for the numbers of a generation")).cast("long"))
 
 
+def anchors(row) -> list[X.Anchor]:
+    return [X.Anchor(a.offset, a.kind, a.num, a.label) for a in row.anchors or []]
