@@ -13,7 +13,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ SKETCH, APART = 2, 49
 #: Distinct fingerprints that one task compares at most; larger buckets are dealt anew.
 BUCKET = 8192
 SKETCHES = -(-BANDS * BAND * SKETCH // 64)
+#: Classes of a bucket that are all compared in pairs at most; of larger buckets those that share a rare shingle are.
+PAIRS = 32
 #: Shingles hashed at once, so that memory does not follow a text's length.
 PART = 200_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -272,7 +276,159 @@ def apart(x: str, y: str) -> Column:
     return F.expr(" + ".join(f"bit_count({x}[{k}] ^ {y}[{k}])" for k in range(SKETCHES)))
 
 
-def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, share: float = SIMILAR, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def in_blocks(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows with a number of a block, whose sets have about ``most`` bytes; a larger set is a block of its own."""
+    block, held = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        of = []
+        for n in pc.binary_length(batch.column("shingles")).to_pylist():
+            if held and held + n > most:
+                block, held = block + 1, 0
+            of.append(block)
+            held += n
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of, pa.int64())], names=[*batch.schema.names, "block"])
+
+
+def block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, token, n): in how many sets of a block each shingle is; a block may come in several parts."""
+    for batch in batches:
+        block = batch.column("block").to_numpy(zero_copy_only=False)
+        cuts = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)])) if len(block) else []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            token, n = np.unique(np.frombuffer(b"".join(batch.column("shingles").slice(lo, hi - lo).to_pylist()), np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), block[lo])), pa.array(token.view(np.int64)), pa.array(n)], names=["block", "token", "n"])
+
+
+def prefixes(sets: pa.Table, counts: pa.Table, share: float) -> pa.Table:
+    """(token, n, left, often, key, sketch) for the shingles by which a set of n can first meet one that is similar.
+
+    Shingles are ordered by the number of sets that they are in (``counts`` has those of two sets at least), rare ones first.
+    What two sets have in common stands at or behind the first shingle that they share, so ``left``, the number of a set's
+    shared shingles from there on, is no less than that, and that is no less than ``share`` of n. ``often`` of a set's
+    shingles are in over PAIRS sets.
+    """
+    token, at = np.unique(counts.column("token").to_numpy().view(np.uint64), return_index=True)
+    rank = np.empty(len(token), np.int64)
+    df = counts.column("df").to_numpy()[at]
+    rank[np.lexsort((token, df))] = np.arange(len(token))
+    rows, parts = [], []
+    for i, x in enumerate(sets.column("shingles").to_pylist() if len(token) else []):
+        x = np.frombuffer(x, np.uint64)
+        k = np.minimum(np.searchsorted(token, x), len(token) - 1)
+        k = k[token[k] == x]
+        k = k[np.argsort(rank[k])]
+        left, often = len(k) - np.arange(len(k)), np.count_nonzero(df[k] > PAIRS)
+        k = k[left >= share * len(x) - 1e-6]
+        rows.append(np.full(len(k), i))
+        parts.append((token[k], np.full(len(k), len(x)), left[: len(k)], np.full(len(k), often)))
+    if not rows:
+        rows, parts = [np.zeros(0, np.int64)], [(np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 3]
+    first, *numbers = (np.concatenate(x) for x in zip(*parts))
+    more = sets.select(["key", "sketch"]).take(pa.array(np.concatenate(rows)))
+    return pa.table({"token": first.view(np.int64), **dict(zip(("n", "left", "often"), (x.astype(np.int64) for x in numbers))), **{c: more.column(c) for c in more.column_names}})
+
+
+class Tokens:
+    """The rows of ``prefixes`` with a label, sorted by token, in parts of whole tokens."""
+
+    def __init__(self, rows: tuple, share: float):
+        self.token, self.n, self.left, self.often, self.key, self.label, self.sketch = rows
+        self.least = share / (1 + share)
+        self.cuts = np.concatenate(([0], np.flatnonzero(self.token[1:] != self.token[:-1]) + 1, [len(self.token)]))
+
+    @classmethod
+    def read(cls, batches: Iterator[pa.RecordBatch], share: float) -> Iterator[Tokens]:
+        rest = []  # the rows of the last token of what came so far, which may go on
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "n", "left", "often", "key", "label"))
+            rows += (batch.column("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(batch), SKETCHES),)
+            if rest and rows[0][-1] == rest[0][0][0]:
+                rest.append(rows)
+                continue
+            rows = tuple(map(np.concatenate, zip(*rest, rows)))
+            tail = int(np.argmax(rows[0] == rows[0][-1]))
+            if tail:
+                yield cls(tuple(x[:tail] for x in rows), share)
+            rest = [tuple(x[tail:] for x in rows)]
+        if rest:
+            yield cls(tuple(map(np.concatenate, zip(*rest))), share)
+
+    def near(self, n: np.ndarray, left: np.ndarray, m: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return np.minimum(left, right) >= self.least * (n + m) - 1e-6
+
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Those of the rows i and j that can be similar by their numbers and sketches and have different labels: (a, b)."""
+        good = (self.label[i] != self.label[j]) & self.near(self.n[i], self.left[i], self.n[j], self.left[j])
+        i, j = i[good], j[good]
+        good = np.bitwise_count(self.sketch[i] ^ self.sketch[j]).sum(1, dtype=np.int64) <= APART
+        a, b = self.key[i[good]], self.key[j[good]]
+        return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+
+    def centres(self) -> Iterator[np.ndarray]:
+        """Of each token that has many rows, those with the one that has the largest share of frequent shingles."""
+        for lo, hi in zip(self.cuts[:-1], self.cuts[1:]):
+            if hi - lo > PAIRS:
+                first = lo + np.lexsort((self.key[lo:hi], -self.often[lo:hi] / self.n[lo:hi]))[0]
+                yield self.pairs(np.full(hi - lo, first), np.arange(lo, hi))
+
+    def all(self) -> Iterator[np.ndarray]:
+        """All pairs of rows of one token. Where it has many rows, they are first told apart by their numbers, which are few,
+        so those that can meet none take no part in any pair."""
+        size = np.diff(self.cuts)
+        small = np.repeat(size <= PAIRS, size)
+        for d in range(1, min(PAIRS, int(size.max()))):
+            i = np.flatnonzero((self.token[d:] == self.token[:-d]) & small[d:])
+            yield self.pairs(i, i + d)
+        for t in np.flatnonzero(size > PAIRS).tolist():
+            lo, hi = self.cuts[t], self.cuts[t + 1]
+            kinds, of = np.unique(np.stack([self.n[lo:hi], self.left[lo:hi]], 1), axis=0, return_inverse=True)
+            of = of.reshape(-1)
+            member = np.split(lo + np.argsort(of, kind="stable"), np.cumsum(np.bincount(of))[:-1])
+            low, high = np.full(len(kinds), np.iinfo(np.int64).max), np.full(len(kinds), np.iinfo(np.int64).min)
+            np.minimum.at(low, of, self.label[lo:hi])
+            np.maximum.at(high, of, self.label[lo:hi])
+            for k in range(len(kinds)):
+                hit = self.near(*kinds[k], *kinds[k:].T) & ((low[k] != high[k]) | (low[k:] != high[k:]) | (low[k] != low[k:]))
+                if hit.any():
+                    others = np.concatenate([member[k + j] for j in np.flatnonzero(hit).tolist()])
+                    step = max(1, 1_000_000 // len(others))
+                    for at in range(0, len(member[k]), step):
+                        some = member[k][at : at + step]
+                        yield self.pairs(np.repeat(some, len(others)), np.tile(others, len(some)))
+
+
+def meet(batches: Iterator[pa.RecordBatch], share: float, centres: bool = False) -> Iterator[pa.RecordBatch]:
+    for part in Tokens.read(batches, share):
+        for x in part.centres() if centres else part.all():
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+
+
+def rare_shingles(sets: DataFrame, share: float, where: str) -> DataFrame:
+    """(token, n, left, often, key, sketch) of ``prefixes`` for all sets. ``sets``: key, sketch, shingles."""
+    blocks = stored(sets.mapInArrow(in_blocks, "key bigint, sketch array<bigint>, shingles binary, block bigint"), f"{where}/blocks", 8 << 20)
+    counts = stored(blocks.select("block", "shingles").mapInArrow(block_counts, "block bigint, token bigint, n bigint"), f"{where}/counts")
+    shared = counts.groupBy("token").agg(F.sum("n").alias("df")).filter("df > 1")
+    known = counts.select("block", "token").join(shared, "token").select("block", "token", "df")
+    rows = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lambda x, y: prefixes(x, y, share), "token bigint, n bigint, left bigint, often bigint, key bigint, sketch array<bigint>")
+    return stored(rows, f"{where}/prefixes")
+
+
+def rare_pairs(rows: DataFrame, labels: DataFrame, share: float, centres: bool = False) -> DataFrame:
+    """(a, b): pairs of keys among which are all that have different labels, near sketches and sets with a Jaccard similarity
+    of ``share`` at least. ``rows``: of rare_shingles; ``labels``: key, label of each.
+
+    Two such sets share one of their rarest shingles. What many have in common is rare in none of them, so copies that were
+    all changed in other places make few pairs, where their bucket has as many as the square of its size. ``centres``: of a
+    shingle that many have, only the pairs with that which has least of its own.
+    """
+    dealt = rows.join(labels, "key").select("token", "n", "left", "often", "key", "label", "sketch").repartition("token").sortWithinPartitions("token")
+    return dealt.mapInArrow(lambda batches: meet(batches, share, centres), "a bigint, b bigint").distinct()
+
+
+def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, share: float = SIMILAR, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text", pairs: int = PAIRS) -> DataFrame:
     """(id, component_id) for each row with an id: the least id that is reachable by pairs with a Jaccard similarity of
     their sets of shingles of ``share`` at least.
 
@@ -280,7 +436,8 @@ def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, share: float =
     compared first. Fingerprints of pairs at 0.8 differ in more bits than blocks can bear, so classes that agree in a band of
     MinHashes are compared as well, unless they are linked already; a pair at 0.8 has such a band with a probability of
     0.9999. In a bucket all are compared with its first, then those that are still in different components with each other,
-    if their sketches are near enough.
+    if their sketches are near enough and, in a bucket of over ``pairs`` classes, if they share a rare shingle, as similar
+    ones do; of those, each is compared with the most central one of its frequent shingles before.
     Sets are only made of texts that a pair asks for.
     """
     where = shared_dir(docs.sparkSession)
@@ -289,12 +446,15 @@ def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, share: float =
     least = stored(made.groupBy("key").agg(F.min(id_col).alias("rep"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch")), f"{where}/classes")
     rows = made.join(least.select("key", F.col("rep").alias(id_col)), ["key", id_col], "left_semi").select("key", "sketch", F.posexplode("bands").alias("band", "value"))
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = stored(pairs, f"{where}/{name}-pairs")
-        asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(least.select("key", "rep"), "key"), f"{where}/{name}-asked")
+    def sets_of(keys: DataFrame, name: str) -> DataFrame:
+        asked = stored(keys.distinct().join(least.select("key", "rep"), "key"), f"{where}/{name}-asked")
         texts = known.join(asked.select(F.col("rep").alias(id_col)).distinct(), id_col, "left_semi")
         sets = map_texts(texts, Shingles(words), "key bigint, shingles binary", id_col, text_col).join(asked.select("key", F.col("rep").alias(id_col)), ["key", id_col], "left_semi")
-        return stored(similar(pairs, stored(sets.dropDuplicates(["key"]), f"{where}/{name}-sets", 8 << 20), share), f"{where}/{name}")
+        return stored(sets.dropDuplicates(["key"]).select("key", "shingles"), f"{where}/{name}-sets", 8 << 20)
+
+    def verified(found: DataFrame, name: str) -> DataFrame:
+        found = stored(found, f"{where}/{name}-pairs")
+        return stored(similar(found, sets_of(found.select(F.explode(F.array("a", "b")).alias("key")), name), share), f"{where}/{name}")
 
     # classes of one fingerprint are linked to the first of them, which stands for the fingerprint
     first = least.groupBy("fp").agg(F.min("key").alias("head"))
@@ -319,10 +479,21 @@ def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, share: float =
     stars = now.filter("close AND key <> a").join(heads, ["band", "value"]).filter("label <> __of").select("a", F.col("key").alias("b")).distinct()
     edges = edges.unionByName(verified(stars, "stars"))
     now = labelled(edges, "labelled-1")
-    mixed = now.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band", "value")
-    now = now.join(mixed, ["band", "value"], "left_semi").filter("key <> a")
+    mixed = now.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("band", "value", "n")
+    now = stored(now.join(mixed, ["band", "value"]).filter("key <> a"), f"{where}/mixed")
     near = (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & F.expr("x.key < y.key AND x.label <> y.label") & (apart("x.sketch", "y.sketch") <= APART)
-    more = now.alias("x").join(now.alias("y"), near).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    few, many = now.filter(F.col("n") <= pairs), now.filter(F.col("n") > pairs)
+    more = few.alias("x").join(few.alias("y"), near).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+    if not many.isEmpty():
+        # those near the middle of a group are linked by it, so only those far from it are left for pairs
+        many = stored(many.groupBy("key").agg(F.min("label").alias("label"), F.min("sketch").alias("sketch")), f"{where}/many")
+        sets = many.join(sets_of(many.select("key"), "many"), "key").select("key", "sketch", "shingles")
+        rare = rare_shingles(sets, share, f"{where}/rare")
+        edges = edges.unionByName(verified(rare_pairs(rare, many.select("key", "label"), share, centres=True), "centres"))
+        labels = components(edges).select(F.col("node").alias("key"), "label")
+        labels = stored(many.select("key").join(labels, "key", "left").select("key", F.coalesce("label", "key").alias("label")), f"{where}/labelled-2")
+        more = more.unionByName(rare_pairs(rare, labels, share))
+    more = more.distinct()
     edges = edges.unionByName(verified(more, "others"))
     found = components(edges).withColumnRenamed("node", "key")
     group = stored(least.join(found, "key", "left").select("key", "rep", F.coalesce("label", "key").alias("label")), f"{where}/groups")

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -119,6 +120,68 @@ def test_stage_keeps_one_of_each_similar_group(spark):
     assert middle >= 10 and {r.doc_id for r in left} == set(want.values())
 
 
+def test_stage_makes_few_pairs_of_a_large_group_of_near_copies(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    rows = [(i, " ".join(base)) for i in (0, 400)]
+    for i in range(1, 400):  # one to ten words changed: some are similar to the first one, the others to nearly none
+        words = list(base)
+        for at in rng.sample(range(len(words)), rng.randint(1, 10)):
+            words[at] = f"n{rng.randrange(200)}"
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in sorted(rows))]
+    label = list(range(len(rows)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                label[max(x, y)] = min(x, y)
+    made, similar = [], simhash.similar
+
+    def counted(pairs, *more):
+        made.append(pairs.count())
+        return similar(pairs, *more)
+
+    monkeypatch.setattr(simhash, "similar", counted)
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    alone = sum(find(i) == i for i in range(1, 400))
+    assert 80 < alone < 320 and sorted(map(tuple, got)) == [(i, find(i)) for i in range(401)]
+    assert made[-1] < 10 * len(rows)  # 17,701 where all that are left in a bucket are compared
+
+
+def test_rare_shingles_meet_every_similar_pair():
+    rng = np.random.default_rng(3)
+    base, sets = rng.integers(1, 1 << 63, 120, np.uint64), []
+    for i in range(150):
+        some = rng.choice(base, rng.integers(90, 121), replace=False)
+        sets.append(np.unique(np.concatenate((some, rng.integers(1, 60, rng.integers(0, 25), np.uint64)))))
+    sets += [np.unique(rng.choice(sets[i % 150], int(0.9 * len(sets[i % 150])), replace=False)) for i in range(20)]
+    sets += [np.zeros(0, np.uint64), base[:1], base[:1], rng.integers(1, 1 << 63, 9, np.uint64)]
+    label = rng.integers(0, 40, len(sets))
+    token, df = np.unique(np.concatenate(sets), return_counts=True)
+    counts = pa.table({"token": token.view(np.int64)[df > 1], "df": df[df > 1]})
+    table = pa.table({"key": np.arange(len(sets)), "sketch": pa.array([[0] * simhash.SKETCHES] * len(sets), pa.list_(pa.int64())), "shingles": [x.tobytes() for x in sets]})
+    parts = [simhash.prefixes(table.slice(lo, 50), counts, 0.8) for lo in range(0, len(sets), 50)]  # as of several blocks
+    rows = pa.concat_tables([*parts, simhash.prefixes(table, counts.slice(0, 0), 0.8)])
+    rows = rows.append_column("label", pa.array(label[rows.column("key").to_numpy()])).sort_by("token").combine_chunks()
+    for size in (7, 1000):
+        got = {(a, b) for x in simhash.meet(iter(rows.to_batches(size)), 0.8) for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist())}
+        want = set()
+        for a in range(len(sets)):
+            for b in range(a + 1, len(sets)):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if label[a] != label[b] and len(sets[a]) and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                    want.add((a, b))
+        assert len(want) > 50 and want <= got and all(label[a] != label[b] for a, b in got)
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     n = 60
     edges = [(i, i + 1) for i in range(n)] + [(1000, i) for i in range(1001, 1040)] + [(7, 7), (3, 2), (2000, 1999)]
