@@ -107,6 +107,7 @@ def map_texts(df: DataFrame, fn: Callable[[list], dict], schema: str, id_col: st
                 texts = [x or b"" for x in batch.column(text).to_pylist()]
                 out = fn(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + list(map(as_array, out.values())), names=names + list(out))
+        trim()
 
     return src.mapInArrow(run, f"{fields}, {schema}")
 
@@ -122,6 +123,7 @@ def append_texts(df: DataFrame, fn: Callable[[list], dict], kinds: dict[str, str
             for batch in slices(whole, text_col):
                 out = fn([(x or "").encode() for x in batch.column(text_col).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*batch.columns, *map(as_array, out.values())], names=[*names, *(new[k] for k in out)])
+        trim()
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *(f"`{new[k]}` {v}" for k, v in kinds.items())])
     return df.mapInArrow(run, fields), new

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import map_texts, shared_dir, stored, table
+from .base import map_texts, shared_dir, stored, table, trim
 from .components import components
 
 BITS, BLOCKS, WORDS, DISTANCE, SEED = 64, 6, 4, 4, 42
@@ -266,6 +266,7 @@ def similar(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both >= share * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        trim()
 
     rows = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
     return rows.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
@@ -404,6 +405,7 @@ def meet(batches: Iterator[pa.RecordBatch], share: float, centres: bool = False)
         for x in part.centres() if centres else part.all():
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+    trim()
 
 
 def rare_shingles(sets: DataFrame, share: float, where: str) -> DataFrame:
