@@ -292,21 +292,22 @@ class Pool:
 _CODECS: dict = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, most: int = 1_000_000) -> Codec:
     """One codec for each rank file in each Python worker."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(read_ranks(path), pattern)
-    return _CODECS[path, pattern]
+    if (path, pattern, most) not in _CODECS:
+        _CODECS.clear()
+        _CODECS[path, pattern, most] = Codec(read_ranks(path), pattern, most)
+    return _CODECS[path, pattern, most]
 
 
 class Digests:
-    def __init__(self, path: str, pattern: str, ids: bool = False):
-        self.path, self.pattern, self.ids = path, pattern, ids
+    def __init__(self, path: str, pattern: str, ids: bool = False, most: int = 1_000_000):
+        self.path, self.pattern, self.ids, self.most = path, pattern, ids, most
 
     def __call__(self, texts: list) -> dict:
         import pyarrow as pa
 
-        c = codec(self.path, self.pattern)
+        c = codec(self.path, self.pattern, self.most)
         packed = c.packed([t.decode("utf-8", "replace") for t in texts])
         n = np.array([len(p) // 4 for p in packed], np.int64)
         ids = np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
@@ -321,12 +322,13 @@ class Digests:
         return out
 
 
-def bpe_roundtrip(docs: DataFrame, path: str, pattern: str, ids: bool = False, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
+def bpe_roundtrip(docs: DataFrame, path: str, pattern: str, ids: bool = False, id_col: str = "doc_id", text_col: str = "text", keep: tuple = (), most: int = 1_000_000) -> DataFrame:
     """One row per row of ``docs``: id, ``keep``, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids as an array.
+    ``most``: parts of texts that a worker remembers (about 250 bytes each), which changes no result.
     Null and empty texts have no ids; very long texts are encoded whole; repeated rows get repeated results; an empty table
     gives no rows; columns outside ``keep`` are not read, and a name of ``keep`` that the result uses itself is an error."""
     schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
-    return map_texts(docs, Digests(path, pattern, ids), schema, id_col, text_col, keep)
+    return map_texts(docs, Digests(path, pattern, ids, most), schema, id_col, text_col, keep)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
