@@ -7,7 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, leaks, quality, simhash, suffix
-from quillon.llm.base import held_fold, shared_dir, stored, table, unused
+from quillon.llm.base import held_fold, release, shared_dir, stored, table, unused
+
+#: Bytes of a row group between stages, so that few long texts are read at once; parts of texts that the last stage's
+#: workers remember beside what the stages before have left in them. Neither changes a result.
+ROW_GROUP, REMEMBERED = 8 << 20, 250_000
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +62,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no ids, long ones are encoded whole, repeated rows get a row each; other columns are not read.
     """
-    return bpe.bpe_roundtrip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=True, keep=("lang", "source"))
+    return bpe.bpe_roundtrip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=True, keep=("lang", "source"), most=REMEMBERED)
 
 
 STAGES = [
@@ -77,5 +81,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``; each one's rows are written as Parquet and read again for the next."""
     docs, where = table(spark, sf_dir, "documents"), shared_dir(spark)
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        docs = stored(stage(spark, docs, sf_dir), f"{where}/stage-{k}")
+        docs = stored(stage(spark, docs, sf_dir), f"{where}/stage-{k}", ROW_GROUP)
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
