@@ -210,6 +210,21 @@ class Model:
         return {"lang_pred": pa.array([names[i] for i in chosen], pa.string()), "score": score, "bits_per_byte": rate}
 
 
+def most_frequent(counts: DataFrame, grams: int) -> DataFrame:
+    """Of (lang, code, n) the ``grams`` first of each language, the most frequent first, then by code.
+
+    Grams of one count and first byte make a cell. Only cells are brought in order over a language; of the cell in which a
+    language's share ends, and in no other, single grams are ranked.
+    """
+    cell = ["lang", "n", "high"]
+    rows = counts.withColumn("high", F.shiftright("code", 8 * DEPTH))
+    upto = F.sum("size").over(Window.partitionBy("lang").orderBy(F.desc("n"), "high").rowsBetween(Window.unboundedPreceding, 0))
+    cells = rows.groupBy(*cell).agg(F.count("*").alias("size")).withColumn("left", F.lit(grams) - upto + F.col("size")).filter("left > 0")
+    kept = rows.join(cells, cell)
+    last = kept.filter("left < size").withColumn("place", F.row_number().over(Window.partitionBy(*cell).orderBy("code"))).filter("place <= left")
+    return kept.filter("left >= size").select("lang", "code", "n").unionByName(last.select("lang", "code", "n"))
+
+
 def fit(docs: DataFrame, train: Column, lang_col: str = "lang", text_col: str = "text", grams: int = GRAMS, group: int = GROUP) -> Model:
     """A model of each language of the rows for which ``train`` holds and lang is not null.
 
@@ -218,7 +233,7 @@ def fit(docs: DataFrame, train: Column, lang_col: str = "lang", text_col: str =
     whose texts are all empty is not learned.
     """
     where = f"{shared_dir(docs.sparkSession)}/grams"
-    most = counted(docs.filter(train), lang_col, text_col).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).filter(F.col("place") <= grams).drop("place")
+    most = most_frequent(stored(counted(docs.filter(train), lang_col, text_col), f"{where}-counted"), grams)
     most = stored(most, f"{where}-all")
     groups = -(-most.agg(F.count_distinct("lang")).first()[0] // group)
     most.withColumn("part", F.pmod(F.xxhash64("lang"), F.lit(max(1, groups)))).repartition("part").write.partitionBy("part").parquet(where)
