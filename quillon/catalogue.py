@@ -14,9 +14,11 @@ from .operators import files as O
 from .operators import members as M
 from .operators.literals import literal_matches
 from .plans import index as I
+from .plans import literal as L
 from .plans import scan as S
 from .plans.corpus import EPOCH, documents, table
 from .plans.regex import regex_scan
+from .session import shared_folder
 from .sources.readers import extracted, html_title
 from .streaming import changes as C
 
@@ -52,9 +54,25 @@ def _smart(name: str, text: str, where: str, **options) -> None:
         query(f"index_{name}", sql)(lambda spark, d: _index(spark, d).matches(text, whole_word=options.get("whole_word", False), now=options.get("now")))
 
 
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _written(spark: SparkSession, sf_dir: str, name: str, write: Callable[[DataFrame, str], None]) -> str:
+    """The folder of an index over a folder's documents, written once in an application and read by all its queries."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN:
+        where = shared_folder(spark, name)
+        write(documents(spark, sf_dir), where)
+        _WRITTEN[key] = where
+    return _WRITTEN[key]
+
+
 def _index(spark: SparkSession, sf_dir: str) -> I.Index:
-    docs = documents(spark, sf_dir)
-    return I.Index(docs, I.postings(docs))
+    return I.Index.open(documents(spark, sf_dir), _written(spark, sf_dir, "index", I.write))
+
+
+def _literals(spark: SparkSession, sf_dir: str) -> L.LiteralIndex:
+    return L.LiteralIndex(documents(spark, sf_dir), _written(spark, sf_dir, "literals", L.write))
 
 
 _smart("term", "then", _has(" then"))
@@ -121,9 +139,9 @@ def _bm25(words: list[str], boosts: dict, match: str, limit: str) -> str:
     return f"WITH {DOCS}, {', '.join(stats)} SELECT doc_id, round({' + '.join(parts)}, 6) AS score FROM d, {', '.join(names)} WHERE {match} ORDER BY score DESC, doc_id {limit}"
 
 
-query("search_ranked", _bm25(["with", "for"], {"content": 1.0, "name": 3.0}, f"{_has(' with ')} OR {_has(' for ')}", "LIMIT 10"))(lambda spark, d: I.ranked(_index(spark, d), "with OR for"))
-query("bm25_page", _bm25(["with"], {"content": 1.0, "name": 3.0}, _has(" with "), "LIMIT 10 OFFSET 10"))(lambda spark, d: I.ranked(_index(spark, d), "with", 10, 10))
-query("bm25_boosted", _bm25(["with", "das"], {"content": 2.5}, f"{_has(' with ')} OR {_has(' das ')}", "LIMIT 25"))(lambda spark, d: I.ranked(_index(spark, d), "with OR das", 25, 0, {"content": 2.5, "name": 0.0}))
+query("search_ranked", _bm25(["with", "for"], {"content": 1.0, "name": 3.0}, f"{_has(' with ')} OR {_has(' for ')}", "LIMIT 10"))(lambda spark, d: I.ranked(_index(spark, d), "with OR for", whole_word=True))
+query("bm25_page", _bm25(["with"], {"content": 1.0, "name": 3.0}, _has(" with "), "LIMIT 10 OFFSET 10"))(lambda spark, d: I.ranked(_index(spark, d), "with", 10, 10, whole_word=True))
+query("bm25_boosted", _bm25(["with", "das"], {"content": 2.5}, f"{_has(' with ')} OR {_has(' das ')}", "LIMIT 25"))(lambda spark, d: I.ranked(_index(spark, d), "with OR das", 25, 0, {"content": 2.5, "name": 0.0}, True))
 query("sort_modified", f"WITH {DOCS} SELECT doc_id, mtime FROM d WHERE {_has(' with')} ORDER BY mtime DESC, doc_id LIMIT 20")(
     lambda spark, d: S.smart(documents(spark, d), "with").orderBy(F.desc("mtime"), "doc_id").limit(20).select("doc_id", "mtime")
 )

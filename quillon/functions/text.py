@@ -101,23 +101,25 @@ def is_arabic(text: str) -> bool:
     return any("\u0600" <= c <= "\u06ff" for c in text)
 
 
+def _word_pattern() -> re.Pattern:
+    marks: list[list[int]] = []
+    for cp in range(0x300, 0x110000):
+        if unicodedata.category(chr(cp))[0] == "M":
+            if marks and marks[-1][1] == cp - 1:
+                marks[-1][1] = cp
+            else:
+                marks.append([cp, cp])
+    own, mark = ("".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) for ranges in (IDEOGRAPHS, marks))
+    return re.compile(rf"[{own}]|[^\W_{own}](?:[^\W_{own}]|[{mark}])*")
+
+
+_WORDS = _word_pattern()
+
+
 def spans(text: str) -> list[tuple[int, int]]:
     """(from, to) of the words of any script: runs of letters, digits and the marks after them; an ideograph is a word of
     its own; a run of over 64 characters is no word."""
-    out, start = [], None
-    for i, c in enumerate(text):
-        ideograph = is_ideograph(c)
-        inside = not ideograph and (c.isalnum() or start is not None and unicodedata.category(c)[0] == "M")
-        if start is not None and not inside:
-            out.append((start, i))
-            start = None
-        if ideograph:
-            out.append((i, i + 1))
-        elif inside and start is None:
-            start = i
-    if start is not None:
-        out.append((start, len(text)))
-    return [(a, b) for a, b in out if b - a <= MOST]
+    return [m.span() for m in _WORDS.finditer(text) if m.end() - m.start() <= MOST]
 
 
 def without_article(word: str) -> str:

@@ -6,16 +6,16 @@ import time
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import excerpt as X
 from ..functions import query as Q
 from ..functions import text as T
 from ..operators import files as O
 from ..operators.store import Store
 from ..sources.readers import extracted
 from ..sources.scan import Filter, kind, scan
+from . import highlight as H
 from . import index as I
 from . import scan as S
 from .regex import regex_scan, required_literals
@@ -174,7 +174,8 @@ class Engine:
         return docs
 
     def index(self) -> I.Index:
-        return I.Index(self.documents(), self._live("postings"), self._live("lengths"))
+        docs = self.documents().select("doc_id", *[c for c in ("path", "parent", "dir", "name", "name_lc", "ext", "kind", "size", "mtime") if c in self.documents().columns])
+        return I.Index(docs, self._live("postings"), self._live("lengths"))
 
     def _matches(self, r: Request) -> tuple[DataFrame, str, list]:
         docs, warnings = self.documents(), []
@@ -187,46 +188,47 @@ class Engine:
                 warnings.append("the pattern has no fixed part: all texts are read")
             return regex_scan(docs, r.query, r.case_sensitive, r.whole_word), "scan", warnings
         if r.mode == "filename":
-            return S.filename(docs, r.query), "indexed", warnings
+            names = S.filename(docs, r.query)
+            return names.withColumn("score", S.name_score(Q.split_filters(r.query)[1].split()).cast("double")), "indexed", warnings
         if r.case_sensitive and S.needed(Q.parse(r.query)):
             return S.smart(docs, r.query, r.whole_word, True), "verified", warnings
-        hits = self.index().matches(r.query, r.whole_word)
-        return docs.join(hits, "doc_id", "left_semi"), "indexed", warnings
+        hits = self.index().scored(r.query, whole_word=r.whole_word) if r.sort == "relevance" else self.index().matches(r.query, r.whole_word)
+        return docs.join(hits, "doc_id"), "indexed", warnings
 
     def search(self, r: Request) -> Response:
         """One page of matches and their exact number, which is reported up to RESULT_LIMIT."""
         began = time.time()
         limit = max(1, min(r.limit, MOST_ROWS))
         hits, strategy, warnings = self._matches(r)
-        hits = hits.select("doc_id", "path", "name", "name_lc", F.col("parent").alias("dir"), "ext", "kind", "size", "mtime", "flags", "title")
-        total = hits.count()
-        if r.sort == "relevance" and r.mode == "smart":
-            hits = hits.join(self.index().scores(r.query), "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-            page = hits.orderBy(F.desc("score"), "doc_id")
-        else:
-            page = hits.withColumn("score", F.lit(0.0)).orderBy(*{"modified": [F.desc("mtime")], "size": [F.desc("size")], "name": [F.col("name_lc")]}.get(r.sort, []), "doc_id")
-        rows = [] if r.offset >= RESULT_LIMIT else page.offset(r.offset).limit(limit).drop("name_lc").collect()
+        narrow = ["doc_id", "path", "name", "name_lc", F.col("parent").alias("dir"), "ext", "kind", "size", "mtime", "flags", "title"]
+        hits = hits.select(*narrow, *([] if "score" not in hits.columns else ["score"]))
+        order = {"modified": [F.desc("mtime")], "size": [F.desc("size")], "name": [F.col("name_lc")]}.get(r.sort, [F.desc("score")] if "score" in hits.columns else [])
+        if "score" not in hits.columns:
+            hits = hits.withColumn("score", F.lit(0.0))
+        if r.offset >= RESULT_LIMIT:
+            rows, total = [], hits.count()
+        else:  # the count is observed on the way to the page
+            seen = Observation()
+            rows = hits.observe(seen, F.count(F.lit(1)).alias("total")).orderBy(*order, "doc_id").offset(r.offset).limit(limit).drop("name_lc").collect()
+            total = seen.get["total"]
         return Response(rows, min(total, RESULT_LIMIT), total > RESULT_LIMIT, strategy, warnings, self.store.manifest()["generation"], (time.time() - began) * 1000)
 
     def _some(self, paths: list[str]) -> DataFrame:
-        return self.documents().filter(F.col("path").isin(*paths[:MOST_PATHS])).select("path", "content", "anchors")
+        """The documents of a page of paths."""
+        if len(paths) > MOST_PATHS:
+            raise Q.QueryError(f"at most {MOST_PATHS} paths at once")
+        return self.documents().filter(F.col("path").isin(*paths)).select("path", "content", "anchors")
+
+    def _marks(self, r: Request) -> H.Highlighter:
+        return H.highlighter(r.mode, r.query, r.case_sensitive, r.whole_word)
 
     def snippets(self, r: Request, paths: list[str]) -> dict[str, dict]:
-        """Snippets of at most 200 files; where the text has no match, its head."""
-        literal = Q.split_filters(r.query)[1] if r.mode == "exact" else None
-        leaves = [] if r.mode in ("exact", "filename") else Q.leaves(Q.parse(r.query))
-        out = {}
-        for x in self._some(paths).collect():
-            text = x.content or ""
-            spans = X.highlights(text, leaves, r.case_sensitive, r.whole_word) if literal is None else X.literal_spans(text, literal, r.case_sensitive, r.whole_word)
-            out[x.path] = X.of_spans(text, spans, anchors(x))
-            if not spans and (head := X.head_of(text)):
-                out[x.path]["snippets"] = [{"text": head, "highlights": [], "location": ""}]
-        return out
+        """Snippets of at most 200 files, made where the texts are; where a text has no match, its head."""
+        return {x.path: x.snippets.asDict(True) for x in H.shown(self._some(paths), self._marks(r)).collect()}
 
     def preview(self, r: Request, path: str) -> dict | None:
-        rows = self._some([path]).collect()
-        return X.preview(rows[0].content or "", Q.leaves(Q.parse(r.query)), anchors(rows[0])) if rows else None
+        rows = H.shown(self._some([path]), self._marks(r), "preview").collect()
+        return rows[0].preview.asDict(True) if rows else None
 
     def is_indexed(self, path: str) -> bool:
         return not self.documents().filter(F.col("path") == path).isEmpty()
@@ -256,7 +258,3 @@ def version_id(generation: int) -> Column:
     task, row = F.shiftright(F.monotonically_increasing_id(), 33), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     fits = (task < 1 << 20) & (row < 1 << 24) & F.lit(generation < 1 << 19)
     return F.when(fits, F.lit(generation << 44) + F.shiftleft(task, 24) + row).otherwise(F.raise_error(F.lit("too many rows for the numbers of a generation")).cast("long"))
-
-
-def anchors(row) -> list[X.Anchor]:
-    return [X.Anchor(a.offset, a.kind, a.num, a.label) for a in row.anchors or []]

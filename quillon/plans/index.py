@@ -25,11 +25,9 @@ def positions(df: DataFrame, fields: tuple = FIELDS) -> DataFrame:
     """(doc_id, field, pos, term), a row for each token; an Arabic word stands without its article as well, at its place."""
     term = F.col("term")
     forms = F.when(T.bare(term) != term, F.array(term, T.bare(term))).otherwise(F.array(term))
-    parts = []
-    for f in fields:
-        src = df.select("doc_id", F.col(f).alias("t")).filter(F.col("t") != "")
-        parts.append(src.select("doc_id", F.lit(f).alias("field"), F.posexplode(T.tokens(F.col("t"))).alias("pos", "term")))
-    return reduce(DataFrame.unionByName, parts).select("doc_id", "field", "pos", F.explode(forms).alias("term"))
+    texts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("t")) for f in fields])
+    each = df.select("doc_id", F.explode(texts).alias("x")).select("doc_id", "x.field", "x.t").filter("t <> ''")
+    return each.select("doc_id", "field", F.posexplode(T.tokens(F.col("t"))).alias("pos", "term")).select("doc_id", "field", "pos", F.explode(forms).alias("term"))
 
 
 def postings(df: DataFrame, fields: tuple = FIELDS) -> DataFrame:
@@ -52,30 +50,31 @@ def write(df: DataFrame, where: str, partitions: int | None = None) -> None:
     postings(df).repartitionByRange(n, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").parquet(f"{where}/postings")
     posts = df.sparkSession.read.parquet(f"{where}/postings")
     lengths(posts).write.mode("overwrite").parquet(f"{where}/lengths")
-    df.sparkSession.read.parquet(f"{where}/lengths").groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len")).write.mode("overwrite").parquet(f"{where}/fields")
+    field_stats(df.sparkSession.read.parquet(f"{where}/lengths")).write.mode("overwrite").parquet(f"{where}/fields")
 
 
 class Index:
     """Written or in-memory tables of an index together with the documents' narrow columns."""
 
-    def __init__(self, docs: DataFrame, posts: DataFrame, length: DataFrame | None = None):
+    def __init__(self, docs: DataFrame, posts: DataFrame, length: DataFrame | None = None, fields: DataFrame | None = None):
         self.docs, self.posts, self.length = docs, posts, length if length is not None else lengths(posts)
+        self.fields = fields if fields is not None else field_stats(self.length)
 
     @classmethod
     def open(cls, docs: DataFrame, where: str) -> Index:
         read = docs.sparkSession.read
-        return cls(docs, read.parquet(f"{where}/postings"), read.parquet(f"{where}/lengths"))
+        return cls(docs, *(read.parquet(f"{where}/{t}") for t in ("postings", "lengths", "fields")))
 
     def leaf(self, node, whole_word: bool = False) -> DataFrame | None:
-        """(doc_id, field, tf) of the documents that a leaf matches; None for a leaf without tokens."""
+        """(doc_id, field, tf) of the documents that a leaf matches; None for a leaf without tokens. tf of a word being typed
+        is that of the very word, zero where only longer ones were met."""
         words = T.query_tokens(node.text)
         if not words:
             return None
-        written = isinstance(node, Q.Term) and node.prefix
-        prefix = isinstance(node, Q.Term) and (len(words[-1]) >= LEAST_WRITTEN if written else not whole_word and len(words[-1]) >= LEAST_PREFIX)
-        last = F.startswith("term", F.lit(words[-1])) if prefix else F.col("term") == words[-1]
+        last, prefix = last_of(node, words, whole_word)
         if len(words) == 1:
-            return self.posts.filter(last).groupBy("doc_id", "field").agg(F.sum("tf").alias("tf")) if prefix else self.posts.filter(last).select("doc_id", "field", "tf")
+            hit = self.posts.filter(last).select("doc_id", "field", F.when(F.col("term") == words[0], F.col("tf")).otherwise(0).alias("tf"))
+            return hit.groupBy("doc_id", "field").agg(F.sum("tf").alias("tf")) if prefix else hit
         out = None
         for k, w in enumerate(words):
             hit = self.posts.filter(last if k == len(words) - 1 else F.col("term") == w)
@@ -83,11 +82,23 @@ class Index:
             out = at if out is None else out.join(at, ["doc_id", "field", "p"])
         return out.groupBy("doc_id", "field").agg(F.count("*").alias("tf"))
 
-    def matches(self, query: str, whole_word: bool = False, now=None) -> DataFrame:
-        """(doc_id) of the documents that a query matches."""
-        node = Q.parse(query, now)
-        found: list[DataFrame] = []
-        narrow = self.docs
+    def _hits(self, leaves: list, whole_word: bool) -> DataFrame:
+        """(leaf, doc_id, field, tf) of all leaves; the postings of single words are read once for all of them."""
+        single = [(k, *last_of(n, T.query_tokens(n.text), whole_word)) for k, n in leaves if len(T.query_tokens(n.text)) == 1]
+        parts = []
+        if single:
+            own = {k: F.col("term") == T.query_tokens(n.text)[0] for k, n in leaves}
+            marks = F.filter(F.array(*[F.when(hit, F.struct(F.lit(k).alias("leaf"), F.when(own[k], F.col("tf")).otherwise(0).alias("tf"))) for k, hit, _ in single]), lambda x: x.isNotNull())
+            rows = self.posts.filter(reduce(or_, [hit for _, hit, _ in single])).select("doc_id", "field", F.explode(marks).alias("m")).select("m.leaf", "doc_id", "field", "m.tf")
+            parts.append(rows.groupBy("leaf", "doc_id", "field").agg(F.sum("tf").alias("tf")) if any(prefix for *_, prefix in single) else rows)
+        for k, n in leaves:
+            if len(T.query_tokens(n.text)) > 1:
+                parts.append(self.leaf(n, whole_word).select(F.lit(k).alias("leaf"), "doc_id", "field", "tf"))
+        return reduce(DataFrame.unionByName, parts)
+
+    def _compiled(self, query: str, whole_word: bool, now) -> tuple[object, Column | None, list]:
+        """The tree, its condition on the leaves of a document (__leaves), and the leaves that have tokens, numbered."""
+        node, leaves = Q.parse(query, now), []
 
         def build(n) -> Column | None:
             if isinstance(n, (Q.And, Q.Or)):
@@ -98,47 +109,63 @@ class Index:
                 return None if inner is None else ~inner
             if isinstance(n, Q.Field):
                 return field_condition(n)
-            rows = self.leaf(n, whole_word)
-            if rows is None:
+            if not T.query_tokens(n.text):
                 return None
-            found.append(rows.select("doc_id", F.lit(len(found)).alias("leaf")))
-            return F.coalesce(F.array_contains("__leaves", len(found) - 1), F.lit(False))
-
-        cond = build(node) if node is not None else None
-        if cond is None:
-            return narrow.select("doc_id")
-        if not found:
-            return narrow.filter(cond).select("doc_id")
-        flags = reduce(DataFrame.unionByName, found).groupBy("doc_id").agg(F.collect_set("leaf").alias("__leaves"))
-        need = positive(node)
-        return narrow.join(flags, "doc_id", "inner" if need else "left").filter(cond).select("doc_id")
-
-    def scores(self, query: str, boosts: dict = BOOSTS) -> DataFrame:
-        """(doc_id, score): BM25 of the query's leaves, summed over fields by their boosts; a phrase counts double.
-
-        Document frequency is that of the leaf in the field. A boost of zero leaves the field out.
+            leaves.append((len(leaves), n))
+            return F.coalesce(F.array_contains("__leaves", len(leaves) - 1), F.lit(False))
+
+        return node, build(node) if node is not None else None, leaves
+
+    def matches(self, query: str, whole_word: bool = False, now=None) -> DataFrame:
+        """(doc_id) of the documents that a query matches."""
+        node, cond, leaves = self._compiled(query, whole_word, now)
+        if cond is None or not leaves:
+            return (self.docs if cond is None else self.docs.filter(cond)).select("doc_id")
+        flags = self._hits(leaves, whole_word).groupBy("doc_id").agg(F.collect_set("leaf").alias("__leaves"))
+        return self.docs.join(flags, "doc_id", "inner" if positive(node) else "left").filter(cond).select("doc_id")
+
+    def scored(self, query: str, boosts: dict = BOOSTS, whole_word: bool = False, now=None) -> DataFrame:
+        """(doc_id, score) of the documents that a query matches.
+
+        A score is the BM25 of the leaves that are not under NOT, summed over fields by their boosts; a phrase counts double.
+        Document frequency is that of the leaf in the field. A word being typed scores one for each field in which it begins a
+        word, and as a word of its own besides, so that whole words come first. A boost of zero leaves the field out. One
+        aggregation by document gives its leaves and its score.
         """
-        stats = {r["field"]: (r["n"], r["avg"]) for r in self.length.groupBy("field").agg(F.count("*").alias("n"), F.avg("n").alias("avg")).collect()}  # a row for each field
-        parts = []
-        for node in Q.leaves(Q.parse(query)):
-            rows = self.leaf(node, True)
-            if rows is None:
-                continue
-            phrase = isinstance(node, Q.Phrase)
-            df = {r["field"]: r["df"] for r in rows.groupBy("field").agg(F.countDistinct("doc_id").alias("df")).collect()}
-            for f, boost in boosts.items():
-                if boost and f in df:
-                    weight = boost * (PHRASE_BOOST if phrase else 1.0)
-                    hit = rows.filter(F.col("field") == f).join(self.length.filter(F.col("field") == f).select("doc_id", "n"), "doc_id")
-                    parts.append(hit.select("doc_id", (weight * bm25(F.col("tf"), F.col("n"), *stats[f], df[f])).alias("score")))
-        if not parts:
-            return self.docs.select("doc_id", F.lit(0.0).alias("score"))
-        return reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.sum("score").alias("score"))
-
-
-def bm25(tf: Column, n: Column, n_docs: int, avg_len: float, df: int) -> Column:
-    idf = F.log(F.lit(1 + (n_docs - df + 0.5) / (df + 0.5)))
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / avg_len))
+        node, cond, leaves = self._compiled(query, whole_word, now)
+        if cond is None or not leaves:
+            return (self.docs if cond is None else self.docs.filter(cond)).select("doc_id", F.lit(0.0).alias("score"))
+        good = set(map(id, Q.leaves(node)))
+        weight = F.coalesce(F.create_map(*[F.lit(x) for k, v in boosts.items() for x in (k, float(v))])[F.col("field")], F.lit(0.0))
+        double = [k for k, n in leaves if isinstance(n, Q.Phrase)]
+        typed = [k for k, n in leaves if last_of(n, T.query_tokens(n.text), whole_word)[1] and len(T.query_tokens(n.text)) == 1]
+        shown = [k for k, n in leaves if id(n) in good]
+        hits = self._hits(leaves, whole_word)
+        df = hits.groupBy("leaf", "field").agg(F.count_if(F.col("tf") > 0).alias("df"))  # a row for each leaf and field
+        rows = hits.join(df, ["leaf", "field"]).join(self.fields, "field").join(self.length.select("doc_id", "field", "n"), ["doc_id", "field"])
+        score = weight * F.when(F.col("leaf").isin(*double), PHRASE_BOOST).otherwise(1.0) * bm25(F.col("tf"), F.col("n"), F.col("n_docs"), F.col("avg_len"), F.col("df")) + F.when(F.col("leaf").isin(*typed), weight).otherwise(0.0)
+        flags = rows.groupBy("doc_id").agg(F.collect_set("leaf").alias("__leaves"), F.sum(F.when(F.col("leaf").isin(*shown), score).otherwise(0.0)).alias("score"))
+        found = self.docs.join(flags, "doc_id", "inner" if positive(node) else "left").filter(cond)
+        return found.select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+    def scores(self, query: str, boosts: dict = BOOSTS, whole_word: bool = False) -> DataFrame:
+        return self.scored(query, boosts, whole_word)
+
+
+def last_of(node, words: list[str], whole_word: bool) -> tuple[Column, bool]:
+    """What the last word of a leaf asks of a term, and whether longer words count."""
+    written = isinstance(node, Q.Term) and node.prefix
+    prefix = isinstance(node, Q.Term) and (len(words[-1]) >= LEAST_WRITTEN if written else not whole_word and len(words[-1]) >= LEAST_PREFIX)
+    return F.startswith("term", F.lit(words[-1])) if prefix else F.col("term") == words[-1], prefix
+
+
+def field_stats(length: DataFrame) -> DataFrame:
+    return length.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len"))
+
+
+def bm25(tf: Column, n: Column, n_docs: Column, avg_len: Column, df: Column) -> Column:
+    idf = F.log(F.lit(1) + (n_docs - df + F.lit(0.5)) / (df + F.lit(0.5)))
+    return idf * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * n / avg_len))
 
 
 def positive(node) -> bool:
@@ -150,7 +177,7 @@ def positive(node) -> bool:
     return isinstance(node, (Q.Term, Q.Phrase)) and bool(T.query_tokens(node.text))
 
 
-def ranked(index: Index, query: str, limit: int = 10, offset: int = 0, boosts: dict = BOOSTS) -> DataFrame:
+def ranked(index: Index, query: str, limit: int = 10, offset: int = 0, boosts: dict = BOOSTS, whole_word: bool = False) -> DataFrame:
     """The best matches with their scores, ties by doc_id."""
-    hits = index.matches(query, whole_word=True).join(index.scores(query, boosts), "doc_id", "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 6))
+    hits = index.scored(query, boosts, whole_word).withColumn("score", F.round("score", 6))
     return hits.orderBy(F.desc("score"), "doc_id").offset(offset).limit(limit)

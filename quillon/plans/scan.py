@@ -137,6 +137,14 @@ def literal_regex(literal: str, case_sensitive: bool = False, whole_word: bool =
     return ("" if case_sensitive else "(?iu)") + body
 
 
+def exact_hit(literal: str, case_sensitive: bool = False, whole_word: bool = False) -> Column:
+    """Whether the content or the name of a row has the literal; true for one of white space."""
+    if not literal.strip():
+        return F.lit(True)
+    pattern = literal_regex(literal, case_sensitive, whole_word)
+    return F.coalesce(F.col("content").rlike(pattern), F.lit(False)) | F.col("name").rlike(pattern)
+
+
 def exact(df: DataFrame, literal: str, case_sensitive: bool = False, whole_word: bool = False) -> DataFrame:
     """Rows whose content or name has the literal. Its inner words select candidates before the expression verifies them;
     words with i, k or s do not, where case does not count, since other letters fold to these."""
@@ -157,3 +165,10 @@ def filename(df: DataFrame, query: str) -> DataFrame:
     for cond in [*map(field_condition, fields), *map(name_condition, rest.split())]:
         df = df.filter(cond)
     return df
+
+
+def name_score(words: list[str]) -> Column:
+    """How many of the words of a name query stand in the name as whole words of their own."""
+    tokens = [t for w in words for t in T.query_tokens(w.strip("*?"))]
+    own = T.tokens(F.col("name"))
+    return reduce(lambda a, b: a + b, [F.array_contains(own, t).cast("int") for t in tokens], F.lit(0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,6 +26,19 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder under ``spark.checkpoint.dir``, which driver and executors share; a temporary one where that is unset and
+    the session runs in one process (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        return f"file://{tempfile.mkdtemp(prefix='quillon-')}/{name}"
+    if base.startswith("/") and spark.sparkContext.master.startswith("local"):
+        base = f"file://{os.path.abspath(base)}"
+    return f"{base.rstrip('/')}/quillon-{uuid.uuid4().hex}/{name}"
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors, once per context, unless they find it already (PYTHONPATH or working folder)."""
     sc = spark.sparkContext

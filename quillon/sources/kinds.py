@@ -25,7 +25,7 @@ KINDS = {
     "ebook": "epub fb2 mobi azw azw3",
     "image": "png jpg jpeg gif bmp tif tiff webp heic heif ico psd raw cr2 nef dng",
     "text": "txt text md markdown mdown rst adoc asciidoc org tex bib log nfo srt vtt eml msg mbox pst ost vcf ics",
-    "code": "py rs js mjs ts jsx tsx java c h cpp cc hpp cs go rb php sh bash zsh fish ps1 bat cmd lua pl pm kt kts swift scala clj hs ml fs vb r jl dart asm s m mm groovy gradle cmake make mk proto graphql css scss less vue svelte",
+    "code": "diff patch editorconfig gitignore gitattributes rs c h cpp hpp cc hh cxx hxx cs java kt kts go py pyw rb php pl pm lua r scala swift m mm js jsx ts tsx mjs cjs vue svelte css scss sass less sh bash zsh fish ps1 psm1 psd1 bat cmd gradle cmake mk dockerfile tf hcl proto graphql gql dart ex exs erl hrl hs clj cljs fs fsx vb vbs asm s groovy jl nim zig sol ipynb rake gemspec cabal elm ml mli pas f90 f for ada adb ads lisp el scm rkt v sv vhd vhdl tcl awk sed",
 }
 #: Extensions that are never text. Fixed values.
 BINARY = (
