@@ -13,6 +13,8 @@ from .functions import text as T
 from .operators import files as O
 from .operators import members as M
 from .operators.literals import literal_matches
+from .operators.store import Store
+from .plans import highlight as H
 from .plans import index as I
 from .plans import literal as L
 from .plans import scan as S
@@ -21,6 +23,8 @@ from .plans.regex import regex_scan
 from .session import shared_folder
 from .sources.readers import extracted, html_title
 from .streaming import changes as C
+from .streaming.source import NAME as SOURCE
+from .streaming.source import register
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -163,7 +167,8 @@ query("head_excerpt", "SELECT doc_id, translate(substring(text, 1, 90), chr(10)
 @query("snippets")
 def snippets(spark, d):
     hits = S.smart(documents(spark, d), "with OR das")
-    return hits.select("doc_id", X.snippets_udf("with OR das")("content").alias("s")).select("doc_id", "s.count", "s.capped", F.to_json("s.snippets").alias("snippets"))
+    s = H.shown(hits, H.highlighter("smart", "with OR das"), keys=("doc_id",), heads=False)
+    return s.select("doc_id", F.col("snippets.count").alias("count"), F.col("snippets.capped").alias("capped"), F.to_json("snippets.snippets").alias("snippets"))
 
 
 @query("html_text")
@@ -316,3 +321,94 @@ def classify_changes(spark, d):
     path = F.when(k == 0, F.col("path")).when(k == 1, F.col("parent")).otherwise(F.concat(F.lit("/gone"), F.col("path")))
     there = docs.select("path", F.lit("file").alias("kind")).unionByName(docs.select(F.col("parent").alias("path"), F.lit("dir").alias("kind")).distinct())
     return C.classify(docs.select((F.col("doc_id") % 7).alias("root"), path.alias("path")), there)
+
+
+_PREFIX = "then"
+query(
+    "ranked_prefix",
+    f"""WITH {DOCS}, x AS (SELECT doc_id, f, weight, len(t) AS n, len(list_filter(t, lambda w: w = '{_PREFIX}')) AS tf, len(list_filter(t, lambda w: starts_with(w, '{_PREFIX}'))) AS hits
+  FROM (SELECT doc_id, 'content' AS f, 1.0::DOUBLE AS weight, toks AS t FROM d UNION ALL SELECT doc_id, 'name', 3.0::DOUBLE, [doc_id::VARCHAR, 'txt'] FROM d) WHERE len(t) > 0),
+ s AS (SELECT f, count(*) AS docs, avg(n) AS a, count_if(tf > 0) AS df FROM x GROUP BY f)
+ SELECT doc_id, round(sum(weight * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / a)) + weight), 6) AS score FROM x JOIN s USING (f) WHERE hits > 0 GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20""",
+)(lambda spark, d: I.ranked(_index(spark, d), _PREFIX, 20))
+
+_EXACT_SQL = r"regexp_matches(text, '(?i)and\s+the')"
+query("exact_indexed", f"SELECT doc_id FROM documents WHERE {_EXACT_SQL}")(lambda spark, d: L.exact(_literals(spark, d), "and the").select("doc_id"))
+query("regex_indexed", _REGEX_SQL)(lambda spark, d: L.regex(_literals(spark, d), _PATTERN).select("doc_id"))
+query("names_indexed", "SELECT doc_id, CASE WHEN doc_id = 12 THEN 2 ELSE 1 END AS score FROM documents WHERE contains(doc_id || '.txt', '12') AND regexp_matches(doc_id || '.txt', '^.*2\\.txt$')")(
+    lambda spark, d: L.filename(_literals(spark, d), "12 *2.txt").select("doc_id", "score")
+)
+
+
+def _impacts(parts: list[str], where: str, limit: int) -> str:
+    """A full sort of all matches by the impacts of their words."""
+    values = ", ".join(f"('{p}')" for p in parts)
+    return rf"""WITH w AS (SELECT doc_id, f, unnest(list_filter(string_split_regex(t, '\s+'), lambda x: x <> '')) AS word
+  FROM (SELECT doc_id, 'content' AS f, replace(lower(text), 'ß', 'ss') AS t FROM documents UNION ALL SELECT doc_id, 'name', doc_id || '.txt' FROM documents)),
+ n AS (SELECT f, doc_id, count(*) AS n FROM w GROUP BY ALL), a AS (SELECT f, avg(n) AS a FROM n GROUP BY f),
+ l AS (SELECT doc_id, part, max(floor(100 * CASE WHEN f = 'name' THEN 2 ELSE 1 END * tf / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / a)))::INT) AS level
+  FROM (SELECT f, doc_id, word, count(*) AS tf FROM w GROUP BY ALL) JOIN n USING (f, doc_id) JOIN a USING (f), (VALUES {values}) p(part) WHERE contains(word, part) GROUP BY ALL)
+ SELECT doc_id, sum(level)::DOUBLE AS score FROM l JOIN documents USING (doc_id) WHERE {where} GROUP BY doc_id HAVING count(DISTINCT part) = {len(parts)} ORDER BY score DESC, doc_id LIMIT {limit}"""
+
+
+query("exact_page", _impacts(["and", "the"], _EXACT_SQL, 10))(lambda spark, d: L.exact_page(_literals(spark, d), "and the", limit=10)[0])
+query("regex_page", _impacts(["then", "ing"], f"regexp_matches(text, '(?i){_PATTERN}')", 10))(lambda spark, d: L.regex_page(_literals(spark, d), _PATTERN, limit=10)[0])
+query("regex_scripts", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(?:^|[^\p{L}\p{M}\p{N}_])[\p{L}\p{M}\p{N}_]é[\p{L}\p{M}\p{N}_]+')")(
+    lambda spark, d: regex_scan(documents(spark, d), r"\b\wé[\w]+\b").select("doc_id")
+)
+query(
+    "regex_spans",
+    f"SELECT doc_id, len(regexp_extract_all(text, '(?i){_PATTERN}'))::INT AS matches, strpos(text, regexp_extract(text, '(?i){_PATTERN}')) - 1 AS first FROM documents WHERE regexp_matches(text, '(?i){_PATTERN}')",
+)(lambda spark, d: _spans(documents(spark, d), "regex", _PATTERN))
+query(
+    "exact_spans",
+    r"SELECT doc_id, len(regexp_extract_all(text, '(?i)and\s+the'))::INT AS matches, strpos(text, regexp_extract(text, '(?i)and\s+the')) - 1 AS first FROM documents WHERE regexp_matches(text, '(?i)and\s+the')",
+)(lambda spark, d: _spans(documents(spark, d), "exact", "and the"))
+
+
+def _spans(docs: DataFrame, mode: str, text: str) -> DataFrame:
+    found = H.shown(docs, H.highlighter(mode, text), "spans", keys=("doc_id",)).filter(F.size("spans") > 0)
+    return found.select("doc_id", F.size("spans").alias("matches"), F.col("spans")[0]["start"].cast("long").alias("first"))
+
+
+def _event_changes(events: DataFrame) -> DataFrame:
+    """Events as changes of files: errors remove a file, purchases rename one, the others write one."""
+    folder, k = F.concat(F.lit("/u/"), (F.col("user_id") % 40).cast("string"), F.lit("/")), F.col("event_id")
+    op = F.when(F.col("event_type") == "error", "remove").when(F.col("event_type") == "purchase", "rename").otherwise("upsert")
+    name = lambda n: F.concat(folder, (n % 9).cast("string"))
+    return events.select((F.col("user_id") % 40).alias("root"), name(k).alias("path"), op.alias("op"), F.when(op == "rename", name(k * 7)).alias("from_path"), F.when(op == "upsert", k + 1).alias("size"), F.when(op == "upsert", k).alias("mtime"), F.col("ts").cast("timestamp").alias("ts"), k.alias("seq"))
+
+
+_FOLD = """WITH RECURSIVE e AS (SELECT event_id AS id, ts, '/u/' || (user_id % 40) || '/' AS u, CASE event_type WHEN 'error' THEN 'remove' WHEN 'purchase' THEN 'rename' ELSE 'upsert' END AS op FROM events),
+ c AS (SELECT id, ts, op, u || (id % 9) AS path, u || (id * 7 % 9) AS from_path, CASE WHEN op = 'upsert' THEN id + 1 END AS size, CASE WHEN op = 'upsert' THEN id END AS mtime FROM e WHERE op <> 'rename' OR id % 9 <> id * 7 % 9),
+ t AS (SELECT id, ts, op, path AS place, op <> 'remove' AS filled FROM c UNION ALL SELECT id, ts, op, from_path, false FROM c WHERE op = 'rename'),
+ p AS (SELECT *, lag(id) OVER w AS b, lag(filled) OVER w AS bf FROM t WINDOW w AS (PARTITION BY place ORDER BY ts, id)),
+ src AS (SELECT id, place AS origin, b, bf FROM p WHERE op = 'rename' AND NOT filled),
+ fin AS (SELECT place AS path, id, filled FROM t QUALIFY row_number() OVER (PARTITION BY place ORDER BY ts DESC, id DESC) = 1),
+ walk(path, cur, size, mtime, origin) AS (SELECT fin.path, id, size, mtime, NULL::VARCHAR FROM fin JOIN c USING (id) WHERE filled
+  UNION ALL SELECT w.path, CASE WHEN bf THEN b END, coalesce(w.size, c.size), coalesce(w.mtime, c.mtime), CASE WHEN b IS NULL THEN s.origin END FROM walk w JOIN src s ON s.id = w.cur LEFT JOIN c ON bf AND c.id = s.b),
+ f AS (SELECT fin.path, CASE WHEN NOT filled THEN 'remove' WHEN origin IS NOT NULL THEN 'move' ELSE 'upsert' END AS op, origin AS from_path, size, mtime
+  FROM fin LEFT JOIN (SELECT * FROM walk WHERE cur IS NULL OR cur NOT IN (SELECT id FROM src)) w USING (path))"""
+query("fold_changes", f"{_FOLD} SELECT path, op, from_path, size, mtime FROM f")(lambda spark, d: C.fold(_event_changes(table(spark, d, "events"))).select("path", "op", "from_path", "size", "mtime"))
+
+
+@query("stream_changes", f"{_FOLD} SELECT path, size, mtime FROM f WHERE op = 'upsert'")
+def stream_changes(spark, d):
+    """The events read as a stream from their table, applied to a store; what the store then holds."""
+    register(spark)
+    table(spark, d, "events")  # sends the package to the executors
+    where = shared_folder(spark, "changes")
+    events = spark.readStream.format(SOURCE).option("path", f"{d}/events.parquet").option("state", f"{where}/state").load()
+    store = Store(spark, f"{where}/store")
+    run = _event_changes(events).writeStream.foreachBatch(C.into_store(store)).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return store.table("files").select("path", "size", "mtime")
+
+
+query(
+    "lost_changes",
+    f"""WITH {SIDES}, a AS (SELECT path, old_size AS size, old_mtime AS mtime, row_number() OVER (PARTITION BY old_size, old_mtime ORDER BY path) AS r FROM x WHERE action = 'deleted' AND NOT starts_with(path, '/corpus/src1/')),
+ b AS (SELECT path, size, mtime, row_number() OVER (PARTITION BY size, mtime ORDER BY path) AS r FROM x WHERE action = 'new'), m AS (SELECT a.path AS from_path, b.path, b.size, b.mtime FROM a JOIN b USING (size, mtime, r))
+ SELECT path, 'rename' AS op, from_path, size FROM m UNION ALL SELECT path, 'upsert', NULL, size FROM x WHERE action IN ('new', 'changed') AND path NOT IN (SELECT path FROM m)
+ UNION ALL SELECT path, 'remove', NULL, NULL FROM a WHERE path NOT IN (SELECT from_path FROM m)""",
+)(lambda spark, d: (lambda listing, old: C.lost_changes(old, listing, spark.createDataFrame([("/corpus/src1",)], "dir string")).select("path", "op", "from_path", "size"))(*_sides(spark, d)))

@@ -37,8 +37,10 @@ BATCH, GROWTH = 256, 4
 
 
 def canon(text: Column) -> Column:
-    """A form in which texts that are equal without case are equal."""
-    return F.translate(F.lower(F.upper(F.replace(text, F.lit("ẞ"), F.lit("ß")))), "ς̇", "σ")
+    """A form in which texts that are equal without case are equal. (The optimiser would take lower over upper for lower
+    alone, so something stands between them.)"""
+    upper = F.translate(F.upper(F.replace(text, F.lit("ẞ"), F.lit("ß"))), "\u0307", "")
+    return F.translate(F.lower(upper), "ς\u0307", "σ")
 
 
 def canon_of(text: str) -> str:

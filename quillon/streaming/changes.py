@@ -75,7 +75,8 @@ def pair_renames(changes: DataFrame, wait_ms: int = 600) -> DataFrame:
     """A stream of (root, path, op, ts, cookie): rename_from and rename_to with one cookie become a rename; what finds no
     partner within ``wait_ms`` of processing time becomes a remove or an upsert. Other operations pass.
 
-    Each cookie of a root has a state and a deadline of its own, so traffic on a root keeps no half waiting."""
+    Each cookie of a root has a state and a deadline of its own, so traffic on a root keeps no half waiting. Spark runs batches
+    without data for such deadlines, also under the trigger availableNow, which therefore does not end by itself."""
     changes = whole(changes)
     names = ["root", "op", "path", "from_path", "ts", "seq", "size", "mtime"]
     schema = "root long, op string, path string, from_path string, ts timestamp, seq long, size long, mtime long"
@@ -214,14 +215,18 @@ def reconcile(store: Store, listing: DataFrame, failed_dirs: DataFrame | None =
 
 
 def into_store(store: Store):
-    """A foreachBatch function that applies each batch to the store's table ``files``, once."""
+    """A foreachBatch function that applies each batch to the store's table ``files``, once. The batch is written first, so
+    that a stream with state is run once for all that is asked of it; an empty one makes no generation."""
 
     def run(batch: DataFrame, number: int) -> None:
+        batch = _cut(batch, batch.sparkSession)
         files = store.table("files")
         if files is None:  # the first batch makes the table
             names = [c for c in batch.columns if c not in ("op", "from_path", "root", "ts", "seq", "cookie", "n", "start", "last_ts")]
             files = batch.select(*names).limit(0)
-        store.commit(number, files=apply_changes(files, batch))
+            store.commit(number, files=apply_changes(files, batch))
+        elif not batch.isEmpty():
+            store.commit(number, files=apply_changes(files, batch))
 
     return run
 
