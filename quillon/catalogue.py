@@ -14,6 +14,7 @@ from .operators import files as O
 from .operators import members as M
 from .operators.literals import literal_matches
 from .operators.store import Store
+from .plans import contents as K
 from .plans import highlight as H
 from .plans import index as I
 from .plans import literal as L
@@ -412,3 +413,13 @@ query(
  SELECT path, 'rename' AS op, from_path, size FROM m UNION ALL SELECT path, 'upsert', NULL, size FROM x WHERE action IN ('new', 'changed') AND path NOT IN (SELECT path FROM m)
  UNION ALL SELECT path, 'remove', NULL, NULL FROM a WHERE path NOT IN (SELECT from_path FROM m)""",
 )(lambda spark, d: (lambda listing, old: C.lost_changes(old, listing, spark.createDataFrame([("/corpus/src1",)], "dir string")).select("path", "op", "from_path", "size"))(*_sides(spark, d)))
+
+
+query("content_copies", "SELECT sha256(coalesce(text, '')) AS hash, min(doc_id) AS first, count(*) AS n FROM documents GROUP BY 1")(lambda spark, d: K.copies(documents(spark, d)))
+
+
+@query("content_index", f"WITH {DOCS} SELECT doc_id FROM d WHERE {_has(' with')} AND NOT {_has(' for')}")
+def content_index(spark, d):
+    """A search over postings of distinct texts."""
+    where = _written(spark, d, "contents", lambda docs, at: K.Contents(spark, at).add(docs))
+    return K.Contents(spark, where).index(documents(spark, d)).matches("with -for")
