@@ -122,7 +122,7 @@ query("regex_prefiltered", _REGEX_SQL)(lambda spark, d: regex_scan(documents(spa
 query("filename_mode", "SELECT doc_id FROM documents WHERE contains(doc_id || '.txt', '1') AND regexp_matches(doc_id || '.txt', '^.*5\\.txt$')")(lambda spark, d: S.filename(documents(spark, d), "1 *5.txt").select("doc_id"))
 
 query("term_stats", f"WITH t AS (SELECT doc_id, unnest({FOLDED}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term")(
-    lambda spark, d: I.term_stats(I.postings(documents(spark, d), ("content",))).select("term", "df", "cf")
+    lambda spark, d: I.term_counts(documents(spark, d), ("content",)).select("term", "df", "cf")
 )
 query(
     "postings",

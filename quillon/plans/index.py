@@ -44,6 +44,11 @@ def term_stats(posts: DataFrame) -> DataFrame:
     return posts.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def term_counts(df: DataFrame, fields: tuple = FIELDS) -> DataFrame:
+    """The same straight from documents, without lists of positions."""
+    return term_stats(positions(df, fields).groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf")))
+
+
 def write(df: DataFrame, where: str, partitions: int | None = None) -> None:
     """Writes postings (ranges of terms, sorted), lengths and field statistics under ``where``."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
