@@ -19,6 +19,7 @@ from .plans import highlight as H
 from .plans import index as I
 from .plans import literal as L
 from .plans import scan as S
+from .plans import texts as P
 from .plans.corpus import EPOCH, documents, table
 from .plans.regex import regex_scan
 from .session import shared_folder
@@ -423,3 +424,14 @@ def content_index(spark, d):
     """A search over postings of distinct texts."""
     where = _written(spark, d, "contents", lambda docs, at: K.Contents(spark, at).add(docs))
     return K.Contents(spark, where).index(documents(spark, d)).matches("with -for")
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> str:
+    return _written(spark, sf_dir, "texts", P.write)
+
+
+@query("text_page", f"WITH {DOCS} SELECT doc_id, path, sha256(text) AS hash, strlen(text) AS bytes FROM d WHERE {_has(' with')} ORDER BY mtime DESC, doc_id LIMIT 200")
+def text_page(spark, d):
+    """A page of hits with their texts, read by key from the table of texts."""
+    page = _index(spark, d).matches("with").join(documents(spark, d).select("doc_id", "path", "mtime"), "doc_id").orderBy(F.desc("mtime"), "doc_id").limit(200)
+    return P.with_texts(page, _texts(spark, d)).select("doc_id", "path", F.sha2(F.col("content").cast("binary"), 256).alias("hash"), "bytes")
