@@ -12,6 +12,7 @@ from .functions import excerpt as X
 from .functions import text as T
 from .operators import files as O
 from .operators import members as M
+from .operators import migrate as G
 from .operators.literals import literal_matches
 from .operators.store import Store
 from .plans import contents as K
@@ -435,3 +436,28 @@ def text_page(spark, d):
     """A page of hits with their texts, read by key from the table of texts."""
     page = _index(spark, d).matches("with").join(documents(spark, d).select("doc_id", "path", "mtime"), "doc_id").orderBy(F.desc("mtime"), "doc_id").limit(200)
     return P.with_texts(page, _texts(spark, d)).select("doc_id", "path", F.sha2(F.col("content").cast("binary"), 256).alias("hash"), "bytes")
+
+
+def _old_store(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents of an older version, the catalog and the stored texts: of ten documents the catalog has lost one, one text is
+    not stored, and long ones were cut."""
+    docs, k = documents(spark, d), F.col("doc_id") % 10
+    text = docs.filter(k != 4).select("path", "content", (F.col("size") > 1500).alias("cut"))
+    return docs, _files(spark, d).filter(k != 6), text
+
+
+MIGRATION = f"""{FILES}, m AS (SELECT d.doc_id, d.path, CASE WHEN f.dir = '/corpus/src1/en/' THEN 'container' WHEN status NOT IN (0, 4) THEN 'no_content' WHEN d.doc_id % 10 = 4 THEN 'not_stored' WHEN d.size > 1500 THEN 'cut' ELSE 'stored' END AS reason,
+ d.text, f.size, f.mtime FROM d JOIN f ON d.path = f.path AND d.doc_id % 10 <> 6)"""
+
+
+def _migration(spark, d) -> DataFrame:
+    return G.plan(*_old_store(spark, d), container=F.col("dir") == "/corpus/src1/en/")
+
+
+query("migration_plan", f"WITH {MIGRATION} SELECT path, CASE WHEN reason IN ('stored', 'no_content') THEN 'rebuild' ELSE 'read' END AS action, reason FROM m")(lambda spark, d: _migration(spark, d).select("path", "action", "reason"))
+
+
+@query("migrated_documents", f"WITH {MIGRATION} SELECT doc_id, size, mtime, CASE WHEN reason = 'stored' THEN sha256(text) END AS hash FROM m WHERE reason IN ('stored', 'no_content')")
+def migrated_documents(spark, d):
+    old, _, texts = _old_store(spark, d)
+    return G.rebuilt(old, _migration(spark, d), texts).select("doc_id", "size", "mtime", F.sha2(F.col("content").cast("binary"), 256).alias("hash"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import query as Q
 from ..functions import text as T
 from ..operators import files as O
-from ..operators.store import Store
+from ..operators import migrate
+from ..operators.store import SCHEMA_VERSION, Store
 from ..sources.readers import extracted
 from ..sources.scan import Filter, kind, scan
 from . import highlight as H
@@ -251,6 +253,24 @@ class Engine:
         new = {"documents": docs} | self._indexed(I.postings(self.spark.read.parquet(docs)))
         self.store.commit(gone=self.spark.createDataFrame([], "doc_id long"), **new)
 
+    def upgrade(self, done: Callable[[dict[str, int]], None] | None = None) -> dict[str, int]:
+        """Takes over a store of an older version: the index is made anew from the stored texts, and files whose text was cut
+        are taken as changed by the next scan. Nothing is visible until all is there, so one that was stopped begins again.
+        Returns how many documents were rebuilt and how many wait for the scan, and hands that to ``done``; a store of this
+        version stays as it is and gives nothing."""
+        docs = self._live("documents")
+        if docs is None or self.store.manifest()["version"] == SCHEMA_VERSION:
+            return {}
+        cut = F.col("flags").bitwiseAND(F.lit(O.FLAGS["truncated"])) != 0
+        planned = self._draft("planned", migrate.plan(docs, docs, docs.filter("content IS NOT NULL").select("path", cut.alias("cut"))))
+        new = self.store.draft("documents", migrate.to_read(docs, planned))
+        self.store.commit(gone=self.spark.createDataFrame([], "doc_id long"), documents=new, **self._indexed(I.postings(self.spark.read.parquet(new))))
+        counts = {r.action: r.n for r in planned.groupBy("action").agg(F.count("*").alias("n")).collect()}  # two rows at most
+        out = {"rebuilt": counts.get("rebuild", 0), "read": counts.get("read", 0)}
+        if done:
+            done(out)
+        return out
+
 
 def version_id(generation: int) -> Column:
     """A number for each row that is written in a generation, used once: 19 bits for the generation, 20 for the task, 24 for
