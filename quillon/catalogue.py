@@ -408,6 +408,24 @@ def stream_changes(spark, d):
     return store.table("files").select("path", "size", "mtime")
 
 
+@query("gathered_changes", f"{_FOLD} SELECT path, size, mtime FROM f WHERE op = 'upsert'")
+def gathered_changes(spark, d):
+    """The events read in batches of a bounded size, which a policy commits together; what the store then holds."""
+    register(spark)
+    table(spark, d, "events")  # sends the package to the executors
+    where = shared_folder(spark, "gathered")
+    events = spark.readStream.format(SOURCE).option("path", f"{d}/events.parquet").option("state", f"{where}/state").option("bytesPerBatch", 64 << 20).load()
+    store = Store(spark, f"{where}/store")
+    waiting = C.Gathering(store, f"{where}/waiting")
+    run = _event_changes(events).writeStream.foreachBatch(waiting).option("checkpointLocation", f"{where}/checkpoint").start()
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    waiting.finish()
+    return store.table("files").select("path", "size", "mtime")
+
+
 query(
     "lost_changes",
     f"""WITH {SIDES}, a AS (SELECT path, old_size AS size, old_mtime AS mtime, row_number() OVER (PARTITION BY old_size, old_mtime ORDER BY path) AS r FROM x WHERE action = 'deleted' AND NOT starts_with(path, '/corpus/src1/')),

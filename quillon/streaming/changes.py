@@ -6,7 +6,10 @@ from_path of a whole rename, and seq, which orders changes of one ts. Each step
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -218,17 +221,87 @@ def into_store(store: Store):
     """A foreachBatch function that applies each batch to the store's table ``files``, once. The batch is written first, so
     that a stream with state is run once for all that is asked of it; an empty one makes no generation."""
 
-    def run(batch: DataFrame, number: int) -> None:
-        batch = _cut(batch, batch.sparkSession)
-        files = store.table("files")
-        if files is None:  # the first batch makes the table
-            names = [c for c in batch.columns if c not in ("op", "from_path", "root", "ts", "seq", "cookie", "n", "start", "last_ts")]
-            files = batch.select(*names).limit(0)
-            store.commit(number, files=apply_changes(files, batch))
-        elif not batch.isEmpty():
-            store.commit(number, files=apply_changes(files, batch))
-
-    return run
+    return lambda batch, number: _apply(store, _cut(batch, batch.sparkSession), number)
+
+
+def _apply(store: Store, changes: DataFrame, number: int) -> None:
+    files = store.table("files")
+    if files is None:  # the first changes make the table
+        names = [c for c in changes.columns if c not in ("op", "from_path", "root", "ts", "seq", "cookie", "n", "start", "last_ts")]
+        files = changes.select(*names).limit(0)
+        store.commit(number, files=apply_changes(files, changes))
+    elif not changes.isEmpty():
+        store.commit(number, files=apply_changes(files, changes))
+
+
+@dataclass
+class Policy:
+    """When what waits is committed: as soon as it has so many rows or bytes, or its first batch is so many seconds old."""
+
+    rows: int = 1_000_000
+    bytes: int = 256 << 20
+    seconds: float = 30.0
+
+
+class Gathering:
+    """A foreachBatch function that commits several batches as one generation, by a policy.
+
+    Each batch is written to the folder ``where``, which driver and executors share, before its trigger ends, so a stream that
+    was stopped loses none: those that the store has not seen are found there again, a batch that is replayed is written
+    over, and one that the store has seen is passed over. What waits is folded together, by ts and seq. ``finish`` commits
+    what is left when a stream has ended. The table ``files`` is read and written once for a commit, not for a batch.
+    """
+
+    def __init__(self, store: Store, where: str, policy: Policy | None = None):
+        self.store, self.where, self.policy = store, where.rstrip("/"), policy or Policy()
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        if number <= self.store.manifest()["batch"]:
+            return
+        fs, at = self.store.fs, f"{self.where}/batch-{number}"
+        fs.delete(self.store.path(f"{at}.done"), False)
+        batch.write.mode("overwrite").parquet(at)
+        fs.create(self.store.path(f"{at}.done"), True).close()
+        if self.due():
+            self.finish()
+
+    def _written(self) -> list[int]:
+        fs, folder = self.store.fs, self.store.path(self.where)
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(int(x[6:-5]) for x in names if re.fullmatch(r"batch-\d+\.done", x))
+
+    def waiting(self) -> list[int]:
+        """Numbers of the batches that are written whole and not committed, in order."""
+        seen = self.store.manifest()["batch"]
+        return [n for n in self._written() if n > seen]
+
+    def _read(self, numbers: list[int]) -> DataFrame:
+        return self.store.spark.read.parquet(*[f"{self.where}/batch-{n}" for n in numbers])
+
+    def due(self) -> bool:
+        numbers, p = self.waiting(), self.policy
+        if not numbers:
+            return False
+        first = self.store.fs.getFileStatus(self.store.path(f"{self.where}/batch-{numbers[0]}.done")).getModificationTime()
+        if time.time() - first / 1000 >= p.seconds or sum(self.store.bytes(f"{self.where}/batch-{n}") for n in numbers) >= p.bytes:
+            return True
+        return self._read(numbers).count() >= p.rows  # from the footers
+
+    def finish(self) -> int:
+        """Commits what waits; how many batches that was."""
+        numbers = self.waiting()
+        if numbers:
+            changes = self._read(numbers)
+            if changes.isEmpty() and self.store.table("files") is not None:
+                self.store.commit(numbers[-1])
+            else:
+                _apply(self.store, changes, numbers[-1])
+        seen = self.store.manifest()["batch"]
+        for n in self._written():  # also what a run that was stopped has left
+            if n <= seen:
+                self.store.fs.delete(self.store.path(f"{self.where}/batch-{n}"), True)
+                self.store.fs.delete(self.store.path(f"{self.where}/batch-{n}.done"), False)
+        return len(numbers)
 
 
 def classify(changed: DataFrame, listing: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 The table is a folder of Parquet files that only grows: files are read in the order of their names, rows in the order in
 which they stand. An offset is a number of files and of rows in the next one. A batch is a range of offsets, cut at files
 and at ``partitionRows``, so each task reads a bounded slice of one file. With ``rowsPerBatch`` a batch takes that many rows
-at most, and the rest waits in the table: a burst makes more batches, not larger ones.
+at most, with ``bytesPerBatch`` that many bytes (uncompressed, as the row groups tell; one row at least), and the rest waits
+in the table: a burst makes more batches, not larger ones.
 
 Commits are noted in the folder ``state`` where one is given; a query that is started again without its checkpoint goes on
 from there.
@@ -45,6 +46,16 @@ def rows_in(folder: str, file: str) -> int:
     return pq.read_metadata(place(folder)[0].open_input_file(file)).num_rows
 
 
+def groups_in(folder: str, file: str, start: int) -> Iterator[tuple[int, float]]:
+    """(rows, bytes of a row) of what each row group of a file holds from row ``start`` on."""
+    table = pq.read_metadata(place(folder)[0].open_input_file(file))
+    for g in (table.row_group(k) for k in range(table.num_row_groups)):
+        left = min(g.num_rows, max(g.num_rows - start, 0))
+        start = max(start - g.num_rows, 0)
+        if left:
+            yield left, g.total_byte_size / g.num_rows
+
+
 class Slice(InputPartition):
     """Rows from ``start`` up to ``end`` of one file."""
 
@@ -78,7 +89,7 @@ def read_slice(folder: str, part: Slice, schema: pa.Schema) -> Iterator[pa.Recor
 
 
 class ChangeSource(DataSource):
-    """Options: path (the folder), rowsPerBatch, partitionRows (100,000), state. The schema is the table's unless one is given."""
+    """Options: path (the folder), rowsPerBatch, bytesPerBatch, partitionRows (100,000), state. The schema is the table's unless one is given."""
 
     @classmethod
     def name(cls) -> str:
@@ -111,10 +122,10 @@ class TableReader(DataSourceReader):
 class ChangeReader(DataSourceStreamReader):
     def __init__(self, options: dict, schema: pa.Schema):
         self.folder, self.rows, self.schema_ = options["path"], int(options.get("partitionRows", 100_000)), schema
-        self.most = int(options["rowsPerBatch"]) if "rowsPerBatch" in options else None
+        self.most, self.bytes = (float(options.get(k, "inf")) for k in ("rowsPerBatch", "bytesPerBatch"))
         self.state = options.get("state")
-        if self.most is not None and not self.state:
-            raise ValueError("rowsPerBatch needs state: a reader that starts again must know what was read")
+        if min(self.most, self.bytes) < float("inf") and not self.state:
+            raise ValueError("rowsPerBatch and bytesPerBatch need state: a reader that starts again must know what was read")
         self.at = self._noted()
 
     def _noted(self) -> tuple[int, int]:
@@ -132,16 +143,15 @@ class ChangeReader(DataSourceStreamReader):
         return dict(zip(("file", "row"), self._noted()))
 
     def latestOffset(self) -> dict:
-        """The end of what is there, or ``rowsPerBatch`` rows after the end of the last batch."""
-        names, (k, row), left = files_of(self.folder), self.at, self.most
+        """The end of what is there, or as far after the end of the last batch as a batch may go."""
+        names, (k, row), rows, size, taken = files_of(self.folder), self.at, self.most, self.bytes, 0
         while k < len(names):
-            here = rows_in(self.folder, names[k]) - row
-            if left is not None and here > left:
-                row, left = row + left, 0
-                break
-            left = None if left is None else left - here
+            for here, each in groups_in(self.folder, names[k], row):
+                can = int(min(here, rows, max(size // max(each, 1e-9), 0 if taken else 1)))
+                row, rows, size, taken = row + can, rows - can, size - can * each, taken + can
+                if can < here:
+                    return {"file": k, "row": row}
             if k + 1 == len(names):  # the last file may be all there is for now: stay behind its rows
-                row += here
                 break
             k, row = k + 1, 0
         return {"file": k, "row": row}

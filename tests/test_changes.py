@@ -1,11 +1,13 @@
 import random
 import time
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators.store import Store
 from quillon.streaming import changes as C
+from quillon.streaming import source as S
 from quillon.streaming.source import NAME, files_of, register
 
 SCHEMA = "path string, op string, from_path string, size long, mtime long, ts timestamp, seq long"
@@ -140,3 +142,72 @@ def test_store_refuses_a_second_writer(spark, tmp_path):
     store.manifest = lambda: late
     with pytest.raises(RuntimeError):
         store.commit(t=spark.range(3))
+
+
+CHANGES = "root long, path string, op string, from_path string, size long, mtime long, ts timestamp, seq long"
+
+
+def burst(spark, n=40):
+    """Files that are written, moved on and removed, in the order of time."""
+    ops = [(0, f"/f{k % 7}", "rename" if k % 5 == 4 else "remove" if k % 11 == 10 else "upsert", f"/f{(k + 3) % 7}" if k % 5 == 4 else None, k, k, k) for k in range(n)]
+    return spark.createDataFrame(ops, "root long, path string, op string, from_path string, size long, mtime long, seq long").selectExpr("root", "path", "op", "from_path", "size", "mtime", "timestamp_seconds(seq) as ts", "seq")
+
+
+def held(store):
+    return sorted(tuple(r) for r in store.table("files").select("path", "size", "mtime").collect())
+
+
+def test_a_burst_is_committed_by_policy_and_nothing_is_lost(spark, tmp_path):
+    register(spark)
+    burst(spark).coalesce(1).write.option("parquet.block.size", 256).parquet(f"file://{tmp_path}/table")
+    one, many = (Store(spark, f"file://{tmp_path}/{k}") for k in ("one", "many"))
+    C.into_store(one)(burst(spark), 0)
+    sizes = []
+
+    def start(waiting):
+        stream = spark.readStream.format(NAME).option("path", f"{tmp_path}/table").option("state", f"{tmp_path}/state").option("rowsPerBatch", 6).schema(CHANGES).load()
+
+        def run(batch, number):
+            sizes.append(batch.count())
+            waiting(batch, number)
+
+        return stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{tmp_path}/cp").start()
+
+    waiting = C.Gathering(many, f"file://{tmp_path}/waiting", C.Policy(rows=15, seconds=3600))
+    q = start(waiting)
+    q.processAllAvailable()
+    q.stop()
+    assert sum(sizes) == 40 and max(sizes) <= 6
+    assert many.manifest()["generation"] == 2 and len(waiting.waiting()) == 1  # 18 rows each; 4 wait
+    again = C.Gathering(many, f"file://{tmp_path}/waiting")  # after a restart
+    assert again.waiting() == waiting.waiting() and again.finish() == 1 and again.finish() == 0
+    assert held(many) == held(one) and many.manifest()["generation"] == 3
+    again(burst(spark), many.manifest()["batch"])  # a replay of what the store has seen
+    assert again.waiting() == [] and held(many) == held(one)
+
+
+def test_policy_of_bytes_and_age(spark, tmp_path):
+    for k, policy in enumerate((C.Policy(bytes=1), C.Policy(seconds=0), C.Policy())):
+        store = Store(spark, f"file://{tmp_path}/{k}")
+        waiting = C.Gathering(store, f"file://{tmp_path}/w{k}", policy)
+        waiting(burst(spark, 3), 0)
+        assert waiting.waiting() == ([0] if k == 2 else [])
+        waiting(burst(spark, 3).limit(0), 1)
+        assert waiting.finish() == (2 if k == 2 else 0) and store.manifest()["batch"] == 1
+
+
+def test_batches_of_bounded_bytes(tmp_path):
+    import pyarrow as pa
+
+    (tmp_path / "t").mkdir()
+    pq.write_table(pa.table({"k": list(range(1000)), "s": [f"{i:060d}" for i in range(1000)]}), tmp_path / "t/a.parquet", row_group_size=100, compression="none", use_dictionary=False)
+    size = sum(n * each for n, each in S.groups_in(str(tmp_path / "t"), str(tmp_path / "t/a.parquet"), 0))
+    r = S.ChangeReader({"path": str(tmp_path / "t"), "state": str(tmp_path / "s"), "bytesPerBatch": str(int(size / 4))}, pa.schema([("k", pa.int64())]))
+    at, rows = r.initialOffset(), []
+    while (end := r.latestOffset()) != at:
+        rows.append(sum(p.end - p.start for p in r.partitions(at, end)))
+        at = end
+    assert sum(rows) == 1000 and len(rows) <= 6 and max(rows) <= 251
+    r.bytes = 1.0  # less than a row: one row each
+    r.at = (0, 0)
+    assert r.latestOffset() == {"file": 0, "row": 1}
