@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import excerpt as X
@@ -222,10 +222,29 @@ def _files(spark, d) -> DataFrame:
     return documents(spark, d).join(known, "doc_id", "left").select("doc_id", "path", "dir", "size", "mtime", status.alias("status"), root.alias("root"), F.when(status == 2, F.lit(32)).when(status == 3, F.lit(17)).when(status == 1, F.lit(8)).otherwise(F.lit(0)).cast("long").alias("flags"))
 
 
+def _gaps(events: DataFrame) -> DataFrame:
+    """Times between the events of a user, by the type of the later one."""
+    last = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    us = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(last.cast("timestamp"))
+    found = O.percentiles(events.select("event_type", us.alias("us")), "us", ("event_type",))
+    return found.select("event_type", "n", *[F.round(c, 2).alias(c) for c in ("mean", "p50", "p95", "p99")])
+
+
 FILES = f"""{DOCS}, k AS (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
  f AS (SELECT d.doc_id, path, parent || '/' AS dir, size, mtime, doc_id % 7 AS root, CASE WHEN quality IS NULL THEN 1 WHEN quality = 0 THEN 2 WHEN toxic = 1 THEN 3 ELSE 0 END AS status FROM d LEFT JOIN k USING (doc_id))"""
 query("status_counts", f"WITH {FILES} SELECT status, count(*) AS n FROM f GROUP BY status")(lambda spark, d: O.status_counts(_files(spark, d)))
 query("root_counts", f"WITH {FILES} SELECT root, count(*) AS n FROM f WHERE status <> 6 GROUP BY root")(lambda spark, d: O.root_counts(_files(spark, d)))
+query(
+    "root_info",
+    f"""WITH {FILES}, r AS (SELECT DISTINCT doc_id % 10 AS root, '/root/' || (doc_id % 10) AS path FROM documents),
+ c AS (SELECT root, count(*) AS files, sum(size)::BIGINT AS bytes, count_if(status IN (2, 3, 4, 5))::BIGINT AS problems, max(mtime) AS last_mtime FROM f WHERE status <> 6 GROUP BY root)
+ SELECT r.root, r.path, coalesce(files, 0) AS files, coalesce(bytes, 0) AS bytes, coalesce(problems, 0) AS problems, last_mtime FROM r LEFT JOIN c USING (root)""",
+)(lambda spark, d: O.root_info(table(spark, d, "documents").select((F.col("doc_id") % 10).alias("root")).distinct().withColumn("path", F.concat(F.lit("/root/"), F.col("root").cast("string"))), _files(spark, d)))
+query(
+    "time_percentiles",
+    """WITH g AS (SELECT event_type, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS us FROM events)
+ SELECT event_type, count(us) AS n, round(avg(us), 2) AS mean, round(quantile_cont(us::DOUBLE, 0.5), 2) AS p50, round(quantile_cont(us::DOUBLE, 0.95), 2) AS p95, round(quantile_cont(us::DOUBLE, 0.99), 2) AS p99 FROM g WHERE us IS NOT NULL GROUP BY event_type""",
+)(lambda spark, d: _gaps(table(spark, d, "events")))
 query("file_totals", f"WITH {FILES} SELECT count(*) AS files, 0::BIGINT AS pending_ocr, sum(size)::BIGINT AS bytes FROM f")(lambda spark, d: O.totals(_files(spark, d)))
 query("problems_page", f"WITH {FILES} SELECT path, status FROM f WHERE status IN (2, 3, 4, 5) AND contains(lower(path), 'src1') ORDER BY path LIMIT 50 OFFSET 10")(
     lambda spark, d: O.problems(_files(spark, d), None, "%SRC1_", 50, 10).select("path", "status")

@@ -66,6 +66,31 @@ def root_counts(files: DataFrame) -> DataFrame:
     return files.filter("status <> 6").groupBy("root").agg(F.count("*").alias("n"))
 
 
+def root_info(roots: DataFrame, files: DataFrame) -> DataFrame:
+    """(root, path, files, bytes, problems, last_mtime) of every root (root, path), also of one without files. Ignored files
+    do not count; a null size counts as none. Files are summed before they meet the roots."""
+    seen = files.filter("status <> 6").groupBy("root").agg(
+        F.count("*").alias("files"), F.sum("size").alias("bytes"), F.count_if(F.col("status").isin(*PROBLEMS)).alias("problems"), F.max("mtime").alias("last_mtime")
+    )
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return roots.select("root", "path").join(seen, "root", "left").select("root", "path", none("files"), none("bytes"), none("problems"), "last_mtime")
+
+
+def percentiles(rows: DataFrame, value: str, by: tuple = (), shares: tuple = (0.5, 0.95, 0.99)) -> DataFrame:
+    """n, mean, p50, p95 and p99 (for the default ``shares``) of a numeric column, for each group of ``by``.
+
+    A percentile is interpolated between the two values about it; nulls do not count and a group of nulls only has none.
+    Equal values are counted first, by group and value, so that a hot group is spread; what is then merged for a group are
+    its distinct values with their counts.
+    """
+    keys = list(by)
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    found = counted.groupBy(*keys).agg(
+        F.sum("__n").alias("n"), (F.sum(F.col("__v") * F.col("__n")) / F.sum("__n")).alias("mean"), F.percentile("__v", F.array(*map(F.lit, shares)), F.col("__n")).alias("__p")
+    )
+    return found.select(*keys, "n", "mean", *[F.col("__p")[k].alias(f"p{s * 100:g}".replace(".", "_")) for k, s in enumerate(shares)])
+
+
 def totals(files: DataFrame) -> DataFrame:
     return files.agg(F.count_if(F.col("status") != 6).alias("files"), F.count_if(F.col("status") == 4).alias("pending_ocr"), F.sum(F.when(F.col("status") != 6, F.col("size"))).alias("bytes"))
 

@@ -72,3 +72,19 @@ def test_problems_flags_touch_recheck(spark):
     assert [r.path for r in O.pending_ocr(f).collect()] == ["/a/y.pst"]
     assert [r.n for r in f.select(O.flag_names(f.flags).alias("n")).collect()] == [["failed"], ["needs_ocr"], []]
     assert sorted(r.mtime for r in O.recheck(f, f.path.endswith(".pst")).collect()) == [-1, 1, 1]
+
+
+def test_every_root_has_a_row(spark):
+    roots = spark.createDataFrame([(1, "/a"), (2, "/b"), (3, "/c")], "root int, path string")
+    files = spark.createDataFrame([(1, 5, 9, 0), (1, None, 3, 2), (1, 7, 99, 6), (3, 4, None, 4), (8, 1, 1, 0)], "root int, size long, mtime long, status int")
+    got = {r.root: tuple(r)[1:] for r in O.root_info(roots, files).collect()}
+    assert got == {1: ("/a", 2, 5, 1, 9), 2: ("/b", 0, 0, 0, None), 3: ("/c", 1, 4, 1, None)}
+    assert O.root_info(roots, files.limit(0)).agg({"files": "sum"}).first()[0] == 0
+
+
+def test_percentiles(spark):
+    rows = spark.createDataFrame([("a", float(k)) for k in range(1, 101)] + [("b", 7.0), ("b", 7.0), ("b", None), ("c", None)], "g string, v double")
+    got = {r.g: r for r in O.percentiles(rows, "v", ("g",)).collect()}
+    assert set(got) == {"a", "b"} and (got["a"].n, got["a"].mean, got["a"].p50, round(got["a"].p99, 6)) == (100, 50.5, 50.5, 99.01)
+    assert (got["b"].n, got["b"].p50, got["b"].p95) == (2, 7.0, 7.0)
+    assert O.percentiles(rows.limit(0), "v", ("g",)).count() == 0
