@@ -19,6 +19,7 @@ from .plans import contents as K
 from .plans import highlight as H
 from .plans import index as I
 from .plans import literal as L
+from .plans import nodes as _nodes  # noqa: F401  adds begins: to the language
 from .plans import scan as S
 from .plans import texts as P
 from .plans.corpus import EPOCH, documents, table
@@ -104,6 +105,7 @@ _smart("filter_modified_after", "modified:>2024-01 with", f"mtime >= epoch(DATE
 _smart("filter_size", "size:<=2kb", "size < 2049")
 _smart("filter_size_range", "size:1kb..1.5kb with", f"size >= 1024 AND size < 1537 AND {_has(' with')}")
 _smart("case_sensitive", "The", f"contains(' ' || array_to_string({AS_IS}, ' ') || ' ', ' The')", case_sensitive=True)
+_smart("own_node", "begins:the OR (begins:der -for)", "starts_with(c, ' the ') OR (starts_with(c, ' der ') AND NOT " + _has(" for") + ")")
 _smart("ui_filters", "with", f"size >= 1000 AND size <= 3000 AND mtime < {EPOCH + 900 * 3600} AND starts_with(parent || '/', '/corpus/src2/') AND {_has(' with')}", filters=lambda: S.ui_filters(("txt",), ("text",), ("/corpus/src2",), None, EPOCH + 900 * 3600, 1000, 3000))
 
 

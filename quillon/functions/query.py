@@ -61,6 +61,35 @@ class Not:
     part: object
 
 
+@dataclass(frozen=True)
+class Own:
+    """A node that a user of the library adds to the language, written ``name:value``.
+
+    A subclass says twice what it matches, and both must agree: ``condition`` for a scan, a Column over the joined tokens of
+    the fields (``__content`` and so on), and ``rows`` for an index, (doc_id, field, tf) with one row for each document and
+    field. Its hits are scored as those of a word are, times ``weight``. It shows no spans.
+    """
+
+    value: str
+    weight = 1.0
+
+    def condition(self, fields: tuple):
+        raise NotImplementedError
+
+    def rows(self, index):
+        raise NotImplementedError
+
+
+OWN: dict[str, type[Own]] = {}
+
+
+def register(name: str, node: type[Own]) -> None:
+    """Adds a node under a name of letters, in either case; the language's own fields cannot be replaced."""
+    if not re.fullmatch("[A-Za-z]+", name) or name.lower() in FIELDS:
+        raise QueryError(f"not a name for a node: {name}")
+    OWN[name.lower()] = node
+
+
 #: The pieces of a query, tried in this order.
 _PIECES = re.compile(
     r"""(?P<space>\s+)|(?P<open>\()|(?P<close>\))|(?P<quote>"(?P<quoted>[^"]*)(?:"|$))|(?P<minus>(?:(?<=^)|(?<=[\s(]))-(?=[^\s]))"""
@@ -83,6 +112,8 @@ def scan(query: str) -> list[tuple[str, str, str]]:
         elif m["field"] is not None:
             if m["name"].lower() in FIELDS:
                 kind, text, value = "field", FIELDS[m["name"].lower()], m["value"].strip('"')
+            elif m["name"].lower() in OWN:
+                kind, text, value = "own", m["name"].lower(), m["value"].strip('"')
             else:
                 m = re.compile(r'[^\s()"]+').match(query, at)
                 kind, text = "word", m.group()
@@ -168,6 +199,10 @@ class _Parser:
             return Phrase(text) if text.strip() else None
         if kind == "field":
             return field(text, value, self.now)
+        if kind == "own":
+            if not value:
+                raise QueryError(f"{text}: needs a value")
+            return OWN[text](value)
         if text.endswith("*") and len(text) > 1:
             return Term(text.rstrip("*"), True) if text.rstrip("*") else None
         return Term(text)
@@ -257,16 +292,16 @@ def size(value: str) -> tuple[int | None, int | None]:
     return {"": (n, None), ">=": (n, None), ">": (n + 1, None), "<": (None, n), "<=": (None, n + 1), "=": (n, n + 1)}[op]
 
 
-def leaves(node, positive: bool = True) -> list:
+def leaves(node, kinds: tuple = (Term, Phrase)) -> list:
     """The words and phrases that a match shows: those not under NOT."""
     if isinstance(node, (And, Or)):
-        return [x for p in node.parts for x in leaves(p, positive)]
+        return [x for p in node.parts for x in leaves(p, kinds)]
     if isinstance(node, Not):
         return []
-    return [node] if isinstance(node, (Term, Phrase)) else []
+    return [node] if isinstance(node, kinds) else []
 
 
 def has_text(node) -> bool:
     if isinstance(node, (And, Or)):
         return any(map(has_text, node.parts))
-    return has_text(node.part) if isinstance(node, Not) else isinstance(node, (Term, Phrase))
+    return has_text(node.part) if isinstance(node, Not) else isinstance(node, (Term, Phrase, Own))

@@ -89,16 +89,17 @@ class Index:
 
     def _hits(self, leaves: list, whole_word: bool) -> DataFrame:
         """(leaf, doc_id, field, tf) of all leaves; the postings of single words are read once for all of them."""
-        single = [(k, *last_of(n, T.query_tokens(n.text), whole_word)) for k, n in leaves if len(T.query_tokens(n.text)) == 1]
+        words = {k: T.query_tokens(n.text) for k, n in leaves if not isinstance(n, Q.Own)}
+        single = [(k, *last_of(n, words[k], whole_word)) for k, n in leaves if len(words.get(k, ())) == 1]
         parts = []
         if single:
-            own = {k: F.col("term") == T.query_tokens(n.text)[0] for k, n in leaves}
+            own = {k: F.col("term") == words[k][0] for k, *_ in single}
             marks = F.filter(F.array(*[F.when(hit, F.struct(F.lit(k).alias("leaf"), F.when(own[k], F.col("tf")).otherwise(0).alias("tf"))) for k, hit, _ in single]), lambda x: x.isNotNull())
             rows = self.posts.filter(reduce(or_, [hit for _, hit, _ in single])).select("doc_id", "field", F.explode(marks).alias("m")).select("m.leaf", "doc_id", "field", "m.tf")
             parts.append(rows.groupBy("leaf", "doc_id", "field").agg(F.sum("tf").alias("tf")) if any(prefix for *_, prefix in single) else rows)
         for k, n in leaves:
-            if len(T.query_tokens(n.text)) > 1:
-                parts.append(self.leaf(n, whole_word).select(F.lit(k).alias("leaf"), "doc_id", "field", "tf"))
+            if len(words.get(k, ())) != 1:
+                parts.append((n.rows(self) if isinstance(n, Q.Own) else self.leaf(n, whole_word)).select(F.lit(k).alias("leaf"), "doc_id", "field", "tf"))
         return reduce(DataFrame.unionByName, parts)
 
     def _compiled(self, query: str, whole_word: bool, now) -> tuple[object, Column | None, list]:
@@ -114,7 +115,7 @@ class Index:
                 return None if inner is None else ~inner
             if isinstance(n, Q.Field):
                 return field_condition(n)
-            if not T.query_tokens(n.text):
+            if not isinstance(n, Q.Own) and not T.query_tokens(n.text):
                 return None
             leaves.append((len(leaves), n))
             return F.coalesce(F.array_contains("__leaves", len(leaves) - 1), F.lit(False))
@@ -140,11 +141,14 @@ class Index:
         node, cond, leaves = self._compiled(query, whole_word, now)
         if cond is None or not leaves:
             return (self.docs if cond is None else self.docs.filter(cond)).select("doc_id", F.lit(0.0).alias("score"))
-        good = set(map(id, Q.leaves(node)))
+        good = set(map(id, Q.leaves(node, (Q.Term, Q.Phrase, Q.Own))))
         weight = F.coalesce(F.create_map(*[F.lit(x) for k, v in boosts.items() for x in (k, float(v))])[F.col("field")], F.lit(0.0))
         double = [k for k, n in leaves if isinstance(n, Q.Phrase)]
-        typed = [k for k, n in leaves if last_of(n, T.query_tokens(n.text), whole_word)[1] and len(T.query_tokens(n.text)) == 1]
+        typed = [k for k, n in leaves if isinstance(n, Q.Term) and last_of(n, T.query_tokens(n.text), whole_word)[1] and len(T.query_tokens(n.text)) == 1]
         shown = [k for k, n in leaves if id(n) in good]
+        for k, n in leaves:
+            if isinstance(n, Q.Own) and n.weight != 1:
+                weight = weight * F.when(F.col("leaf") == k, float(n.weight)).otherwise(1.0)
         hits = self._hits(leaves, whole_word)
         df = hits.groupBy("leaf", "field").agg(F.count_if(F.col("tf") > 0).alias("df"))  # a row for each leaf and field
         rows = hits.join(df, ["leaf", "field"]).join(self.fields, "field").join(self.length.select("doc_id", "field", "n"), ["doc_id", "field"])
@@ -179,7 +183,7 @@ def positive(node) -> bool:
         return any(map(positive, node.parts))
     if isinstance(node, Q.Or):
         return all(map(positive, node.parts))
-    return isinstance(node, (Q.Term, Q.Phrase)) and bool(T.query_tokens(node.text))
+    return isinstance(node, Q.Own) or isinstance(node, (Q.Term, Q.Phrase)) and bool(T.query_tokens(node.text))
 
 
 def ranked(index: Index, query: str, limit: int = 10, offset: int = 0, boosts: dict = BOOSTS, whole_word: bool = False) -> DataFrame:

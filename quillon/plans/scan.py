@@ -52,6 +52,8 @@ def condition(node, whole_word: bool = False, case_sensitive: bool = False, fiel
         return None if inner is None else ~inner
     if isinstance(node, Q.Field):
         return field_condition(node)
+    if isinstance(node, Q.Own):
+        return node.condition(fields)
     pattern = leaf_pattern(node, whole_word, case_sensitive)
     if pattern is None:
         return None
