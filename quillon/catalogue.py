@@ -14,6 +14,7 @@ from .operators import files as O
 from .operators import members as M
 from .operators import migrate as G
 from .operators.literals import literal_matches
+from .operators.measures import Measures
 from .operators.store import Store
 from .plans import contents as K
 from .plans import highlight as H
@@ -500,3 +501,17 @@ query("migration_plan", f"WITH {MIGRATION} SELECT path, CASE WHEN reason IN ('st
 def migrated_documents(spark, d):
     old, _, texts = _old_store(spark, d)
     return G.rebuilt(old, _migration(spark, d), texts).select("doc_id", "size", "mtime", F.sha2(F.col("content").cast("binary"), 256).alias("hash"))
+
+
+@query(
+    "stage_measures",
+    f"""WITH {DOCS}, m AS (SELECT size, {_has(' with')} AS hit FROM d)
+ SELECT 'read' AS stage, count(*) AS rows, coalesce(sum(size), 0)::BIGINT AS bytes FROM m UNION ALL SELECT 'matched', count(*), coalesce(sum(size), 0)::BIGINT FROM m WHERE hit
+ UNION ALL SELECT 'large', count(*), coalesce(sum(size), 0)::BIGINT FROM m WHERE hit AND size > 1500""",
+)
+def stage_measures(spark, d):
+    """A search run once, and what each of its stages has let through."""
+    m = Measures()
+    found = m.stage("matched", S.smart(m.stage("read", documents(spark, d), "size"), "with"), "size")
+    m.stage("large", found.filter("size > 1500"), "size").select("doc_id").write.format("noop").mode("overwrite").save()
+    return m.table(spark)
