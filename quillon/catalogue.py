@@ -515,3 +515,25 @@ def stage_measures(spark, d):
     found = m.stage("matched", S.smart(m.stage("read", documents(spark, d), "size"), "with"), "size")
     m.stage("large", found.filter("size > 1500"), "size").select("doc_id").write.format("noop").mode("overwrite").save()
     return m.table(spark)
+
+
+def _boxes(spark, d) -> DataFrame:
+    """Messages as members: of four archives one is named in capitals, one is no archive, and one has names for numbers."""
+    k, turn = F.col("conv_id") % 4, F.col("turn").cast("string")
+    path = F.concat(F.lit("/mail/"), F.col("conv_id").cast("string"), F.when(k == 1, ".PST/#").when(k == 2, ".zip/#").when(k == 3, ".pst/#n").otherwise(".pst/#"), turn)
+    return table(spark, d, "conversations").select("conv_id", "turn", path.alias("path"), F.octet_length("text").cast("long").alias("size"))
+
+
+BOXES = "b AS (SELECT conv_id, turn, '/mail/' || conv_id || CASE conv_id % 4 WHEN 1 THEN '.PST/#' WHEN 2 THEN '.zip/#' WHEN 3 THEN '.pst/#n' ELSE '.pst/#' END || turn AS path, strlen(text) AS size FROM conversations)"
+query("member_paths", f"WITH {BOXES} SELECT path, CASE WHEN conv_id % 4 < 2 THEN '/mail/' || conv_id || CASE conv_id % 4 WHEN 1 THEN '.PST' ELSE '.pst' END END AS container, CASE WHEN conv_id % 4 < 2 THEN turn END AS number FROM b")(
+    lambda spark, d: _boxes(spark, d).select("path", M.split_member(F.col("path")).alias("m")).select("path", "m.container", "m.number")
+)
+
+
+@query("replaced_members", f"WITH {BOXES} SELECT path, size FROM b WHERE conv_id % 8 <> 0 UNION ALL SELECT path, size + 1 FROM b WHERE conv_id % 8 = 0 AND turn % 2 = 0")
+def replaced_members(spark, d):
+    """Archives that were read again and had fewer messages then."""
+    files = _boxes(spark, d)
+    again = files.filter("conv_id % 8 = 0")
+    fresh = again.filter("turn % 2 = 0").select("path", (F.col("size") + 1).alias("size"))
+    return M.replace_members(files.select("path", "size"), fresh, again.select(M.split_member(F.col("path"))["container"].alias("path")))
