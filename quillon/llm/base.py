@@ -47,14 +47,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quillon-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, where: str | None = None, row_group: int | None = None) -> DataFrame:
+def stored(df: DataFrame, where: str | None = None, row_group: int | None = None, options: dict | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: cuts lineage and survives lost executors.
 
     ``row_group``: bytes of a row group, for tables of large values, of which Spark reads up to 4,096 rows of a row group at once.
     """
     spark = df.sparkSession
     where = where or shared_dir(spark)
-    out = df.write.mode("overwrite")
+    out = df.write.mode("overwrite").options(**(options or {}))
     (out.option("parquet.block.size", row_group) if row_group else out).parquet(where)
     return spark.read.schema(df.schema).parquet(where)
 

@@ -1,8 +1,10 @@
-"""Hard negatives by a matrix product in blocks of two dimensions.
+"""Hard negatives by a matrix product in blocks of two dimensions, with the tiles of the product at rest.
 
-Rows lie in blocks, in the order of their labels, and vectors in chunks of dimensions. A task has a panel of anchors and,
-one after the other, panels of rows with the same chunk; each pair gives a partial tile of integer scores. Partial tiles of
-one pair of blocks are shuffled together and added, and of the sum only the best candidates of each anchor leave the task.
+Rows lie in blocks, in the order of their labels, and vectors in chunks of dimensions. A task keeps the panels of a group of
+anchors and has the panels of a share of the rows come by, one after the other, from the shared folder. The products of
+their chunks are added to the tile where it is, and of each tile only what is among an anchor's best so far is kept. So
+neither tiles nor the panels of rows are shuffled: what is written is the panels once, the anchors once for each share, and
+the best of each anchor and share.
 
 The product runs twice, over tiles that share hardly a pair: first those in which an anchor meets rows of its own label,
 for the positives, then those with other labels, where the positives' scores give the windows of the negatives.
@@ -11,17 +13,23 @@ for the positives, then those with other labels, where the positives' scores giv
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import shared_dir, stored, table
+from .files import place
 from .ranks import ranked
 
 #: Anchors and rows of a tile, dimensions of a chunk.
 ANCHORS, ROWS, DIMS = 256, 1024, 32
+#: Blocks of anchors that a task keeps, and tasks for each core.
+RESIDENT, TASKS = 16, 4
 #: Scaled components beyond this are set to it, so that scores and their multiples stay within 64 bits (up to 1,024 dimensions).
 LARGEST = 1 << 24
 LOW = np.iinfo(np.int64).min
@@ -29,46 +37,67 @@ WINDOWS = "array<struct<line: int, place: int, id: bigint, score: bigint>>"
 
 
 def whole_vectors(df: DataFrame, id_col: str, vector_col: str, label: Column, scale: float) -> DataFrame:
-    """(id, label, v): scaled whole-number vectors of the rows that take part, each once."""
+    """(id, label, v): scaled whole-number vectors of the rows that take part."""
     v = F.col(vector_col)
     x = F.transform(v, lambda c: F.least(F.greatest(F.floor(F.lit(float(scale)) * c.cast("double")), F.lit(-LARGEST)), F.lit(LARGEST)).cast("int"))
     good = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
     rows = df.select(F.col(id_col).cast("long").alias("id"), label.cast("long").alias("label"), x.alias("v"), good.alias("good"))
-    return rows.filter("id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL AND good").select("id", "label", "v").distinct()
+    return rows.filter("id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL AND good").select("id", "label", "v")
 
 
-def blocks(rows: DataFrame, size: int, dims: int, width: int, where: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, label, v) in blocks of ``size``: their panels (block, chunk, n, ids, labels, data), and (block, lo, hi), the
-    labels of each block. Data of a panel are 32-bit numbers, a row of ``width`` of them for each vector, zero where it ends."""
-    spark = rows.sparkSession
-    placed = ranked(rows.withColumn("all", F.lit(0)), "all", ["label", "id", "v"], f"{where}/order").withColumn("block", F.floor(F.col("rank") / size))
+PANEL = "block bigint, ids binary, labels binary, data array<binary>"
+#: Row groups of few panels, which are what shares of the rows are made of.
+GROUPS = {"parquet.block.size.row.check.min": 1, "parquet.block.row.count.limit": 8}
+
+
+def blocks(rows: DataFrame, size: int, dims: int, width: int, where: str) -> DataFrame:
+    """Rows (id, label, v), each once, in numbered blocks of ``size``: their panels (block, ids, labels, data), in ``where``/panels."""
+    placed = ranked(rows.distinct().withColumn("all", F.lit(0)), "all", ["label", "id", "v"], f"{where}/order").withColumn("block", F.floor(F.col("rank") / size))
+    dealt = placed.select("block", "rank", "id", "label", "v").repartition("block").sortWithinPartitions("block", "rank")
+    return stored(dealt.mapInArrow(paneled(size, dims, width), PANEL), f"{where}/panels", 1 << 20, GROUPS)
+
+
+def write_rows(rows: DataFrame, size: int, dims: int, width: int, where: str) -> None:
+    """Panels of the rows (id, label, v), each once, under ``where``. Equal rows meet in one range of the order, so vectors are
+    shuffled once; blocks end with their range and have no numbers of their own."""
+    dealt = rows.repartitionByRange("label", "id", "v").sortWithinPartitions("label", "id", "v").withColumn("block", F.lit(0).cast("long"))
+    stored(dealt.mapInArrow(paneled(size, dims, width), PANEL), where, 1 << 20, GROUPS)
+
+
+def paneled(size: int, dims: int, width: int):
+    """Sorted rows as panels. Data of a panel are one binary for each chunk: 32-bit numbers, a row of ``width`` of them for each
+    vector, zero where it ends."""
     chunks = max(1, -(-dims // width))
 
     def panels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, labels, vectors in grouped(batches):
+        for block, ids, labels, vectors in grouped(batches, size):
             full = np.zeros((len(ids), chunks * width), np.int32)
             for i, v in enumerate(vectors):
                 full[i, : len(v)] = v
+            data = [np.ascontiguousarray(full[:, k * width : (k + 1) * width]).tobytes() for k in range(chunks)]
             one = lambda x: pa.array([x.tobytes()], pa.binary())
-            for k in range(chunks):
-                names = [one(ids), one(labels)] if k == 0 else [pa.nulls(1, pa.binary())] * 2
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([k], pa.int32()), pa.array([len(ids)], pa.int32()), *names, one(np.ascontiguousarray(full[:, k * width : (k + 1) * width]))], names=["block", "chunk", "n", "ids", "labels", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), one(ids), one(labels), pa.array([data], pa.list_(pa.binary()))], names=["block", "ids", "labels", "data"])
 
-    dealt = placed.select("block", "rank", "id", "label", "v").repartition("block").sortWithinPartitions("block", "rank")
-    made = stored(dealt.mapInArrow(panels, "block bigint, chunk int, n int, ids binary, labels binary, data binary"), f"{where}/panels", 8 << 20)
-    return made, placed.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return panels
 
 
-def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Consecutive rows of one block: (block, ids, labels, vectors)."""
-    block, ids, labels, vectors = None, [], [], []
+def grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
+    """Consecutive rows of one block, ``size`` at most, without those that equal the row before: (block, ids, labels, vectors)."""
+    block, ids, labels, vectors, last = None, [], [], [], None
     for batch in batches:
-        for b, i, y, v in zip(*(batch.column(c).to_pylist() for c in ("block", "id", "label", "v"))):
-            if b != block and ids:
+        columns = [batch.column(c).to_pylist() for c in ("block", "id", "label")]
+        v, flat = batch.column("v"), batch.column("v").flatten().to_numpy(zero_copy_only=False)
+        ends = np.concatenate(([0], np.cumsum(v.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+        for n, (b, i, y) in enumerate(zip(*columns)):
+            x = flat[ends[n] : ends[n + 1]]
+            if last is not None and last[:2] == (i, y) and np.array_equal(last[2], x):
+                continue
+            last = (i, y, x)
+            if ids and (b != block or len(ids) == size):
                 yield block, np.array(ids, np.int64), np.array(labels, np.int64), vectors
                 ids, labels, vectors = [], [], []
             block = b
-            ids.append(i), labels.append(y), vectors.append(v)
+            ids.append(i), labels.append(y), vectors.append(x)
     if ids:
         yield block, np.array(ids, np.int64), np.array(labels, np.int64), vectors
 
@@ -87,48 +116,92 @@ def narrow(tile: np.ndarray) -> bytes:
     return tile.astype(np.int32 if not tile.size or max(-int(tile.min()), int(tile.max())) < 1 << 31 else np.int64).tobytes()
 
 
-def tiles(anchors: DataFrame, rows: DataFrame, pairs: DataFrame, width: int, spread: int = 16) -> DataFrame:
-    """A partial tile for each pair of blocks (a, r) and each chunk; that of chunk 0 has the ids and labels of both sides and
-    the anchors' windows beside it.
-
-    ``spread``: row blocks that meet one copy of an anchor panel. Panels are dealt by (a, r div spread, chunk), so a task
-    holds one anchor panel and one row panel at a time."""
-    cells = pairs.withColumn("cell", F.floor(F.col("r") / spread))
-    left = anchors.join(cells.select("a", "cell").distinct(), "a").withColumn("r", F.lit(-1).cast("long"))
-    right = rows.withColumnRenamed("block", "r").join(cells, "r")
-    dealt = left.select("a", "cell", "chunk", "r", "n", "ids", "labels", "data", "windows").unionByName(right, allowMissingColumns=True)
-    dealt = dealt.repartition("a", "cell", "chunk").sortWithinPartitions("a", "cell", "chunk", "r")
-    schema = pa.schema([("a", pa.int64()), ("r", pa.int64()), ("chunk", pa.int32()), *((c, pa.binary()) for c in ("ids", "labels", "aids", "alabels")), ("windows", pa.list_(pa.struct([("line", pa.int32()), ("place", pa.int32()), ("id", pa.int64()), ("score", pa.int64())]))), ("data", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = panel = None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                data = np.frombuffer(row["data"], np.int32).reshape(row["n"], width)
-                if row["r"] < 0:
-                    left, panel = row, data
+class Panel:
+    """A panel in memory: ids, labels and chunks of vectors, with the smallest and the largest label."""
+
+    def __init__(self, ids: bytes, labels: bytes, data: list[bytes], width: int):
+        self.ids, self.labels = np.frombuffer(ids, np.int64), np.frombuffer(labels, np.int64)
+        self.lo, self.hi = int(self.labels.min()), int(self.labels.max())
+        self.chunks = [np.frombuffer(d, np.int32).reshape(len(self.ids), width) for d in data]
+        self.floats = [c.astype(np.float64) for c in self.chunks]
+        self.reach = max(int(np.abs(c).max(initial=0)) for c in self.chunks)
+
+    def alike(self, lo: int, hi: int) -> bool:
+        """Whether rows with labels from ``lo`` to ``hi`` may have one of the panel's."""
+        return lo <= self.hi and self.lo <= hi
+
+    def unlike(self, lo: int, hi: int) -> bool:
+        """Whether rows with labels from ``lo`` to ``hi`` may have another than one of the panel's."""
+        return not lo == hi == self.lo == self.hi
+
+    def tile(self, other: Panel) -> np.ndarray:
+        shape = (len(self.ids), len(other.ids))
+        if self.reach * other.reach * sum(c.shape[1] for c in self.chunks) < 1 << 53:  # exact in floating point
+            return sum((a @ b.T for a, b in zip(self.floats, other.floats)), np.zeros(shape)).astype(np.int64)
+        return sum(map(product, self.chunks, other.chunks), np.zeros(shape, np.int64))
+
+
+def passing(where: str, share: int, shares: int, width: int, wanted) -> Iterator[Panel]:
+    """The panels of a share of the row groups under ``where`` whose smallest and largest label are ``wanted``."""
+    system, path = place(where)
+    at = -1
+    for f in sorted(i.path for i in system.get_file_info(fs.FileSelector(path)) if i.path.endswith(".parquet")):
+        with system.open_input_file(f) as source:
+            file = pq.ParquetFile(source)
+            for g in range(file.num_row_groups):
+                at += 1
+                if at % shares != share:
                     continue
-                row |= {"aids": left["ids"], "alabels": left["labels"], "windows": left["windows"], "data": narrow(product(panel, data))}
-                yield pa.RecordBatch.from_pylist([{c: row[c] for c in schema.names}], schema)
-
-    return dealt.mapInArrow(run, f"a bigint, r bigint, chunk int, ids binary, labels binary, aids binary, alabels binary, windows {WINDOWS}, data binary")
+                labels = [np.frombuffer(x, np.int64) for x in file.read_row_group(g, ["labels"]).column(0).to_pylist()]
+                if not any(wanted(int(y.min()), int(y.max())) for y in labels):
+                    continue
+                for batch in file.iter_batches(1, [g], ["ids", "labels", "data"]):
+                    row = batch.to_pylist()[0]
+                    panel = Panel(row["ids"], row["labels"], row["data"], width)
+                    if wanted(panel.lo, panel.hi):
+                        yield panel
 
 
-def added(partial: DataFrame, pick, out: str) -> DataFrame:
-    """The partial tiles of each pair of blocks are shuffled together and added; ``pick`` takes candidates from the sum."""
+def met(anchors: DataFrame, rows: str, count: int, width: int, which: str, pick, out: str, resident: int = RESIDENT) -> DataFrame:
+    """What ``pick`` keeps of the tiles of each anchor panel and the row panels under ``rows`` that are ``which`` (alike or
+    unlike), for each share of the rows. ``count``: blocks of anchors. ``pick(panel, windows)`` gives an object with add(rows,
+    tile) and rows().
 
-    def add(group: pa.Table) -> pa.Table:
-        parts = group.select(["chunk", "data"]).to_pydict()
-        first = group.slice(parts["chunk"].index(0), 1).drop_columns(["data"]).to_pylist()[0]
-        ids, labels, aids, alabels = (np.frombuffer(first[c], np.int64) for c in ("ids", "labels", "aids", "alabels"))
-        total = np.zeros((len(aids), len(ids)), np.int64)
-        for data in parts["data"]:
-            total += np.frombuffer(data, np.int32 if len(data) == 4 * total.size else np.int64).reshape(total.shape)
-        made = pick(ids, labels, aids, alabels, first["windows"], total)
-        return pa.table({"a": np.full(len(made["id"]), first["a"]), **made})
+    Anchors are dealt by (group of ``resident`` blocks, share). With more groups there are fewer shares, so copies of anchors and
+    candidates grow with the anchors alone."""
+    groups = -(-count // resident)
+    shares = max(1, -(-TASKS * anchors.sparkSession.sparkContext.defaultParallelism // groups))
+    dealt = anchors.withColumn("g", F.floor(F.col("a") / resident)).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    dealt = dealt.select("g", "share", "a", "ids", "labels", "data", "windows").repartition(groups * shares, "g", "share").sortWithinPartitions("g", "share", "a")
 
-    return partial.groupBy("a", "r").applyInArrow(add, out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for share, kept in cells(batches):
+            panels = [(r["a"], Panel(r["ids"], r["labels"], r["data"], width)) for r in kept]
+            picks = [pick(p, r["windows"] or ()) for (_, p), r in zip(panels, kept)]
+            for row in passing(rows, share, shares, width, lambda lo, hi: any(getattr(p, which)(lo, hi) for _, p in panels)):
+                for (_, p), mine in zip(panels, picks):
+                    if getattr(p, which)(row.lo, row.hi):
+                        mine.add(row, p.tile(row))
+            for (a, _), mine in zip(panels, picks):
+                made = mine.rows()
+                yield pa.RecordBatch.from_pydict({"a": np.full(len(made["id"]), a, np.int64), **made})
+
+    return dealt.mapInArrow(run, out)
+
+
+def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """The anchor panels of each group and share, which stand together."""
+    key, kept = None, []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            if kept and (row["g"], row["share"]) != key:
+                yield key[1], kept
+                kept = []
+            key = (row["g"], row["share"])
+            kept.append(row)
+    if kept:
+        yield key[1], kept
 
 
 def best(score: np.ndarray, ids: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,33 +216,69 @@ def best(score: np.ndarray, ids: np.ndarray, allowed: np.ndarray, k: int) -> tup
     return line[place < k], col[place < k]
 
 
-def same_label(count: int):
+class Best:
+    """The ``count`` best entries of each line over all tiles so far, ties by the smaller id."""
+
+    def __init__(self, lines: int, count: int):
+        self.count, self.floor = count, np.full(lines, LOW)
+        self.line, self.id, self.score = (np.zeros(0, np.int64) for _ in range(3))
+
+    def add(self, ids: np.ndarray, score: np.ndarray, allowed: np.ndarray) -> None:
+        """Adds the allowed entries of a tile; those below ``floor`` may be left out before."""
+        line, col = np.nonzero(allowed)
+        if not len(line):
+            return
+        if len(line) > 8 * self.count * len(score):
+            line, col = best(score, ids, allowed, self.count)
+        line, found, s = (np.concatenate(x) for x in ((self.line, line), (self.id, ids[col]), (self.score, score[line, col])))
+        order = np.lexsort((found, -s, line))
+        line, found, s = line[order], found[order], s[order]
+        place = np.arange(len(line)) - np.searchsorted(line, line)
+        self.line, self.id, self.score = (x[place < self.count] for x in (line, found, s))
+        last = place == self.count - 1
+        self.floor[line[last]] = s[last]
+
+
+class SameLabel:
     """Candidates for the positives: the best rows of the anchor's label that have another id."""
 
-    def pick(ids, labels, aids, alabels, windows, score) -> dict:
-        line, col = best(score, ids, (alabels[:, None] == labels) & (aids[:, None] != ids), count)
-        return {"line": line.astype(np.int32), "id": ids[col], "score": score[line, col]}
+    def __init__(self, panel: Panel, windows, count: int):
+        self.panel, self.best = panel, Best(len(panel.ids), count)
+
+    def add(self, rows: Panel, tile: np.ndarray) -> None:
+        mask = (tile >= self.best.floor[:, None]) & (self.panel.labels[:, None] == rows.labels)
+        self.best.add(rows.ids, tile, mask & (self.panel.ids[:, None] != rows.ids))
 
-    return pick
+    def rows(self) -> dict:
+        return {"line": self.best.line.astype(np.int32), "id": self.best.id, "score": self.best.score}
 
 
-def in_windows(count: int, low: tuple[int, int], high: tuple[int, int]):
+class InWindows:
     """Candidates for the negatives of each positive: the best rows of other labels whose score lies between two shares of its own."""
 
-    def pick(ids, labels, aids, alabels, windows, score) -> dict:
-        other, made = alabels[:, None] != labels, []
-        for place in sorted({w["place"] for w in windows or ()}):
+    def __init__(self, panel: Panel, windows, count: int, low: tuple[int, int], high: tuple[int, int]):
+        self.panel, self.windows = panel, []
+        for place in sorted({w["place"] for w in windows}):
             mine = [w for w in windows if w["place"] == place]
-            lines = np.array([w["line"] for w in mine])
-            wanted, s = np.array([w["score"] for w in mine], np.int64)[:, None], score[lines]
-            allowed = other[lines] & (low[0] * wanted <= low[1] * s) & (high[1] * s <= high[0] * wanted)
-            if allowed.any():
-                k, col = best(s, ids, allowed, count)
-                made.append((lines[k], np.full(len(k), place), ids[col], s[k, col]))
-        line, place, found, s = (np.concatenate(x) for x in zip(*made)) if made else (np.zeros(0, np.int64),) * 4
-        return {"line": line.astype(np.int32), "place": place.astype(np.int32), "id": found.astype(np.int64), "score": s.astype(np.int64)}
-
-    return pick
+            wanted = np.array([w["score"] for w in mine], np.int64)[:, None]
+            # the least and the largest whole numbers that satisfy the conditions
+            self.windows.append((place, np.array([w["line"] for w in mine]), -(-low[0] * wanted // low[1]), high[0] * wanted // high[1], Best(len(mine), count)))
+
+    def add(self, rows: Panel, tile: np.ndarray) -> None:
+        other = self.panel.labels[:, None] != rows.labels if self.panel.alike(rows.lo, rows.hi) else None
+        for _, lines, least, most, kept in self.windows:
+            every = len(lines) == len(tile) and (lines[1:] > lines[:-1]).all()  # no copy of the tile
+            s = tile if every else tile[lines]
+            mask = (s >= np.maximum(least, kept.floor[:, None])) & (s <= most)
+            if other is not None:
+                mask &= other if every else other[lines]
+            kept.add(rows.ids, s, mask)
+
+    def rows(self) -> dict:
+        none = np.zeros(0, np.int64)
+        parts = [(lines[k.line], np.full(len(k.line), place), k.id, k.score) for place, lines, _, _, k in self.windows]
+        line, place, found, s = (np.concatenate(x) for x in zip(*parts)) if parts else (none,) * 4
+        return {"line": line.astype(np.int32), "place": place.astype(np.int32), "id": found, "score": s}
 
 
 def hard_negatives(
@@ -187,24 +296,19 @@ def hard_negatives(
     columns are not read.
     """
     spark, where = df.sparkSession, shared_dir(df.sparkSession)
-    rows = stored(whole_vectors(df, id_col, vector_col, F.col("label") if label is None else label, scale), f"{where}/rows")
+    rows = whole_vectors(df, id_col, vector_col, F.col("label") if label is None else label, scale)
     dims = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    all_panels, all_labels = blocks(rows, block_rows, dims, width, f"{where}/all")
-    a_panels, a_labels = blocks(rows.filter(anchors), anchor_rows, dims, width, f"{where}/anchors")
-    count = (a_panels.agg(F.max("block")).first()[0] or 0) + 1  # blocks of anchors
-    pairs = all_labels.select(F.col("block").alias("r"), "lo", "hi").withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<bigint>")))
-    pairs = stored(pairs.join(a_labels.select(F.col("block").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi")), "a"), f"{where}/pairs")
-    alike = pairs.filter("lo <= ahi AND alo <= hi").select("a", "r")
-    unlike = pairs.filter("NOT (lo = hi AND alo = ahi AND lo = alo)").select("a", "r")
-
-    panels = a_panels.withColumnRenamed("block", "a").withColumn("windows", F.lit(None).cast(WINDOWS))
-    found = added(tiles(panels, all_panels, alike, width), same_label(positives), "a bigint, line int, id bigint, score bigint")
+    write_rows(rows, block_rows, dims, width, f"{where}/rows")
+    a_panels = blocks(rows.filter(anchors), anchor_rows, dims, width, f"{where}/anchors").withColumnRenamed("block", "a")
+    count = (a_panels.agg(F.max("a")).first()[0] or 0) + 1  # blocks of anchors
+
+    panels = a_panels.withColumn("windows", F.lit(None).cast(WINDOWS))
+    found = met(panels, f"{where}/rows", count, width, "alike", partial(SameLabel, count=positives), "a bigint, line int, id bigint, score bigint")
     mine = stored(first_of(found, ["a", "line"], "place", positives), f"{where}/positives")
     windows = mine.groupBy("a").agg(F.collect_list(F.struct("line", "place", "id", "score")).alias("windows"))  # anchor_rows * positives at most
-    panels = a_panels.withColumnRenamed("block", "a").join(windows, "a").withColumn("windows", F.when(F.col("chunk") == 0, F.col("windows")))
-    found = added(tiles(panels, all_panels, unlike, width), in_windows(negatives, low, high), "a bigint, line int, place int, id bigint, score bigint")
+    found = met(a_panels.join(windows, "a"), f"{where}/rows", count, width, "unlike", partial(InWindows, count=negatives, low=low, high=high), "a bigint, line int, place int, id bigint, score bigint")
     theirs = first_of(found, ["a", "line", "place"], "rank", negatives).select("a", "line", "place", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
-    names = a_panels.filter("chunk = 0").select(F.col("block").alias("a"), "ids").mapInArrow(spelled, "a bigint, line int, anchor_id bigint")
+    names = a_panels.select("a", "ids").mapInArrow(spelled, "a bigint, line int, anchor_id bigint")
     return (
         theirs.join(mine.select("a", "line", "place", F.col("id").alias("positive_id"), F.col("score").alias("positive_score")), ["a", "line", "place"]).join(names, ["a", "line"])
         .select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -76,3 +76,16 @@ def test_op12_on_the_sample(spark):
     d = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     assert sorted(map(tuple, negatives.op12_hard_negatives(spark, d).collect())) == slow(rows)
+
+
+def test_tiles_stay_where_they_are(spark):
+    """Neither tiles nor panels of rows are shuffled, and a share of the rows leaves no more than the best of each anchor."""
+    df = spark.createDataFrame([(*r, "", 1) for r in vectors(300, 6, [0, 1], 7)], SCHEMA)
+    got = negatives.hard_negatives(df, F.col("id") % 10 == 0, anchor_rows=4, block_rows=8, width=2)
+    assert "FlatMapGroupsInArrow" not in got._jdf.queryExecution().toString()
+    panel = negatives.Panel(np.zeros(1, np.int64).tobytes(), np.zeros(1, np.int64).tobytes(), [np.ones(2, np.int32).tobytes()], 2)
+    kept = negatives.SameLabel(panel, (), 5)
+    for k in range(40):
+        row = negatives.Panel(np.arange(8 * k + 1, 8 * k + 9).tobytes(), np.zeros(8, np.int64).tobytes(), [np.full(16, k % 7, np.int32).tobytes()], 2)
+        kept.add(row, panel.tile(row))
+    assert kept.rows()["id"].tolist() == [49, 50, 51, 52, 53] and kept.rows()["score"].tolist() == [12] * 5
