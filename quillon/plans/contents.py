@@ -48,7 +48,8 @@ class Contents:
         numbers = fresh if known is None else fresh.unionByName(known)
         members = keyed.join(numbers, "hash").select("doc_id", "text_no")
         texts = docs.select("doc_id", "content").join(fresh.select(F.col("text_no").alias("doc_id")), "doc_id", "left_semi")
-        posts = I.postings(texts, ("content",)).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+        posts = self.spark.read.parquet(self.store.draft("gathered", I.postings(texts, ("content",))))
+        posts = posts.repartitionByRange(I.ranges(posts), "term", "doc_id").sortWithinPartitions("term", "doc_id")
         new = {"texts": self.store.drafted("texts"), "members": self.store.draft("members", members), "postings": self.store.draft("postings", posts)}
         self.store.commit(keep={name: len(self.store.segments(name)) for name in new}, **new)
         return fresh.count()

@@ -6,9 +6,13 @@ A query becomes one aggregation over the postings of its leaves: a flag and a sc
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,20 +23,70 @@ from .scan import FIELDS, LEAST_PREFIX, LEAST_WRITTEN, field_condition
 K1, B = 1.2, 0.75
 BOOSTS = {"content": 1.0, "name": 3.0, "meta": 1.5}
 PHRASE_BOOST = 2.0
+#: Bytes of the files of a range that is sorted by one task; rows in memory take some twenty times as many.
+RANGE_BYTES = 16 << 20
 
 
-def positions(df: DataFrame, fields: tuple = FIELDS) -> DataFrame:
-    """(doc_id, field, pos, term), a row for each token; an Arabic word stands without its article as well, at its place."""
-    term = F.col("term")
-    forms = F.when(T.bare(term) != term, F.array(term, T.bare(term))).otherwise(F.array(term))
+def tokenised(df: DataFrame, fields: tuple = FIELDS) -> DataFrame:
+    """(doc_id, field, tokens) of the texts that are not empty."""
     texts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("t")) for f in fields])
     each = df.select("doc_id", F.explode(texts).alias("x")).select("doc_id", "x.field", "x.t").filter("t <> ''")
-    return each.select("doc_id", "field", F.posexplode(T.tokens(F.col("t"))).alias("pos", "term")).select("doc_id", "field", "pos", F.explode(forms).alias("term"))
+    return each.select("doc_id", "field", T.tokens(F.col("t")).alias("tokens"))
+
+
+def gathered(df: DataFrame, fields: tuple = FIELDS) -> DataFrame:
+    """(field, term, doc_id, tf, positions) of each text by itself, without a shuffle; an Arabic word stands without its
+    article as well, at its place."""
+    src = tokenised(df, fields)
+    kind = src.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch):
+                yield by_word(part)
+
+    return src.mapInArrow(run, f"field string, term string, doc_id {kind}, tf int, positions array<int>")
+
+
+def parts(batch: pa.RecordBatch, most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most`` tokens; a longer text is a part of its own."""
+    start = total = 0
+    for i, n in enumerate(pc.list_value_length(batch.column("tokens")).to_pylist()):
+        if total and total + n > most:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def by_word(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The words of each row (doc_id, field, tokens) with their positions."""
+    sizes = pc.list_value_length(batch.column("tokens")).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    coded = batch.column("tokens").flatten().dictionary_encode()
+    code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    number = {w: k for k, w in enumerate(words)}
+    second = np.array([number.setdefault(T.without_article(w), len(number)) if T.is_arabic(w) else k for k, w in enumerate(words)], np.int64)
+    more = np.flatnonzero(second[code] != code)  # words that stand under a second form
+    row, pos, code = (np.concatenate(x) for x in ((row, row[more]), (pos, pos[more]), (code, second[code[more]])))
+    key = row * len(number) + code
+    order = np.lexsort((pos, key)) if len(more) else np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    tf, of, word = np.diff(first, append=len(key)), row[order[first]], code[order[first]]
+    positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(pos[order], pa.int32()))
+    terms = pa.array(list(number), pa.string()).take(pa.array(word))
+    return pa.RecordBatch.from_arrays([batch.column("field").take(pa.array(of)), terms, batch.column("doc_id").take(pa.array(of)), pa.array(tf, pa.int32()), positions], names=["field", "term", "doc_id", "tf", "positions"])
 
 
 def postings(df: DataFrame, fields: tuple = FIELDS) -> DataFrame:
-    """One row for each field, term and document. The document is part of the key, so frequent terms do not meet in one task."""
-    return positions(df, fields).groupBy("field", "term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    """One row for each field, term and document. A document's words are gathered where its text is. Only where several rows
+    have one doc_id, of which a look at that column tells, their postings are shuffled and put together."""
+    rows = gathered(df, fields)
+    if df.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return rows
+    return rows.groupBy("field", "term", "doc_id").agg(F.sum("tf").cast("int").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
 
 
 def lengths(posts: DataFrame) -> DataFrame:
@@ -45,17 +99,27 @@ def term_stats(posts: DataFrame) -> DataFrame:
 
 
 def term_counts(df: DataFrame, fields: tuple = FIELDS) -> DataFrame:
-    """The same straight from documents, without lists of positions."""
-    return term_stats(positions(df, fields).groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf")))
+    """The same straight from documents."""
+    return term_stats(postings(df, fields))
 
 
 def write(df: DataFrame, where: str, partitions: int | None = None) -> None:
-    """Writes postings (ranges of terms, sorted), lengths and field statistics under ``where``."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings(df).repartitionByRange(n, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").parquet(f"{where}/postings")
-    posts = df.sparkSession.read.parquet(f"{where}/postings")
+    """Writes postings (ranges of terms, sorted), lengths and field statistics under ``where``. Postings are written once before
+    they are dealt to ranges, so that texts are read once and ranges have a size that sorts in memory."""
+    spark = df.sparkSession
+    postings(df).write.mode("overwrite").parquet(f"{where}/gathered")
+    rows = spark.read.parquet(f"{where}/gathered")
+    n = partitions or ranges(rows)
+    rows.repartitionByRange(n, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").parquet(f"{where}/postings")
+    posts = spark.read.parquet(f"{where}/postings")
     lengths(posts).write.mode("overwrite").parquet(f"{where}/lengths")
-    field_stats(df.sparkSession.read.parquet(f"{where}/lengths")).write.mode("overwrite").parquet(f"{where}/fields")
+    field_stats(spark.read.parquet(f"{where}/lengths")).write.mode("overwrite").parquet(f"{where}/fields")
+
+
+def ranges(rows: DataFrame) -> int:
+    """Ranges for a written table: about RANGE_BYTES of its files each, or as many as the session has shuffle partitions."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
 
 
 class Index:
