@@ -48,10 +48,10 @@ def gathered(df: DataFrame, fields: tuple = FIELDS) -> DataFrame:
     return src.mapInArrow(run, f"field string, term string, doc_id {kind}, tf int, positions array<int>")
 
 
-def parts(batch: pa.RecordBatch, most: int = 500_000) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, column: str = "tokens", most: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` tokens; a longer text is a part of its own."""
     start = total = 0
-    for i, n in enumerate(pc.list_value_length(batch.column("tokens")).to_pylist()):
+    for i, n in enumerate(pc.list_value_length(batch.column(column)).to_pylist()):
         if total and total + n > most:
             yield batch.slice(start, i - start)
             start, total = i, 0

@@ -15,13 +15,17 @@ scores, in batches, and reads the texts of those batches only.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import query as Q
+from .index import parts, ranges
 from .regex import regex_hit, required_literals
 from .scan import exact_hit, field_condition, name_condition
 
@@ -55,13 +59,36 @@ def pieces(word: Column) -> Column:
 
 
 def words(docs: DataFrame) -> DataFrame:
-    """(field, doc_id, word, tf, n): the words of each field of each document, how often they occur, and words in all."""
-    parts = []
-    for f in FIELDS:
-        text = docs.select(F.lit(f).alias("field"), "doc_id", F.filter(F.split(canon(F.col(f)), r"\s+"), lambda w: w != "").alias("all")).filter(F.size("all") > 0)
-        parts.append(text.select("field", "doc_id", F.size("all").alias("n"), F.explode("all").alias("long")))
-    each = reduce(DataFrame.unionByName, parts).select("field", "doc_id", "n", F.explode(pieces(F.col("long"))).alias("word"))
-    return each.groupBy("field", "doc_id", "word").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
+    """(field, doc_id, word, tf, n): the words of each field of each document, how often they occur, and words in all. A
+    document's words are counted where its text is; only where several rows have one doc_id are their counts put together."""
+    one = [docs.select(F.lit(f).alias("field"), "doc_id", F.filter(F.split(canon(F.col(f)), r"\s+"), lambda w: w != "").alias("all")) for f in FIELDS]
+    src = reduce(DataFrame.unionByName, one).filter(F.size("all") > 0)
+    # the pieces of long words are cut in the JVM, as the words themselves are
+    long = F.exists("all", lambda w: F.length(w) > LONGEST)
+    cut = F.when(long, F.flatten(F.transform("all", pieces))).otherwise(F.col("all"))
+    src = src.select("field", "doc_id", F.size("all").alias("n"), cut.alias("words"))
+    kind = src.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, "words"):
+                yield counted(part)
+
+    rows = src.mapInArrow(run, f"field string, doc_id {kind}, word string, tf bigint, n int")
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return rows
+    return rows.groupBy("field", "doc_id", "word").agg(F.sum("tf").alias("tf"), F.first("n").alias("n"))
+
+
+def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The words of each row (field, doc_id, n, words) with their counts."""
+    sizes = pc.list_value_length(batch.column("words")).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = batch.column("words").flatten().dictionary_encode()
+    many = max(1, len(coded.dictionary))
+    key, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * many + coded.indices.to_numpy(), return_counts=True)
+    row = pa.array(key // many, pa.int64())
+    columns = [batch.column("field").take(row), batch.column("doc_id").take(row), coded.dictionary.take(pa.array(key % many, pa.int64())), pa.array(tf, pa.int64()), batch.column("n").take(row)]
+    return pa.RecordBatch.from_arrays(columns, names=["field", "doc_id", "word", "tf", "n"])
 
 
 def impact(tf: Column, n: Column, average: Column, field: Column) -> Column:
@@ -73,9 +100,9 @@ def impact(tf: Column, n: Column, average: Column, field: Column) -> Column:
 def write(docs: DataFrame, where: str, partitions: int | None = None) -> None:
     """Writes the index of ``docs`` (doc_id, content, name) under ``where``. Null texts have no words."""
     spark = docs.sparkSession
-    count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     words(docs).write.mode("overwrite").parquet(f"{where}/words")
     found = spark.read.parquet(f"{where}/words")
+    count = partitions or ranges(found)
     lengths = found.groupBy("field", "doc_id").agg(F.first("n").alias("n")).groupBy("field").agg(F.avg("n").alias("average"))
     lengths.write.mode("overwrite").parquet(f"{where}/fields")
     posts = found.join(spark.read.parquet(f"{where}/fields"), "field").select("field", "word", impact(F.col("tf"), F.col("n"), F.col("average"), F.col("field")).alias("level"), "doc_id")

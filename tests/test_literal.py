@@ -78,3 +78,15 @@ def test_pages_in_other_orders(index):
 def test_only_row_groups_of_the_gram_are_read(index):
     plan = index.words_with("petrel")._jdf.queryExecution().toString()
     assert "PushedFilters" in plan and "EqualTo(gram," in plan
+
+
+def test_words_of_unique_documents_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "b a B", "1.txt"), (2, None, "2.txt"), (3, "x" * 200 + " a", "3.txt")], "doc_id long, content string, name string")
+    found = L.words(docs)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.field, r.doc_id, r.word): (r.tf, r.n) for r in found.collect()}
+    assert got["content", 1, "b"] == (2, 3) and got["content", 1, "a"] == (1, 3) and got["content", 3, "a"] == (1, 2)
+    assert got["content", 3, "x" * 128][1] == 2  # pieces that overlap by half
+    assert {k for k in got if k[0] == "name"} == {("name", i, f"{i}.txt") for i in (1, 2, 3)}
+    twice = L.words(docs.unionByName(docs.filter("doc_id = 1")))
+    assert {(r.word, r.tf) for r in twice.filter("doc_id = 1 AND field = 'content'").collect()} == {("b", 4), ("a", 2)}
