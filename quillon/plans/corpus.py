@@ -9,10 +9,16 @@ from ..functions import text as T
 from ..session import ship
 
 EPOCH = 1_704_067_200
+#: Rows and bytes of a batch between Spark and Python, with Spark's own: a worker holds a few times as much as a batch.
+BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1024"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864", "4194304"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. A session that has Spark's own sizes of batches gets smaller ones; those that were set stay."""
     ship(spark)
+    for key, own, smaller in BATCHES:
+        if (spark.conf.get(key, None) or "").rstrip("b") == own:
+            spark.conf.set(key, smaller)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

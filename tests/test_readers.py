@@ -109,3 +109,19 @@ def test_scan_filters(spark, tmp_path):
     assert names(globs=("tmp_*",)) == ["a.txt", "c.MD"] and names(only_exts=("md",)) == ["c.MD"] and names(paths=(f"{tmp_path}/sub",)) == ["a.txt"]
     got = R.extracted(S.scan(spark, str(tmp_path)).select("name", "content")).collect()
     assert all(r.content == "x" and r.status == "indexed" for r in got)
+
+
+def test_batches_of_tables_are_bounded_unless_they_were_set(spark):
+    from quillon.plans.corpus import BATCHES, table
+
+    for key, own, smaller in BATCHES:
+        was = spark.conf.get(key)
+        try:
+            spark.conf.set(key, own)
+            table(spark, "/root/testdata/sf0.001", "pages")
+            assert spark.conf.get(key).rstrip("b") == smaller
+            spark.conf.set(key, "77")
+            table(spark, "/root/testdata/sf0.001", "pages")
+            assert spark.conf.get(key).rstrip("b") == "77"
+        finally:
+            spark.conf.set(key, was)
