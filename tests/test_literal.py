@@ -90,3 +90,50 @@ def test_words_of_unique_documents_are_not_shuffled(spark):
     assert {k for k in got if k[0] == "name"} == {("name", i, f"{i}.txt") for i in (1, 2, 3)}
     twice = L.words(docs.unionByName(docs.filter("doc_id = 1")))
     assert {(r.word, r.tf) for r in twice.filter("doc_id = 1 AND field = 'content'").collect()} == {("b", 4), ("a", 2)}
+
+
+def test_posts_have_a_row_for_each_word_of_a_block(index):
+    assert index.posts.count() < index.posts.selectExpr("sum(size(docs))").first()[0] / 4
+    got = index.posts.filter("field = 'content'").selectExpr("word", "explode(docs) as doc_id").collect()
+    want = L.words(index.docs).filter("field = 'content'").collect()
+    assert sorted((r.word, r.doc_id) for r in got) == sorted((r.word, r.doc_id) for r in want)
+
+
+def test_posts_are_read_once_for_all_literals(index):
+    plan = index.postings(["tern", "petrel", "kelvin"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("docs#") and sum("Relation" in line and "levels#" in line for line in plan.splitlines()) == 1
+    assert "SortMergeJoin" not in index.postings(["tern", "petrel"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_candidates_are_verified_where_they_are(index, monkeypatch):
+    want = [tuple(r) for r in L.exact_page(index, "tern petrel", limit=500)[0].collect()]
+    monkeypatch.setattr(L, "LARGEST", 3)
+    for batch in (2, 5):  # after a batch, and from the start
+        got, more = L.exact_page(index, "tern petrel", limit=6, offset=2, batch=batch)
+        assert [tuple(r) for r in got.collect()] == want[2:8] and more
+    got, more = L.exact_page(index, "tern petrel", limit=500, batch=2)
+    assert [tuple(r) for r in got.collect()] == want and not more
+
+
+def test_index_of_repeated_documents(spark, tmp_path):
+    from quillon.plans.corpus import with_paths
+
+    rows = [(1, "/a/1.txt", "tern a b c"), (1, "/a/1.txt", "tern d"), (2, "/a/2.txt", "tern"), (3, "/a/3.txt", "\u0307 \u0307x")]
+    docs = with_paths(spark.createDataFrame(rows, "doc_id long, path string, content string"))
+    L.write(docs, f"file://{tmp_path}")
+    level = {r.doc_id: r.level for r in L.LiteralIndex(docs, f"file://{tmp_path}").postings(["tern"]).collect()}
+    average = (6 + 1 + 1) / 3  # a word of nothing but a dot is none
+    assert level == {i: int(100 * tf / (tf + 1.2 * (0.25 + 0.75 * n / average))) for i, tf, n in ((1, 2, 6), (2, 1, 1))}
+
+
+def test_grams_and_counts_of_words(spark):
+    import pyarrow as pa
+
+    texts = pa.array(["b a\x0b b ", None, "", "x" * 200 + " a"])
+    code, row, tf, words, n = L.counted(texts)
+    got = {(words[c].as_py(), r): t for c, r, t in zip(code.tolist(), row.tolist(), tf.tolist())}
+    assert got == {("b", 0): 2, ("a", 0): 1, ("x" * 128, 3): 2, ("x" * 72, 3): 1, ("a", 3): 1}
+    assert n.tolist() == [3, 0, 0, 2] == L.sizes(texts).tolist()
+    gram, first, of = L.grams_of(pa.array(["aaaa", "ab", "baaa", "𝔘é\U0010ffff"]))
+    assert {g: of[a:b].tolist() for g, a, b in zip(gram, first, first[1:])} == {"aaa": [0, 2], "baa": [2], "𝔘é\U0010ffff": [3]}
+    assert L.grams_of(pa.array([], pa.string()))[0] == []
